@@ -1,0 +1 @@
+"""Quillstone: functions."""
