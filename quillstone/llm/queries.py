@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, mixing, packing, pii, quality, simhash, tiff, token_files, vectors
+from quillstone.llm import chat, mixing, ngram_lm, packing, pii, quality, simhash, tiff, token_files, vectors
 
 END_ID = 2
 PII_KEY = "replace this key by a secret one"
@@ -46,6 +46,11 @@ def op4_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), held_out=fold == 2, deleted=fold == 3)
+
+
 def op6_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -80,7 +85,7 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_token_files, op3_chat_examples, op4_simhash_duplicates, op6_embedding_duplicates, op7_packed_sequences, op8_mixing_schedule, op9_tiff_pages, op10_quality_scores)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_token_files, op3_chat_examples, op4_simhash_duplicates, op5_ngram_scores, op6_embedding_duplicates, op7_packed_sequences, op8_mixing_schedule, op9_tiff_pages, op10_quality_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
