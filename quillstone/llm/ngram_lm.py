@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import n_buckets, save, small_batches
+from quillstone.llm.store import n_buckets, released, save, small_batches
 
 END = b" "  # no word holds a blank
 EVAL, HELD, TRAIN = 0, 1, 2
@@ -103,7 +103,7 @@ def _blocks(block_tokens: int):
             yield open_[f].row(number, f)
             number += 1
 
-    return run
+    return released(run)
 
 
 def _bigrams(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ def _send(buckets: int):
                 columns = [pa.array(c, pa.binary()) for c in zip(*parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int32()), pa.array([r["block"]] * buckets), pa.array([r["fold"]] * buckets, pa.int32()), *columns], ["bucket", "block", "fold", "uni", "uni_n", "bi", "bi_n"])
 
-    return run
+    return released(run)
 
 
 def _add_up(keys: list[np.ndarray], counts: list[np.ndarray], folds: list[int]) -> tuple[list[bytes], list[bytes], int]:

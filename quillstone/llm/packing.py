@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import small_batches
+from quillstone.llm.store import released, small_batches
 from quillstone.llm.wordtok import tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
@@ -127,7 +127,7 @@ def _packed(vocab: str, end_id: int, max_tokens: int, max_segments: int, max_los
         if held:
             yield emit(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), pa.concat_arrays([h[2] for h in held]), first)[1]
 
-    return run
+    return released(run)
 
 
 def pack_documents(docs: DataFrame, vocab: str, end_id: int, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, window_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import small_batches
+from quillstone.llm.store import released, small_batches
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
 _hashes: dict[bytes, int] = {}
 
 
-def features(texts: list[str | None], bits: int, max_cached: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[str | None], bits: int, max_cached: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots and values of each text, one text after another, and the number of slots of each."""
     if len(_hashes) > max_cached:
         _hashes.clear()
@@ -73,8 +73,9 @@ def _feature_rows(bits: int):
             stop = np.cumsum(n)
             cut = lambda a, kind: pa.array([a[s - k : s].astype(kind).tobytes() for s, k in zip(stop, n)], pa.binary())
             yield pa.record_batch({"key": b.column("key"), "label": b.column("label"), "slots": cut(slot, "<i4"), "values": cut(value, "<f4")})
+        _hashes.clear()
 
-    return run
+    return released(run)
 
 
 def _trainer(bits: int, epochs: int):
@@ -109,8 +110,7 @@ def quality_score(docs: DataFrame, weights: np.ndarray, text: str | Column = "te
     bits, shared = (len(weights) - 1).bit_length() - 1, docs.sparkSession.sparkContext.broadcast(weights)
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def scores(texts: pd.Series) -> pd.Series:
         w, out = shared.value, []
         for k in range(0, len(texts), 512):
             part = texts.iloc[k : k + 512].tolist()
@@ -119,4 +119,9 @@ def quality_score(docs: DataFrame, weights: np.ndarray, text: str | Column = "te
             out.append(1 / (1 + np.exp(-np.clip(dot, -35, 35))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(lambda them: map(scores, them))(batches)
+        _hashes.clear()
+
     return score(text)

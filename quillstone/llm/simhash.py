@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import connected_components
-from quillstone.llm.store import save, small_batches
+from quillstone.llm.store import released, save, small_batches
 
 BITS = 64
 
@@ -49,10 +49,13 @@ def fingerprint(text: str | None, words_per_shingle: int) -> int:
 def fingerprints(text: str | Column, words_per_shingle: int = 3) -> Column:
     """The fingerprint of a whole text as a long (the same 64 bits); null and wordless texts get 0."""
 
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words_per_shingle) for t in texts], np.uint64).astype(np.int64))
 
+    @F.pandas_udf("long")
+    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(lambda them: map(of, them))(batches)
+
     return simhash(text)
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,11 +36,27 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, mb: int = 16) -> None:
+def small_batches(spark: SparkSession, mb: int = 4) -> None:
     """Bounds the Arrow batches that Python tasks get, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Wraps a task's function over batches so that an idle worker process gives freed memory back to the system."""
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return task
+
+
 def n_buckets(spark: SparkSession) -> int:
     """How many ways work is dealt out: the session's number of shuffle partitions, which its owner sets for the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import save, small_batches
+from quillstone.llm.store import released, save, small_batches
 
 # Fixed values of the TIFF 6.0 format: field types' sizes, tags and compression codes.
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -266,7 +266,7 @@ def _encode(level: int):
                     sizes.append(len(raw))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(media, pa.binary())})
 
-    return run
+    return released(run)
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 6) -> DataFrame:

@@ -22,7 +22,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import n_buckets, save, shared_folder, small_batches
+from quillstone.llm.store import n_buckets, released, shared_folder, small_batches
 from quillstone.llm.wordtok import tokenizer
 
 MANIFEST = "shard int, path string, docs_path string, n_docs long, n_tokens long, n_sequences long"
@@ -116,7 +116,7 @@ def _encoded(vocab: str, end_id: int, bounds: list[int]):
                     rows[n].append(v)
             yield pa.record_batch({"shard": pa.array(rows["shard"], pa.int32()), "doc_ids": pa.array(rows["doc_ids"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary()), "ids": pa.array(rows["ids"], pa.binary()), "width": pa.array(rows["width"], pa.int32())})
 
-    return run
+    return released(run)
 
 
 def _shard_writer(folder: str, seq_len: int, batch_rows: int):

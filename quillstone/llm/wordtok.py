@@ -22,7 +22,7 @@ class PieceTokenizer:
     table that lives as long as the worker process; it changes speed only.
     """
 
-    def __init__(self, path: str, end_id: int, max_pieces: int = 900_000):
+    def __init__(self, path: str, end_id: int, max_pieces: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
