@@ -8,6 +8,7 @@ bounded per-process table keeps them and numpy gathers the ids of whole batches
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 
@@ -104,10 +105,12 @@ class PieceTokenizer:
                 pieces += text.replace("\n", " ").split(" ")
             pieces.append(None)
             ends[k] = len(pieces)
-        new = set(pieces).difference(self._index)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self._index.__getitem__, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self._index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            words = [pieces[k] for k in unknown.tolist()]
+            self._learn(list(set(words)))
+            at[unknown] = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
         del pieces
         counts = np.diff(np.cumsum(self._len[at])[ends - 1], prepend=0) if len(texts) else np.zeros(0, np.int64)
         return self._gather(at), counts
