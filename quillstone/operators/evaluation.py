@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Weights of keywords, value and semantic similarity by type, with and without a similarity model.
+WEIGHTS = {"Type1": (0.15, 0.65, 0.20), "Type2": (0.40, 0.10, 0.50), "Type3": (0.50, 0.00, 0.50)}
+FINAL_WEIGHTS = {"Type1": (0.10, 0.60, 0.30), "Type2": (0.30, 0.05, 0.65), "Type3": (0.40, 0.00, 0.60)}
+_UNITS = (("B", 1e9), ("M", 1e6), ("T", 1e12))
+
 
 def keyword_hit_rate(answer: Column, keywords: Column) -> Column:
     hits = F.size(F.filter(keywords, lambda k: F.contains(F.lower(answer), F.lower(k))))
@@ -29,7 +34,9 @@ def fluency(text: Column) -> Column:
 
 
 def map_category(category: Column) -> Column:
-    return F.when(category.contains("Type3"), "Type3").when(category.contains("Type2") & ~category.contains("Type1"), "Type2").otherwise("Type1")
+    """Type1, Type2 or Type3 of a label in any case; null is Type1."""
+    c = F.lower(category)
+    return F.when(c.contains("type3"), "Type3").when(c.contains("type2") & ~c.contains("type1"), "Type2").otherwise("Type1")
 
 
 def floor_percentile(value: str, q: float) -> Column:
@@ -63,3 +70,74 @@ def smooth(values: Column, alpha: float = 0.6) -> Column:
         return F.struct(F.concat(s.out, F.array(new)).alias("out"), new.alias("last"))
 
     return F.aggregate(values, empty, add)["out"]
+
+
+def _near(found: Column, wanted: Column, tolerance: float) -> Column:
+    return F.abs(found - wanted) / (F.abs(wanted) + 1e-9) <= tolerance
+
+
+def _times_unit(value: Column, unit: Column, otherwise: float | None) -> Column:
+    out = F.when(unit == _UNITS[0][0], value * _UNITS[0][1])
+    for name, times in _UNITS[1:]:
+        out = out.when(unit == name, value * times)
+    return out if otherwise is None else out.otherwise(value * otherwise)
+
+
+def _numbers(answer: Column) -> Column:
+    """array<struct<value, unit>> of the numbers in a text; the unit is B, M, T or empty."""
+    pattern = F.lit(r"(\d[\d,]*(?:\.\d+)?)\s*([BbMmTt](?:illion|rillion)?)?(?:\b|$)")
+    pairs = F.arrays_zip(F.regexp_extract_all(answer, pattern, F.lit(1)).alias("n"), F.regexp_extract_all(answer, pattern, F.lit(2)).alias("u"))
+    return F.transform(pairs, lambda p: F.struct(F.replace(p["n"], F.lit(","), F.lit("")).try_cast("double").alias("value"), F.upper(F.substring(p["u"], 1, 1)).alias("unit")))
+
+
+def first_number(answer: Column) -> Column:
+    """The first number of a text, times its B, M or T; signs are not read."""
+    pattern = r"(?U)(\d+(?:\.\d+)?)\s*([BbMmTt]?)\b"
+    bare = F.replace(answer, F.lit(","), F.lit(""))
+    return _times_unit(F.regexp_extract(bare, pattern, 1).try_cast("double"), F.upper(F.regexp_extract(bare, pattern, 2)), 1.0)
+
+
+def value_correct(answer: Column, expected: Column, acceptable: Column | None = None, tolerance: float = 0.05) -> Column:
+    """Whether an answer states the expected value; null where none is expected.
+
+    Below 1 in size: as a percentage or as 0.x. Negative: its first six digits or a number with B, M or T, and a minus
+    or a word for loss. Otherwise its first six digits, a number with B, M or T, or a bare number in ones, thousands,
+    millions or billions; last, any of ``acceptable`` in that way. A null answer counts as empty.
+    """
+    text = F.coalesce(answer, F.lit(""))
+    bare = F.replace(F.replace(text, F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
+    size = F.abs(expected)
+    all_of = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.try_cast("double"))
+    digits = lambda v: F.substring(v.cast("bigint").cast("string"), 1, 6)
+    ratio = F.exists(all_of(r"(\d+(?:\.\d+)?)\s*%"), lambda x: _near(x, size * 100, tolerance)) | F.exists(all_of(r"\b(0\.\d+)\b"), lambda x: _near(x, size, tolerance))
+    loss = text.rlike(r"(?i)\b(loss|negative|deficit)\b") | F.contains(text, F.lit("-"))
+    scaled = F.exists(_numbers(text), lambda n: F.coalesce(_near(_times_unit(n["value"], n["unit"], None), size, tolerance), F.lit(False)))
+
+    def stated(prefix: Column, wanted: Column) -> Column:
+        def fits(n: Column) -> Column:
+            plain = [_near(n["value"] * m, wanted, tolerance) for m in (1e9, 1e6, 1e3, 1.0)]
+            return F.when(n["unit"] == "", plain[0] | plain[1] | plain[2] | plain[3]).otherwise(_near(_times_unit(n["value"], n["unit"], 1.0), wanted, tolerance))
+
+        return F.contains(bare, digits(prefix)) | F.exists(_numbers(text), fits)
+
+    positive = stated(expected, expected)
+    if acceptable is not None:
+        others = F.filter(acceptable, lambda a: (a != expected) & (a != 0))
+        positive = positive | F.coalesce(F.exists(others, lambda a: stated(a, F.abs(a))), F.lit(False))
+    return F.when(expected.isNull(), F.lit(None).cast("boolean")).when(size < 1, ratio).when(expected < 0, (F.contains(bare, digits(size)) | scaled) & loss).otherwise(positive)
+
+
+def intent_correct(intent: Column, sub_intents: Column, expected: Column, expected_subs: Column) -> Column:
+    """Equality of the lists where parts are expected, else of the intents; null where nothing is expected."""
+    return F.when(F.size(F.coalesce(expected_subs, F.array())) > 0, F.coalesce(sub_intents == expected_subs, F.lit(False))).when(expected.isNotNull(), F.coalesce(intent == expected, F.lit(False)))
+
+
+def case_score(category: Column, intent_ok: Column, value_ok: Column, keyword_rate: Column, similarity: Column | None = None, weights: dict = WEIGHTS) -> Column:
+    """Weighted score to 4 decimals; an unknown value counts a half, a wrong intent caps it at 0.5. Without a similarity
+    the keyword rate stands for it."""
+    kind, key = map_category(category), F.coalesce(keyword_rate, F.lit(0.0))
+    value = F.when(value_ok, 1.0).when(~value_ok, 0.0).otherwise(0.5)
+    sem = key if similarity is None else F.coalesce(similarity, key)
+    total = lambda w: F.lit(w[0]) * key + F.lit(w[1]) * value + F.lit(w[2]) * sem
+    score = F.when(kind == "Type3", total(weights["Type3"])).when(kind == "Type2", total(weights["Type2"])).otherwise(total(weights["Type1"]))
+    return F.round(F.when(~intent_ok, F.least(score, F.lit(0.5))).otherwise(score), 4)

@@ -45,7 +45,9 @@ def wide(picked: DataFrame, columns: list[str]) -> DataFrame:
 
 def densify(panel: DataFrame) -> DataFrame:
     """All tickers by all periods, with nulls where there is no row."""
-    grid = panel.select("ticker").distinct().crossJoin(F.broadcast(panel.select("period").distinct().limit(1000)))
+    periods = panel.select("period").distinct()
+    few = periods.limit(1001).count() <= 1000
+    grid = panel.select("ticker").distinct().crossJoin(F.broadcast(periods) if few else periods)
     return grid.join(panel, ["ticker", "period"], "left")
 
 

@@ -6,6 +6,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Known tickers, and words of company names in the order in which they are tried.
+TICKERS = (
+    "AAPL MSFT AMZN GOOGL GOOG META NVDA TSLA JPM V JNJ WMT PG UNH HD DIS BAC XOM PFE CVX KO ABBV AVGO COST MRK TMO CSCO NKE ORCL CRM LLY AMD INTC QCOM "
+    "NFLX MCD LOW CAT MMM GILD REGN BIIB TXN ACN ABT PEP IBM BA HON FDX UPS GE T DE ADBE SBUX TGT AMGN VRTX MA BRK-B"
+).split()
+COMPANIES = {
+    "apple": "AAPL", "microsoft": "MSFT", "amazon": "AMZN", "alphabet": "GOOGL", "google": "GOOGL", "meta": "META", "nvidia": "NVDA", "tesla": "TSLA",
+    "jpmorgan": "JPM", "visa": "V", "johnson": "JNJ", "walmart": "WMT", "procter": "PG", "unitedhealth": "UNH", "home depot": "HD", "disney": "DIS",
+    "bank of america": "BAC", "exxon": "XOM", "pfizer": "PFE", "chevron": "CVX", "coca-cola": "KO", "abbvie": "ABBV", "broadcom": "AVGO",
+    "costco": "COST", "merck": "MRK", "thermo fisher": "TMO", "cisco": "CSCO", "nike": "NKE", "oracle": "ORCL", "salesforce": "CRM",
+    "eli lilly": "LLY", "intel": "INTC", "qualcomm": "QCOM", "netflix": "NFLX", "mcdonald": "MCD", "lowe": "LOW", "caterpillar": "CAT", "3m": "MMM",
+    "gilead": "GILD", "regeneron": "REGN", "biogen": "BIIB", "texas instruments": "TXN", "accenture": "ACN", "abbott": "ABT", "pepsico": "PEP",
+    "ibm": "IBM", "boeing": "BA", "honeywell": "HON", "fedex": "FDX", "ups": "UPS", "general electric": "GE", "starbucks": "SBUX", "target": "TGT",
+    "amgen": "AMGN", "mastercard": "MA", "adobe": "ADBE",
+}
+
+
+def question_filters(question: Column, tickers: list[str] = TICKERS, companies: dict[str, str] = COMPANIES) -> Column:
+    """struct<ticker, filing_type, year> named by a question; null where it names none.
+
+    One known ticker in capitals counts; with none or several, the first company of the list whose name occurs does.
+    """
+    words = F.regexp_extract_all(question, F.lit(r"(?U)\b([A-Z]{1,5})\b"), F.lit(1))
+    named = F.array_intersect(F.array(*map(F.lit, tickers)), words)
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("ticker")) for n, t in companies.items()))
+    low = F.lower(question)
+    company = F.get(F.filter(pairs, lambda p: F.contains(low, p["name"])), F.lit(0))["ticker"]
+    form = F.when(question.rlike(r"(?i)\b10-?K\b"), "10-K").when(question.rlike(r"(?i)\b10-?Q\b"), "10-Q").when(question.rlike(r"(?i)\b8-?K\b"), "8-K")
+    year = F.nullif(F.regexp_extract(question, r"(?i)\b(?:FY|fiscal\s+)?(20\d{2})\b", 1), F.lit(""))
+    return F.struct(F.when(F.size(named) == 1, F.get(named, F.lit(0))).otherwise(company).alias("ticker"), form.alias("filing_type"), year.alias("year"))
+
+
+def fits_filters(filters: Column, ticker: Column, filing_type: Column, date: Column) -> Column:
+    """Equal ticker and form, and the year within the date, as far as the filters name them."""
+    same = lambda name, c: filters[name].isNull() | F.coalesce(filters[name] == c, F.lit(False))
+    return same("ticker", ticker) & same("filing_type", filing_type) & (filters["year"].isNull() | F.coalesce(F.contains(date, filters["year"]), F.lit(False)))
+
+
+def best_of_queries(fused: DataFrame, question: str = "question_id", cap: int = 50) -> DataFrame:
+    """Merges the fused results of a question's queries: each chunk once with its best score, the first ``cap`` by score
+    (ties: chunk_id)."""
+    best = fused.groupBy(question, "chunk_id").agg(F.max("rrf_score").alias("rrf_score"))
+    rank = F.row_number().over(Window.partitionBy(question).orderBy(F.desc("rrf_score"), "chunk_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= cap)
+
 
 def cosine(a: str, b: str) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

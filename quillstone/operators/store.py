@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,9 @@ def add_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 def latest_per_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def hash_split(key: Column, share: float) -> Column:
+    """True for about ``share`` of the keys, the same ones in every run and partitioning; null keys are outside."""
+    part = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+    return F.coalesce(part < int(share * (1 << 32)), F.lit(False))

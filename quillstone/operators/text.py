@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Phrases that tell a balance sheet, an income statement and a cash flow statement.
@@ -25,6 +25,11 @@ STATEMENT_ANCHORS = {
         "NET CASH USED", "CASH AND CASH EQUIVALENTS AT END",
     ],
 }
+# How headings of a filing's sections begin.
+HEADINGS = (
+    "ITEM 1.", "ITEM 1A.", "ITEM 1B.", "ITEM 1C.", "ITEM 2.", "ITEM 3.", "ITEM 4.", "ITEM 5.", "ITEM 6.", "ITEM 7.", "ITEM 7A.", "ITEM 8.", "ITEM 9.",
+    "ITEM 9A.", "ITEM 9B.", "ITEM 10.", "ITEM 11.", "ITEM 12.", "ITEM 13.", "ITEM 14.", "ITEM 15.", "PART I", "PART II", "PART III", "PART IV",
+)
 NULL_TOKENS = ["", "-", "--", "—", "N/A", "n/a", "nm", "NM", "*"]
 
 
@@ -96,3 +101,87 @@ def document_id(ticker: Column, kind: Column, date: Column) -> Column:
 
 def chunk_id(doc_id: Column, path: Column, index: Column) -> Column:
     return F.concat_ws("__", doc_id, F.substring(F.md5(path), 1, 8), F.format_string("%05d", index))
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def sections(text: Column, headings: tuple[str, ...] = HEADINGS, longest: int = 120) -> Column:
+    """array<struct<section, text>>: the lines below each heading, and what comes before the first as ``preamble``.
+
+    A line under ``longest`` characters that begins with a heading, in any case, is one; its whole line names the section.
+    Of repeated headings the last counts, and sections without text are left out. No shuffle: a text is one row.
+    """
+    begins = "^(" + "|".join(h.replace(".", r"\.") for h in headings) + ")"
+
+    def split(lines: Column) -> Column:
+        line = lambda i: strip(F.element_at(lines, i))
+        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.upper(line(i)).rlike(begins) & (F.length(line(i)) < longest))
+        return F.transform(F.array(F.concat(F.array(F.lit(0)), heads)), lambda starts: cut(lines, starts))[0]
+
+    def cut(lines: Column, starts: Column) -> Column:
+        def part(s: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(starts, k + 1), F.size(lines) + 1)
+            name = F.when(s == 0, "preamble").otherwise(strip(F.element_at(lines, F.greatest(s, F.lit(1)))))
+            return F.struct(name.alias("section"), strip(F.array_join(F.slice(lines, s + 1, stop - s - 1), "\n")).alias("text"), k.alias("k"))
+
+        return F.transform(F.array(F.transform(starts, part)), last)[0]
+
+    def last(parts: Column) -> Column:
+        kept = F.filter(parts, lambda p: (p.text != "") & ~F.exists(parts, lambda q: (q.section == p.section) & (q.k > p.k)))
+        return F.transform(kept, lambda p: F.struct(p.section.alias("section"), p.text.alias("text")))
+
+    return F.transform(F.array(F.split(text, "\n")), split)[0]
+
+
+def has_keyword(text: Column, keywords: list[str]) -> Column:
+    """Whether any keyword is contained, in any case."""
+    up = F.upper(text)
+    return F.exists(F.array(*(F.lit(k.upper()) for k in keywords)), lambda k: F.contains(up, k))
+
+
+def pages_near_keywords(pages: DataFrame, keywords: list[str], window: int = 2, doc: str = "doc", page: str = "page", text_col: str = "text") -> DataFrame:
+    """The rows of ``pages`` at most ``window`` pages from one of the same document with a keyword."""
+    hits = pages.where(has_keyword(F.col(text_col), keywords))
+    near = hits.select(doc, F.explode(F.sequence(F.col(page) - window, F.col(page) + window)).alias(page)).distinct()
+    return pages.join(near, [doc, page], "left_semi")
+
+
+def table_facts(table: Column, scale: Column) -> Column:
+    """array<struct<statement, metric, value, raw_value>> of one table: the first cell is the label, the first number to
+    its right times ``scale`` the value. Rows without a number have a null value; labels under 3 letters are left out."""
+    statement = infer_statement(F.array_join(F.flatten(table), " "))
+
+    def fact(row: Column) -> Column:
+        cells = F.transform(F.slice(row, 2, F.size(row)), lambda c: F.struct(parse_number(c).alias("value"), strip(c).alias("raw")))
+        first = F.get(F.filter(cells, lambda c: c.value.isNotNull()), F.lit(0))
+        return F.struct(clean_label(F.get(row, F.lit(0))).alias("metric"), (first.value * scale).alias("value"), F.coalesce(first.raw, F.lit("")).alias("raw_value"))
+
+    named = F.filter(F.transform(F.filter(table, lambda r: F.size(r) > 0), fact), lambda f: F.length(f.metric) >= 3)
+    return F.transform(F.array(statement), lambda s: F.transform(named, lambda f: F.struct(s.alias("statement"), f.metric.alias("metric"), f.value.alias("value"), f.raw_value.alias("raw_value"))))[0]
+
+
+def text_facts(text: Column) -> Column:
+    """The same from plain text: a label, two or more blanks or dots, a number. A sign or bracket before it is not read."""
+    pattern = F.lit(r"(?U)([A-Z][A-Za-z &,\-/]{5,60}?)[\s.]{2,}[$(]?\s*([\d,]+(?:\.\d+)?)\)?")
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("label"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("raw"))
+    scale = detect_scale(text)
+
+    def fact(p: Column, s: Column) -> Column:
+        metric = clean_label(p["label"])
+        return F.struct(infer_statement(metric).alias("statement"), metric.alias("metric"), (parse_number(p["raw"]) * s).alias("value"), p["raw"].alias("raw_value"))
+
+    facts = F.transform(F.array(scale), lambda s: F.transform(pairs, lambda p: fact(p, s)))[0]
+    return F.filter(facts, lambda f: f.value.isNotNull() & (F.length(f.metric) >= 5))
+
+
+def filing_facts(filings: DataFrame, html_col: str = "html") -> DataFrame:
+    """Facts of each filing's tables with one scale for its whole text; from its text where no table gives a row."""
+    from quillstone.operators import html
+
+    keys = [c for c in filings.columns if c != html_col]
+    parsed = filings.select(*keys, html.visible_text(F.col(html_col)).alias("__text"), html.tables(F.col(html_col)).alias("__tables"))
+    found = parsed.withColumn("__scale", detect_scale(F.col("__text"))).withColumn("__facts", F.flatten(F.transform("__tables", lambda t: table_facts(t, F.col("__scale")))))
+    chosen = F.when(F.size("__facts") > 0, F.col("__facts")).otherwise(text_facts(F.col("__text")))
+    return found.select(*keys, F.inline(chosen))

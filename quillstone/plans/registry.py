@@ -25,11 +25,17 @@ def query(sql: str | None):
     return add
 
 
+def _load_others() -> None:
+    from quillstone.plans import extraction  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load_others()
     return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load_others()
     return {k: s for k, (_, s) in _QUERIES.items() if s}
 
 
