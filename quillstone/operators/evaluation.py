@@ -141,3 +141,113 @@ def case_score(category: Column, intent_ok: Column, value_ok: Column, keyword_ra
     total = lambda w: F.lit(w[0]) * key + F.lit(w[1]) * value + F.lit(w[2]) * sem
     score = F.when(kind == "Type3", total(weights["Type3"])).when(kind == "Type2", total(weights["Type2"])).otherwise(total(weights["Type1"]))
     return F.round(F.when(~intent_ok, F.least(score, F.lit(0.5))).otherwise(score), 4)
+
+
+def perplexity(tokens: DataFrame, group: list[str], logp: str, start: Column | None = None) -> DataFrame:
+    """exp(-mean log probability) to 3 decimals of each group's tokens, one row a token; missing and infinite ones don't
+    count, nor those for which ``start`` is false. Null for groups of fewer than two."""
+    lp = F.col(logp).cast("double")
+    used = F.when((F.abs(lp) != float("inf")) & ~F.isnan(lp) & (F.lit(True) if start is None else start), lp.cast("decimal(20,9)"))
+    return tokens.groupBy(*group).agg(F.when(F.count(used) >= 2, F.round(F.exp(-F.avg(used).cast("double")), 3)).alias("perplexity"))
+
+
+def burst(requests: DataFrame, group: str, latency: str, ok: Column, wall: Column, only_good: bool = False) -> DataFrame:
+    """Request counts, rate and latencies of each burst; ``wall`` is an aggregate in seconds.
+
+    The rate counts all requests, or with ``only_good`` those without an error. A burst of errors alone has latencies 0.
+    """
+    good = requests.withColumn("__latency", F.when(ok, F.col(latency)))
+    total, errors, lat = F.count("*"), F.count_if(~F.coalesce(ok, F.lit(False))), F.col("__latency").cast("decimal(20,6)")
+    stats = good.groupBy(group).agg(
+        total.alias("total_requests"), errors.alias("errors"), F.round(wall, 3).alias("wall_time_s"), F.round(F.try_divide(total - (errors if only_good else 0), wall), 3).alias("qps"),
+        *(F.round(f(lat).cast("double"), 3).alias(f"latency_{n}") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))),
+    )
+    points = percentiles(good, group, "__latency", {"latency_p50": 0.5, "latency_p95": 0.95})
+    out = stats.join(points.select(group, *(F.round(p, 3).alias(p) for p in ("latency_p50", "latency_p95"))), group, "left")
+    return out.na.fill(0.0, [c for c in out.columns if c.startswith("latency_")])
+
+
+def build_reference(question: Column, keywords: Column, value: Column) -> Column:
+    """The question with its keywords and value as an answer; the question alone where there is nothing to add."""
+    shown = F.when(value > 1e6, F.format_string("$%.1f billion", value / 1e9)).when(value < 1, F.format_string("%.1f%%", value * 100)).otherwise(value.cast("string"))
+    parts = F.concat(F.coalesce(keywords, F.array().cast("array<string>")), F.when(value.isNotNull(), F.array(shown)).otherwise(F.array().cast("array<string>")))
+    return F.when(F.size(parts) == 0, question).otherwise(F.concat(question, F.lit(" Answer: "), F.array_join(parts, ", ")))
+
+
+def best_similarity(answer: Column, references: Column) -> Column:
+    """Largest dot product of a unit vector with several, at least 0; 0 without references. Encoding is the caller's."""
+    dot = lambda r: F.aggregate(F.zip_with(answer, r, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return F.coalesce(F.greatest(F.array_max(F.transform(references, dot)), F.lit(0.0)), F.lit(0.0))
+
+
+def aggregate_scores(cases: DataFrame, category: str, means: dict[str, str], decimals: int = 4) -> DataFrame:
+    """Counts and rounded means (output name to column) per type and, as type 'all', of all cases; nulls don't count."""
+    typed = cases.withColumn("__type", map_category(F.col(category)))
+    rolled = typed.rollup("__type").agg(F.count("*").alias("n"), *(F.round(F.avg(c), decimals).alias(n) for n, c in means.items()))
+    return rolled.withColumn("type", F.coalesce("__type", F.lit("all"))).drop("__type")
+
+
+def category_summary(cases: DataFrame, category: str, judged: dict[str, str], positive: dict[str, str]) -> DataFrame:
+    """Per category: cases, failures and means to 3 decimals. ``judged`` columns skip nulls, ``positive`` ones zeros too."""
+    fails = (F.count_if(F.col(c) == 0).alias(f"{n}_fails") for n, c in judged.items())
+    means = (F.round(F.avg(F.nullif(F.col(c).cast("double"), F.lit(0.0)) if n in positive else F.col(c)), 3).alias(n) for n, c in (judged | positive).items())
+    return cases.groupBy(category).agg(F.count("*").alias("n"), *fails, *means)
+
+
+# Openings of small talk and of questions about notions, companies that such a question isn't about, words of figures.
+_TALK = (
+    "hi|hello|hey|thanks|thank you|bye|goodbye|good morning|good afternoon|what can you|how are you|who are you|what do you do"
+    "|what does .{3,60} mean|can you explain (what |how |why )?|how (do i|do you|does one) (read|calculate|compute|interpret|use|understand|measure)"
+    "|explain (what |how |why )?|define |what('s| is) the difference between|why (is|does|do|are) .{0,30} (important|matter|used|work)"
+)
+_NAMED = (
+    "apple|microsoft|google|amazon|nvidia|tesla|meta|adobe|walmart|costco|jpmorgan|disney|pfizer|nike|boeing|exxon|netflix|salesforce|merck|intel|qualcomm"
+    "|abbvie|broadcom|unitedhealth|home depot|coca.cola|3m|caterpillar|fedex|ibm|chevron|procter|starbucks|amgen"
+    "|aapl|msft|goog|amzn|nvda|tsla|adbe|wmt|cost|jpm|dis|pfe|nke|ba|xom"
+)
+_FIGURES = (
+    r"revenue|income|profit|earnings|assets|liabilities|debt|cash|capex|cfo|ebit|margin|roa|current ratio|fy20\d{2}|fiscal 20\d{2}|in 20\d{2}"
+    "|how much|how many|what was|what is the|total|balance|ratio"
+)
+
+
+def fast_intent(question: Column) -> Column:
+    """Type3 for small talk and notions, which needs no model; null for what a model has to tell."""
+    notion = question.rlike(r"(?iU)^\s*what is \b") & ~question.rlike(rf"(?i)^\s*what is ({_NAMED})")
+    return F.when(question.rlike(rf"(?iU)^\s*({_TALK})\b") | notion, "Type3")
+
+
+def fallback_intent(question: Column, label: Column | None = None) -> Column:
+    """The type in a model's answer, else Type1 for questions with a word of figures and Type2 for others."""
+    by_words = F.when(question.rlike(rf"(?iU)\b({_FIGURES})\b"), "Type1").otherwise("Type2")
+    return by_words if label is None else F.coalesce(F.nullif(F.regexp_extract(label, "Type[123]", 0), F.lit("")), by_words)
+
+
+def _keywords(value: Column, names: list[Column]) -> Column:
+    size = F.abs(value)
+    number = F.when(size >= 1e9, F.bround(value / 1e9)).when(size >= 1e6, F.bround(value / 1e6)).cast("bigint").cast("string")
+    return F.filter(F.array(*names, number), lambda x: x.isNotNull())
+
+
+def point_cases(panel: DataFrame, templates: list[tuple[str, str]], years: int = 3, largest: float = 1e13) -> DataFrame:
+    """Questions with ground truth: each (column, template with {name} and {fy}) for the last fiscal years of each ticker.
+
+    Values that are null or beyond ``largest`` give no case; a question comes once, by its first template.
+    """
+    recent = Window.partitionBy("ticker").orderBy(F.desc("year"))
+    rows = panel.where("year like 'FY%'").withColumn("__n", F.row_number().over(recent)).where(F.col("__n") <= years)
+    filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{name}"), F.col("ticker")), F.lit("{fy}"), F.col("year"))
+    made = F.array(*(F.struct(F.lit(i).alias("template"), filled(t).alias("question"), F.col(c).cast("double").alias("expected_value")) for i, (c, t) in enumerate(templates)))
+    asked = rows.select("ticker", "year", F.explode(made).alias("m")).select("ticker", "year", "m.*").where(F.abs("expected_value") <= largest)
+    once = asked.withColumn("__n", F.row_number().over(Window.partitionBy("question").orderBy("template", "ticker", "year"))).where("__n = 1").drop("__n")
+    return once.withColumn("keywords", _keywords(F.col("expected_value"), [F.lower("ticker")]))
+
+
+def change_cases(panel: DataFrame, column: str, template: str) -> DataFrame:
+    """Questions on the change between adjacent years that both have a value; {name}, {fy1} and {fy2} are filled in."""
+    w = Window.partitionBy("ticker").orderBy("year")
+    pairs = panel.withColumn("__next", F.lead("year").over(w)).withColumn("__then", F.lead(column).over(w)).where(F.col(column).isNotNull() & F.col("__then").isNotNull())
+    q = F.lit(template)
+    for mark, c in (("{name}", "ticker"), ("{fy1}", "year"), ("{fy2}", "__next")):
+        q = F.replace(q, F.lit(mark), F.col(c))
+    return pairs.select("ticker", q.alias("question"), (F.col("__then") - F.col(column)).alias("change"))

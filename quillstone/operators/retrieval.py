@@ -148,3 +148,20 @@ def mmr_select(candidates: DataFrame, top_n: int = 3, weight: float = 0.7, overl
         return pd.DataFrame({"query_id": rows.query_id.loc[chosen], "chunk_id": rows.chunk_id.loc[chosen], "mmr_rank": range(1, len(chosen) + 1)})
 
     return kept.groupBy("query_id").applyInPandas(choose, "query_id long, chunk_id long, mmr_rank long")
+
+
+def stage_counts(dense: DataFrame, sparse: DataFrame, cap: int = 50) -> DataFrame:
+    """Per query: hits of each retriever, distinct candidates, and how many of them go to the reranker."""
+    both = dense.select("query_id", "chunk_id", F.lit(1).alias("d")).unionByName(sparse.select("query_id", "chunk_id", F.lit(0).alias("d")))
+    found = both.groupBy("query_id", "chunk_id").agg(F.max("d").alias("d"), F.max(1 - F.col("d")).alias("s"))
+    n = found.groupBy("query_id").agg(F.sum("d").alias("dense_recall_count"), F.sum("s").alias("sparse_recall_count"), F.count("*").alias("candidate_pool_size"))
+    return n.withColumn("rerank_input_size", F.least("candidate_pool_size", F.lit(cap)))
+
+
+def context_block(selected: DataFrame, text: str = "text", order: str = "rank") -> DataFrame:
+    """One numbered, sourced text per query from its few selected chunks; unknown fields show as '?'."""
+    known = lambda c: F.coalesce(F.col(c), F.lit("?"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "chunk_id"))
+    part = F.format_string("[%d] Source: %s %s %s\n%s", "__n", known("ticker"), known("filing_type"), known("date"), F.coalesce(text, F.lit("")))
+    rows = selected.withColumn("__n", n).withColumn("__part", F.struct("__n", part.alias("part")))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("__part")), lambda p: p["part"]), "\n\n").alias("context"))

@@ -43,3 +43,9 @@ def hash_split(key: Column, share: float) -> Column:
     """True for about ``share`` of the keys, the same ones in every run and partitioning; null keys are outside."""
     part = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
     return F.coalesce(part < int(share * (1 << 32)), F.lit(False))
+
+
+def upsert_filings(old: DataFrame, new: DataFrame, order: list[str], counters: tuple[str, ...] = ("section_count", "chunk_count", "sql_row_count")) -> DataFrame:
+    """Replaces filings by accession number; counters that a row lacks are 0."""
+    merged = upsert(old, new, ["accession_number"], order)
+    return merged.select("*", *(F.lit(0).alias(c) for c in counters if c not in merged.columns)).na.fill(0, list(counters))

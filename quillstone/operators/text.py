@@ -185,3 +185,9 @@ def filing_facts(filings: DataFrame, html_col: str = "html") -> DataFrame:
     found = parsed.withColumn("__scale", detect_scale(F.col("__text"))).withColumn("__facts", F.flatten(F.transform("__tables", lambda t: table_facts(t, F.col("__scale")))))
     chosen = F.when(F.size("__facts") > 0, F.col("__facts")).otherwise(text_facts(F.col("__text")))
     return found.select(*keys, F.inline(chosen))
+
+
+def extractor_kind(path: Column) -> Column:
+    """Which reader takes a file: 'pdf', 'html', or 'html' as a guess, marked 'html?', for other names."""
+    low = F.lower(path)
+    return F.when(F.endswith(low, F.lit(".pdf")), "pdf").when(low.rlike(r"\.html?$"), "html").otherwise("html?")
