@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import dataset, metrics, panel, retrieval, store, text
 from quillstone.operators import evaluation as ev
-from quillstone.plans.domain import CASES, FACTS, FILINGS, PANEL, facts, frame
+from quillstone.plans.domain import CASES, FILINGS, PANEL, facts, frame
 from quillstone.plans.registry import _BM25, CA, FA, FI, P, _sparse, _surface, query
+from quillstone.sources import tables
 
 
 def _documents(spark, d):
@@ -275,3 +276,30 @@ def U6_upsert_filings(spark, d):
     old = frame(spark, d, FILINGS).withColumn("seq", F.lit(0))
     new = old.where("date >= '1997-01-01'").withColumns({"filing_type": F.lit("10-K/A"), "chunk_count": F.lit(3), "seq": F.lit(1)})
     return store.upsert_filings(old, new, ["seq"]).select("accession_number", "filing_type", "section_count", "chunk_count", "sql_row_count")
+
+
+# Files of rows: written to the shared folder and read back.
+_FACT_ROW = "ticker string, period string, statement string, metric string, value double, unit string"
+
+
+@query(f"SELECT ticker, period, metric, value FROM {FA} f")
+def S11_json_lines(spark, d):
+    at = tables.work_folder(spark, "facts-json")
+    tables.write_json_lines(facts(spark, d), at)
+    return tables.read_json_lines(spark, at, _FACT_ROW).select("ticker", "period", "metric", "value")
+
+
+@query(f"SELECT ticker, year, total_revenue, net_income, net_margin FROM {P} p")
+def S13_csv(spark, d):
+    at = tables.work_folder(spark, "panel-csv")
+    tables.write_csv(frame(spark, d, PANEL).select("ticker", "year", "total_revenue", "net_income", "net_margin"), at)
+    return tables.read_csv(spark, at, "ticker string, year string, total_revenue double, net_income double, net_margin double")
+
+
+@query(f"SELECT 0 AS position, 'ticker' AS name, 'string' AS type, count(*) AS n_values FROM {P} p UNION ALL SELECT 1, 'year', 'string', count(*) FROM {P} p UNION ALL SELECT 2, 'net_margin', 'double', count(net_margin) FROM {P} p")
+def S14_S16_replace_and_describe(spark, d):
+    at = tables.work_folder(spark, "panel")
+    rows = frame(spark, d, PANEL).select("ticker", "year", "net_margin")
+    tables.replace_table(rows.limit(1), at)  # the old contents that the table loses
+    tables.replace_table(rows, at)
+    return tables.describe(spark.read.parquet(at))

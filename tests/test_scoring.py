@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import dataset, retrieval, store, text
 from quillstone.operators import evaluation as ev
+from quillstone.sources import tables
 
 COLUMNS = [c for c in dataset.COLUMNS["panel"] if c not in ("ticker", "year")]
 
@@ -120,3 +121,16 @@ def test_files_and_filings(spark):
     new = spark.createDataFrame([("x", "10-Q", None, 1)], "accession_number string, filing_type string, chunk_count int, seq int")
     got = store.upsert_filings(old.withColumn("seq", F.lit(0)), new, ["seq"]).orderBy("accession_number").collect()
     assert [(r.accession_number, r.filing_type, r.section_count, r.chunk_count) for r in got] == [("x", "10-Q", 0, 0), ("y", "8-K", 0, 0)]
+
+
+def test_files_round_trip(spark, tmp_path):
+    rows = [(1, 'a "q", b\nline'), (2, ""), (3, None), (4, "é\\x")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    tables.write_json_lines(df, f"{tmp_path}/j")
+    tables.write_csv(df, f"{tmp_path}/c")
+    assert sorted(map(tuple, tables.read_json_lines(spark, f"{tmp_path}/j", "i int, t string").collect())) == rows
+    back = tables.read_csv(spark, f"{tmp_path}/c", "i int, t string").collect()
+    assert sorted(map(tuple, back)) == [(i, t or None) for i, t in rows]
+    (tmp_path / "a.json").write_text('[{"i": 1, "t": "x"}, {"i": 2}]')
+    assert sorted(map(tuple, tables.read_json_arrays(spark, f"{tmp_path}/a.json", "i int, t string").collect())) == [(1, "x"), (2, None)]
+    assert [tuple(r) for r in tables.describe(df).orderBy("position").collect()] == [(0, "i", "int", 4), (1, "t", "string", 3)]
