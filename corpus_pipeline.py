@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), gets the table that the stage before it wrote, and all but the last return the
 columns of ``documents``. Rejected are the documents that score below 0.3 and all but the smallest doc_id of a group of
-near-duplicates; the mixture repeats documents of small sources and leaves none out.
+near-duplicates (5-word shingle sets of Jaccard similarity 0.8 or more); the mixture repeats documents of small sources and leaves none out.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.distinct_documents(docs)
+    return simhash.without_similar(docs, words=5, similarity=0.8)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

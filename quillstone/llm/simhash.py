@@ -9,6 +9,10 @@ within the radius meets in at least one of the 2^(r+1)-1 tables.
 Fingerprints are made distinct before they enter the tables, and a table's bucket gives a spanning set of its links,
 not all its pairs. A bucket over ``max_bucket`` fingerprints is dealt again by covering masks over the positions that
 its own mask hides; what such a second bucket can still hold differs only in the positions that both masks hide.
+
+``similar_documents`` goes by the Jaccard similarity of shingle sets instead: fingerprints within a wide radius are only
+candidates, each of which is checked on the shingles themselves. Of two halves of 32 bits one holds at most half of the
+differing bits, so covering masks for half the radius, over each half, keep the tables few.
 """
 
 from __future__ import annotations
@@ -149,3 +153,153 @@ def distinct_documents(docs: DataFrame, words_per_shingle: int = 3, radius: int
     found = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words_per_shingle, radius)
     extra = save(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-drop")
     return docs.join(extra, docs[id_col] == extra["doc_id"], "left_anti")
+
+
+def part_masks(radius: int) -> list[int]:
+    """Covering masks for half the radius over each half of the fingerprint. Labels are dealt from the largest down: for
+    radius 10 or 11 these are the words of a Reed-Muller code, and every mask keeps 16 bits of its half or all 32."""
+    size = 1 << radius // 2 + 1
+    label = [size - 1 - k % (size - 1) for k in range(BITS // 2)]
+    half = [sum(1 << p for p, x in enumerate(label) if (x & v).bit_count() % 2) for v in range(1, size)]
+    return half + [m << BITS // 2 for m in half]
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a text with fewer words is one shingle, no words give none."""
+    found = (text or "").encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(b" ".join(found[k : k + words]), 42) for k in range(max(1, len(found) - words + 1))] if found else []
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def _shingles(text: str, words: int) -> Column:
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, words) for t in texts]
+        return pd.DataFrame({"node": np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).astype(np.int64), "shingles": [x.view(np.int64) for x in sets]})
+
+    @F.pandas_udf("node long, shingles array<long>")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(lambda them: map(of, them))(batches)
+
+    return udf(text)
+
+
+def _dealt(masks: list[int]):
+    """Each row once a table, with the table and its masked bits as one key of 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.array(masks, np.uint64)[:, None]
+        t = np.arange(len(masks), dtype=np.uint64)[:, None] << np.uint64(32)
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                fp = part.column("fp").to_numpy().view(np.uint64)[None, :]
+                low = fp & m
+                cols = {"key": (t | low >> np.uint64(32) | low & np.uint64(0xFFFFFFFF)).ravel().view(np.int64)}
+                cols |= {c: np.tile(part.column(c).to_numpy(), len(masks)) for c in ("fp", "node", "n", "component")}
+                yield pa.record_batch(cols)
+
+    return released(run)
+
+
+def _candidates(masks: list[int], radius: int, similarity: float, neighbours: bool):
+    """Pairs of nodes within the radius out of rows sorted by key. ``neighbours``: only each row with the next of its key
+    and with the first; otherwise all pairs of different components, each by the first of the tables in which it meets."""
+    few = 400_000
+
+    def pairs(rows: list[np.ndarray]):
+        key, fp, node, n, component = rows
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(first, len(key)))
+        stop, start = np.repeat(first + length, length), np.repeat(first, length)
+
+        def kept(i, j):
+            with np.errstate(invalid="ignore"):
+                ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+            i, j = i[near], j[near]
+            if not neighbours and len(i):
+                differ, met = fp[i] ^ fp[j], np.full(len(i), -1)
+                for t, m in enumerate(masks):
+                    met[(met < 0) & (differ & np.uint64(m) == 0)] = t
+                ok = met == key[i] >> 32
+                i, j = i[ok], j[ok]
+            return pa.record_batch({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+        i = np.arange(len(key))
+        if neighbours:
+            yield kept(i[start < i], start[start < i])
+            yield kept(i[i + 1 < stop], i[i + 1 < stop] + 1)
+            return
+        d = 1
+        while len(i := i[i + d < stop[i]]):
+            yield kept(i, i + d)
+            d += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            key, fp, node, n, component = (b.column(c).to_numpy() for c in ("key", "fp", "node", "n", "component"))
+            held.append([key, fp.view(np.uint64), node, n, component])
+            size += len(key)
+            if size >= few:
+                rows = [np.concatenate(c) for c in zip(*held)]
+                # The last key's rows may go on in the next batch.
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                if cut:
+                    yield from pairs([c[:cut] for c in rows])
+                held, size = [[c[cut:].copy() for c in rows]], size - cut
+        if size:
+            yield from pairs([np.concatenate(c) for c in zip(*held)])
+
+    return released(run)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3, radius: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for the rows with a doc_id: the smallest doc_id reachable over pairs of texts whose sets of
+    ``words``-word shingles have at least the Jaccard similarity.
+
+    Candidates are all pairs whose fingerprints differ in at most ``radius`` bits; every link is checked on the shingles.
+    A first round checks neighbours within the tables' buckets, linear in a bucket; the second checks the other pairs, but
+    none whose texts the first has joined, so that a large group of copies costs no pair each. Texts of equal shingle
+    sets, such as texts without words, are one node from the start.
+    """
+    small_batches(docs.sparkSession)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    made = d.select("doc_id", fingerprints("text", fingerprint_words).alias("fp"), _shingles("text", words).alias("s"))
+    marked = save(made.select("doc_id", "fp", "s.node", F.size("s.shingles").alias("n")), "similar")
+    # Texts of equal sets can have different fingerprints, as these count repeated shingles: each stays a candidate.
+    nodes = save(marked.groupBy("node", "fp").agg(F.first("n").cast("long").alias("n")), "similar-nodes")
+    reps = save(marked.groupBy("node").agg(F.min("doc_id").alias("rep")), "similar-reps")
+    masks = part_masks(radius)
+    links = joined = None
+    for neighbours in (True, False):
+        keyed = nodes.withColumn("component", F.col("node")) if joined is None else nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        dealt = keyed.select("fp", "node", "n", "component").mapInArrow(_dealt(masks), "key long, fp long, node long, n long, component long")
+        pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(masks, radius, similarity, neighbours), "a long, b long")
+        true = _checked(d, reps, save(pairs.distinct(), "similar-pairs"), words, similarity)
+        links = true if links is None else links.union(true)
+        joined = save(connected_components(links), "similar-components")
+    placed = reps.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = placed.join(least, "component").select("node", "component_id")
+    return marked.join(named, "node").select("doc_id", "component_id")
+
+
+def _checked(d: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes that have the similarity; only texts that are in a pair are cut into shingles."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = save(reps.join(ends, "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("wanted")), "similar-asked")
+    cut = d.join(asked, "doc_id").select("wanted", _shingles("text", words).alias("s")).where("s.node = wanted")
+    sets = save(cut.select("s.node", "s.shingles").dropDuplicates(["node"]), "similar-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return save(both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar-links")
+
+
+def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose component has a smaller doc_id; rows with a null id stay."""
+    found = similar_documents(docs, words, similarity, id_col=id_col, text_col=text_col)
+    extra = save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__similar")).distinct(), "similar-drop")
+    return docs.join(extra, docs[id_col] == extra["__similar"], "left_anti")
