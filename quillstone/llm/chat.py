@@ -3,7 +3,8 @@
 Every assistant turn is an example: its context is all turns before it, and only its reply bears loss. As the text of
 an example is a prefix of its conversation's formatted text, the output stores each formatted turn once, with its offset,
 and an example is the turns up to its own with one loss span. Long conversations therefore cost space in proportion to
-their turns, not to the square; ``expand`` writes examples out in full.
+their turns, not to the square; ``expand`` writes examples out in full. ``conversation_digests`` writes the examples as
+prefix bounds and loss span, reads them back and rebuilds each one's context and reply.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Roles are percent-encoded. In texts a backslash is put before the bar of
 any ``<``, backslashes, ``|``; taking one out of each such run restores the text, and no control string remains inside.
@@ -68,11 +69,50 @@ def read_turns(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "seq", "formatted", role.alias("role"), text.alias("text"), unescape(masked).alias("loss"))
 
 
+def write_examples(turns: DataFrame) -> DataFrame:
+    """``examples`` written to the shared folder and read back: prefix bounds and loss span, a row an assistant turn."""
+    return save(examples(turns), "chat-examples")
+
+
+def conversation_texts(turns: DataFrame) -> DataFrame:
+    """(conv_id, body): the formatted text of each conversation, of which every example is a prefix."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", "formatted")))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["formatted"]), "").alias("body"))
+
+
+def read_examples(texts: DataFrame, written: DataFrame) -> DataFrame:
+    """Each written example rebuilt as context, reply and whole: (conv_id, example, context_sha256, loss, chars).
+
+    The contexts pass through the tasks one at a time and are told by their digest; only the replies, which don't
+    overlap, are kept as text.
+    """
+    t = texts.withColumnRenamed("conv_id", "of")
+    part = lambda first, stop: F.substr(F.col("body"), (first + 1).cast("int"), (stop - first).cast("int"))
+    context, loss = part(F.lit(0), F.col("context_chars")), part(F.col("loss_start"), F.col("loss_end"))
+    whole = part(F.lit(0), F.col("total_chars"))
+    return save(written.join(t, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", "example", F.sha2(context, 256).alias("context_sha256"), unescape(loss).alias("loss"), F.length(whole).cast("long").alias("chars")), "chat-read")
+
+
 def conversation_digests(turns: DataFrame) -> DataFrame:
-    """Per conversation: numbers and digests of what ``read_turns`` finds in the output."""
-    t = read_turns(turns)
-    told = F.concat(F.col("role"), F.lit("\n"), F.col("text"), F.lit("\n"))
-    rows = F.array_sort(F.collect_list(F.struct("seq", told.alias("told"), "loss")))
-    g = t.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count("loss").alias("n_examples"), rows.alias("rows"), F.coalesce(F.sum(F.length("loss")), F.lit(0)).alias("loss_chars"), F.sum(F.length("formatted")).alias("formatted_chars"))
-    joined = lambda name: F.array_join(F.transform("rows", lambda r: r[name]), "")
-    return g.select("conv_id", "n_turns", F.sha2(joined("told"), 256).alias("turns_sha256"), "loss_chars", F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars", "n_examples")
+    """Per conversation: numbers and digests of what its written examples hold.
+
+    Turns are read from the text of the last example, which holds all others, and from the turns after it, which are in
+    no example; replies from each example's loss span; ``formatted_chars`` is the length of all examples together.
+    """
+    texts = save(conversation_texts(turns), "chat-texts")
+    read = read_examples(texts, write_examples(turns))
+    rows = F.array_sort(F.collect_list(F.struct("example", "loss")))
+    g = read.groupBy(F.col("conv_id").alias("of")).agg(F.count("*").alias("n_examples"), rows.alias("rows"), F.sum("chars").alias("formatted_chars"), F.max("chars").alias("last_chars"))
+    g = texts.join(g, F.col("conv_id").eqNullSafe(F.col("of")), "left").withColumn("last_chars", F.coalesce("last_chars", F.lit(0)).cast("int"))
+    pieces = lambda text: F.filter(F.split(text, rf"{END}\n".replace("|", r"\|")), lambda x: x != "")
+    last, after = F.substr(F.col("body"), F.lit(1), F.col("last_chars")), F.substr(F.col("body"), F.col("last_chars") + 1)
+    head = len(START) + 1
+
+    def told(piece: Column) -> Column:
+        role = F.substring_index(piece, "\n", 1)
+        text = unescape(F.substr(piece, F.length(role) + 2))
+        return F.concat(F.url_decode(F.substr(role, F.lit(head))), F.lit("\n"), text, F.lit("\n"))
+
+    g = g.withColumn("told", F.transform(F.concat(pieces(last), pieces(after)), told)).withColumn("loss", F.array_join(F.transform(F.coalesce("rows", F.array().cast("array<struct<example:bigint,loss:string>>")), lambda r: r["loss"]), ""))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return g.select("conv_id", F.size("told").cast("long").alias("n_turns"), F.sha2(F.array_join("told", ""), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), zero("formatted_chars").alias("formatted_chars"), zero("n_examples").alias("n_examples"))
