@@ -6,7 +6,8 @@ through a keyed permutation of its documents, whole passes first and then a last
 blocks of about ``block_tokens`` take every source at its weight, and are permuted again inside.
 
 Documents' places in a permutation are keyed hashes, so whether a document is in the last pass is a comparison with its
-source's threshold: texts are never shuffled, and a hot source needs no task of its own.
+source's threshold, and a hot source needs no task of its own. The schedule shuffles no texts; ``mix_documents`` shuffles
+them once, by ranges of the schedule's order.
 """
 
 from __future__ import annotations
@@ -93,6 +94,18 @@ def _sizes(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
     return save(docs.select(key.alias("doc_id"), source.alias("source"), text_tokens(F.col(text_col).cast("string")).alias("n_tokens"), _place(key, seed).alias("place")), "mix-sizes")
 
 
+def _block(copy: str, place: str, repeats: str, budget: str, block_tokens: int) -> Column:
+    """The block of a use: blocks take a source in the order of its passes, and of the places within a pass."""
+    blocks = F.ceil(F.col(budget) / block_tokens)
+    progress = (F.col(copy) + F.col(place) / F.lit(float(1 << 63))) / F.col(repeats)
+    return F.least(F.floor(progress * blocks), blocks - 1)
+
+
+def _mixed(key: str, copy: str, seed: int) -> Column:
+    """What a block's uses are ordered by."""
+    return F.xxhash64(F.lit(seed + 1), key, copy)
+
+
 def mixing_schedule(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget_tokens: int | None = None, block_tokens: int = 1_000_000, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per use of a document: doc_id, source, n_tokens, copy, block, position, weight, repeats.
 
@@ -104,18 +117,23 @@ def mixing_schedule(docs: DataFrame, target_entropy: float | None = None, max_re
     used = sizes.join(_small(plan.select("source", "weight", "budget", "repeats", "passes", "last_place")), "source")
     used = used.withColumn("copies", F.col("passes") + (F.col("place") <= F.col("last_place")).cast("int")).where("copies > 0")
     used = used.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    blocks = F.ceil(F.col("budget") / block_tokens)
-    progress = (F.col("copy") + F.col("place") / F.lit(float(1 << 63))) / F.col("repeats")
-    used = used.withColumn("block", F.least(F.floor(progress * blocks), blocks - 1)).withColumn("mixed", F.xxhash64(F.lit(seed + 1), "doc_id", "copy"))
+    used = used.withColumn("block", _block("copy", "place", "repeats", "budget", block_tokens)).withColumn("mixed", _mixed("doc_id", "copy", seed))
     position = F.row_number().over(Window.partitionBy("block").orderBy("mixed", "doc_id", "copy", "n_tokens")) - 1
     return used.select("doc_id", "source", "n_tokens", "copy", "block", position.alias("position"), "weight", "repeats")
 
 
-def mix_documents(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget_tokens: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture uses it, with the columns of ``docs``; texts stay in their tasks."""
+def mix_documents(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget_tokens: int | None = None, block_tokens: int = 1_000_000, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mixture uses it, with the columns of ``docs``, in the schedule's order:
+    by block, and permuted inside. The rows are dealt by ranges of that order, which can cut a block but not mix blocks
+    up; uses of one row lie a pass apart. Rows of one id are in either order."""
     plan = source_plan(_sizes(docs, seed, id_col, text_col, source_col), target_entropy, max_repeats, budget_tokens)
-    p = _small(plan.select(F.col("source").alias("__mix_source"), F.col("passes").alias("__mix_passes"), F.col("last_place").alias("__mix_last")))
+    p = _small(plan.select(F.col("source").alias("__mix_source"), F.col("passes").alias("__mix_passes"), F.col("last_place").alias("__mix_last"), F.col("repeats").alias("__mix_repeats"), F.col("budget").alias("__mix_budget")))
     used = docs.join(p, F.coalesce(docs[source_col].cast("string"), F.lit("")) == p["__mix_source"])
-    copies = F.col("__mix_passes") + (_place(docs[id_col].cast("long"), seed) <= F.col("__mix_last")).cast("int")
-    used = used.withColumn("__mix_copies", copies).where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return used.drop("__mix_source", "__mix_passes", "__mix_last", "__mix_copies", "__mix_copy")
+    key = docs[id_col].cast("long")
+    used = used.withColumn("__mix_id", key).withColumn("__mix_place", _place(key, seed))
+    copies = F.col("__mix_passes") + (F.col("__mix_place") <= F.col("__mix_last")).cast("int")
+    used = used.withColumn("__mix_copies", copies).where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1)))
+    used = used.withColumn("__mix_block", _block("__mix_copy", "__mix_place", "__mix_repeats", "__mix_budget", block_tokens))
+    used = used.withColumn("__mix_mixed", _mixed("__mix_id", "__mix_copy", seed))
+    order = ["__mix_block", "__mix_mixed", "__mix_id", "__mix_copy"]
+    return used.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select(*(used[c] for c in docs.columns))
