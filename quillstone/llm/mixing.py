@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import save
+from quillstone.llm.store import save, spare
 
 SECTIONS, STEPS, SLICES = 32, 6, 4096
 
@@ -127,13 +127,12 @@ def mix_documents(docs: DataFrame, target_entropy: float | None = None, max_repe
     by block, and permuted inside. The rows are dealt by ranges of that order, which can cut a block but not mix blocks
     up; uses of one row lie a pass apart. Rows of one id are in either order."""
     plan = source_plan(_sizes(docs, seed, id_col, text_col, source_col), target_entropy, max_repeats, budget_tokens)
-    p = _small(plan.select(F.col("source").alias("__mix_source"), F.col("passes").alias("__mix_passes"), F.col("last_place").alias("__mix_last"), F.col("repeats").alias("__mix_repeats"), F.col("budget").alias("__mix_budget")))
-    used = docs.join(p, F.coalesce(docs[source_col].cast("string"), F.lit("")) == p["__mix_source"])
+    source, passes, last, repeats, budget, of, place, copies, copy, block, mixed = (spare(docs, f"mix_{n}") for n in "source passes last repeats budget id place copies copy block mixed".split())
+    p = _small(plan.select(*(F.col(c).alias(n) for c, n in zip("source passes last_place repeats budget".split(), (source, passes, last, repeats, budget)))))
+    used = docs.join(p, F.coalesce(docs[source_col].cast("string"), F.lit("")) == p[source])
     key = docs[id_col].cast("long")
-    used = used.withColumn("__mix_id", key).withColumn("__mix_place", _place(key, seed))
-    copies = F.col("__mix_passes") + (F.col("__mix_place") <= F.col("__mix_last")).cast("int")
-    used = used.withColumn("__mix_copies", copies).where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1)))
-    used = used.withColumn("__mix_block", _block("__mix_copy", "__mix_place", "__mix_repeats", "__mix_budget", block_tokens))
-    used = used.withColumn("__mix_mixed", _mixed("__mix_id", "__mix_copy", seed))
-    order = ["__mix_block", "__mix_mixed", "__mix_id", "__mix_copy"]
+    used = used.withColumn(of, key).withColumn(place, _place(key, seed))
+    used = used.withColumn(copies, F.col(passes) + (F.col(place) <= F.col(last)).cast("int")).where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+    used = used.withColumn(block, _block(copy, place, repeats, budget, block_tokens)).withColumn(mixed, _mixed(of, copy, seed))
+    order = [block, mixed, of, copy]
     return used.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select(*(used[c] for c in docs.columns))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.store import spare
+
 ROUNDS = 10
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -251,7 +253,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
         raise ValueError("a key is needed")
     text = F.col(text_col).cast("string")
     # Three arrays of one row: the parts between findings, the findings, their pseudonyms.
-    work = "__quillstone_pii"
+    work = spare(docs, "pii_work")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     some = text.rlike("[0-9@]")
     d = docs.withColumn(work, F.when(some, F.struct(F.split(text, ANY, -1).alias("between"), found.alias("found"), F.transform(found, lambda m: pseudonym(m, key)).alias("new"))))

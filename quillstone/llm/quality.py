@@ -92,14 +92,14 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "qu
     """Weights from ``labels`` (id, label 0 or 1) joined with the texts; at most ``max_rows`` rows are taken.
 
     Rows with a null id or label are left out, and so are ids without a text row. Of an id's repeated labels the
-    smallest counts. Without any rows all weights are 0, so that every score is 0.5.
+    smallest counts, and of its texts the first in order. Without any rows all weights are 0, so that every score is 0.5.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     key = F.xxhash64("id")
     sample = known.withColumn("key", key).orderBy("key", "id").limit(max_rows)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = d.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("key", "label", "text")
+    rows = d.join(F.broadcast(sample), "id").groupBy("id", "key", "label").agg(F.min("text").alias("text")).select("key", "label", "text")
     made = rows.mapInArrow(_feature_rows(bits), "key long, label int, slots binary, values binary")
     row = made.groupBy(F.lit(0).alias("all")).applyInArrow(_trainer(bits, epochs), "weights binary").first()
     return np.frombuffer(row.weights, np.float32) if row else np.zeros((1 << bits) + 1, np.float32)

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from quillstone.llm import chat, mixing, ngram_lm, packing, pii, quality, simhash, tiff, token_files, vectors
 
 END_ID = 2
-PII_KEY = "replace this key by a secret one"
+#: The session's setting that holds the secret key of pseudonyms, and the key where it is unset, as in tests.
+PII_KEY_CONF, TEST_PII_KEY = "spark.quillstone.pii.key", "not a secret: set spark.quillstone.pii.key"
 MAX_REPEATS = 1.5
+#: The first eighth of a document is context for the rest, and a sequence trains on at most 15/16 of its 4,096 ids.
+CONTEXT_SHARE, MAX_LOSS = 0.125, 3840
 
 
 def vocabulary() -> str:
@@ -21,13 +24,17 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_KEY_CONF, None) or TEST_PII_KEY
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY, count_col="n_replaced")
+    return pii.pseudonymise(docs, pii_key(spark), count_col="n_replaced")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +55,8 @@ def op4_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 7
-    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), held_out=fold == 2, deleted=fold == 3)
+    scored = ngram_lm.score_documents(table(spark, sf_dir, "documents"), held_out=fold == 2, deleted=fold == 3)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +64,7 @@ def op6_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), END_ID, context_share=CONTEXT_SHARE, max_loss=MAX_LOSS)
 
 
 def op8_mixing_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +73,11 @@ def op8_mixing_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tiff.tiff_pages(tiff.text_media(table(spark, sf_dir, "documents")))
-    return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return pages.where("page = 0").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def _quality_held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
 def trained_quality_model(docs: DataFrame, labels: DataFrame) -> np.ndarray:

@@ -27,29 +27,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import connected_components
-from quillstone.llm.store import released, save, small_batches
+from quillstone.llm.store import released, save, small_batches, spare
 
 BITS = 64
 
 
-def fingerprint(text: str | None, words_per_shingle: int) -> int:
-    """Lower-cases A-Z, cuts at ASCII white space, hashes shingles by XXH64 (seed 42); no words: 0."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    if len(words) <= words_per_shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+def shingle_hashes(words: list[bytes], per_shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of words joined by blanks, repeats included; fewer words are one shingle, none give none."""
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= per_shingle:
+        return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64)
     joined = b" ".join(words)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    first = np.concatenate([[0], stops[: -words_per_shingle] + 1])
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(first.tolist(), stops[words_per_shingle - 1 :].tolist())], np.uint64)
+    first = np.concatenate([[0], stops[:-per_shingle] + 1])
+    return np.array([digest(joined[a:b], 42) for a, b in zip(first.tolist(), stops[per_shingle - 1 :].tolist())], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _words(text: str | None) -> list[bytes]:
+    """A-Z are lowered and ASCII white space cuts."""
+    return (text or "").encode().lower().split()
+
+
+def fingerprint(text: str | None, words_per_shingle: int) -> int:
+    """The majority of the shingles' hashes bit by bit; no words: 0."""
+    return _majority(shingle_hashes(_words(text), words_per_shingle))
+
+
 def fingerprints(text: str | Column, words_per_shingle: int = 3) -> Column:
     """The fingerprint of a whole text as a long (the same 64 bits); null and wordless texts get 0."""
 
@@ -148,13 +158,6 @@ def fingerprint_components(groups: DataFrame, radius: int) -> DataFrame:
     return placed.join(least, "component").select("fp", "component_id")
 
 
-def distinct_documents(docs: DataFrame, words_per_shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id; other columns stay as they are."""
-    found = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words_per_shingle, radius)
-    extra = save(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-drop")
-    return docs.join(extra, docs[id_col] == extra["doc_id"], "left_anti")
-
-
 def part_masks(radius: int) -> list[int]:
     """Covering masks for half the radius over each half of the fingerprint. Labels are dealt from the largest down: for
     radius 10 or 11 these are the words of a Reed-Muller code, and every mask keeps 16 bits of its half or all 32."""
@@ -166,16 +169,36 @@ def part_masks(radius: int) -> list[int]:
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; a text with fewer words is one shingle, no words give none."""
-    found = (text or "").encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(b" ".join(found[k : k + words]), 42) for k in range(max(1, len(found) - words + 1))] if found else []
-    return np.unique(np.array(hashes, np.uint64))
+    return np.unique(shingle_hashes(_words(text), words))
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 42)
 
 
-def _shingles(text: str, words: int) -> Column:
+def _sketches(text: str, fingerprint_words: int, words: int) -> Column:
+    """Fingerprint, id of the shingle set and its size."""
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            w = _words(t)
+            s = np.unique(shingle_hashes(w, words))
+            rows.append((_majority(shingle_hashes(w, fingerprint_words)), _set_id(s), len(s)))
+        fp, node, n = zip(*rows) if rows else ((), (), ())
+        return pd.DataFrame({"fp": np.array(fp, np.uint64).astype(np.int64), "node": np.array(node, np.uint64).astype(np.int64), "n": np.array(n, np.int64)})
+
+    @F.pandas_udf("fp long, node long, n long")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(lambda them: map(of, them))(batches)
+
+    return udf(text)
+
+
+def _sets(text: str, words: int) -> Column:
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"node": np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).astype(np.int64), "shingles": [x.view(np.int64) for x in sets]})
+        return pd.DataFrame({"node": np.array([_set_id(x) for x in sets], np.uint64).astype(np.int64), "shingles": [x.view(np.int64) for x in sets]})
 
     @F.pandas_udf("node long, shingles array<long>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -184,69 +207,74 @@ def _shingles(text: str, words: int) -> Column:
     return udf(text)
 
 
+_DEALT = "table int, bits long, fp long, n long, component long"
+
+
 def _dealt(masks: list[int]):
-    """Each row once a table, with the table and its masked bits as one key of 64 bits."""
+    """Each row once a table, with the bits that the table's mask keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.array(masks, np.uint64)[:, None]
-        t = np.arange(len(masks), dtype=np.uint64)[:, None] << np.uint64(32)
+        m, t = np.array(masks, np.uint64)[:, None], np.arange(len(masks), dtype=np.int32)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                fp = part.column("fp").to_numpy().view(np.uint64)[None, :]
-                low = fp & m
-                cols = {"key": (t | low >> np.uint64(32) | low & np.uint64(0xFFFFFFFF)).ravel().view(np.int64)}
-                cols |= {c: np.tile(part.column(c).to_numpy(), len(masks)) for c in ("fp", "node", "n", "component")}
-                yield pa.record_batch(cols)
+                bits = part.column("fp").to_numpy().view(np.uint64)[None, :] & m
+                cols = {"table": np.repeat(t, part.num_rows), "bits": bits.ravel().view(np.int64)}
+                yield pa.record_batch(cols | {c: np.tile(part.column(c).to_numpy(), len(masks)) for c in ("fp", "n", "component")})
 
     return released(run)
 
 
 def _candidates(masks: list[int], radius: int, similarity: float, neighbours: bool):
-    """Pairs of nodes within the radius out of rows sorted by key. ``neighbours``: only each row with the next of its key
-    and with the first; otherwise all pairs of different components, each by the first of the tables in which it meets."""
+    """Pairs of rows of one bucket, within the radius and of sizes that allow the similarity, out of rows sorted by bucket and
+    component. ``neighbours``: only each row with the next of its bucket and with the first; otherwise all pairs of
+    different components, each by the first of the tables in which it meets."""
     few = 400_000
 
     def pairs(rows: list[np.ndarray]):
-        key, fp, node, n, component = rows
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(np.append(first, len(key)))
+        table, bits, fp, n, component = rows
+        new = np.concatenate([[True], (np.diff(table) != 0) | (np.diff(bits) != 0)])
+        first = np.flatnonzero(new)
+        length = np.diff(np.append(first, len(table)))
         stop, start = np.repeat(first + length, length), np.repeat(first, length)
 
         def kept(i, j):
-            with np.errstate(invalid="ignore"):
-                ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
             i, j = i[ok], j[ok]
-            near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-            i, j = i[near], j[near]
+            differ = fp[i] ^ fp[j]
+            near = np.bitwise_count(differ) <= radius
+            i, j, differ = i[near], j[near], differ[near]
             if not neighbours and len(i):
-                differ, met = fp[i] ^ fp[j], np.full(len(i), -1)
+                met = np.full(len(i), -1)
                 for t, m in enumerate(masks):
                     met[(met < 0) & (differ & np.uint64(m) == 0)] = t
-                ok = met == key[i] >> 32
+                ok = met == table[i]
                 i, j = i[ok], j[ok]
-            return pa.record_batch({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+            return pa.record_batch({"x": fp[i].view(np.int64), "x_component": component[i], "y": fp[j].view(np.int64), "y_component": component[j]})
 
-        i = np.arange(len(key))
+        i = np.arange(len(table))
         if neighbours:
             yield kept(i[start < i], start[start < i])
             yield kept(i[i + 1 < stop], i[i + 1 < stop] + 1)
             return
-        d = 1
-        while len(i := i[i + d < stop[i]]):
-            yield kept(i, i + d)
+        # The rows of one component lie together: each row meets those of the bucket's later components only.
+        own = np.flatnonzero(new | np.concatenate([[True], np.diff(component) != 0]))
+        after = np.repeat(np.append(own[1:], len(table)), np.diff(np.append(own, len(table))))
+        d = 0
+        while len(i := i[after[i] + d < stop[i]]):
+            yield kept(i, after[i] + d)
             d += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            key, fp, node, n, component = (b.column(c).to_numpy() for c in ("key", "fp", "node", "n", "component"))
-            held.append([key, fp.view(np.uint64), node, n, component])
-            size += len(key)
+            table, bits, fp, n, component = (b.column(c).to_numpy() for c in ("table", "bits", "fp", "n", "component"))
+            held.append([table, bits, fp.view(np.uint64), n, component])
+            size += len(table)
             if size >= few:
                 rows = [np.concatenate(c) for c in zip(*held)]
-                # The last key's rows may go on in the next batch.
-                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                # The last bucket's rows may go on in the next batch.
+                cut = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1])).max(initial=-1)) + 1
                 if cut:
                     yield from pairs([c[:cut] for c in rows])
                 held, size = [[c[cut:].copy() for c in rows]], size - cut
@@ -257,41 +285,47 @@ def _candidates(masks: list[int], radius: int, similarity: float, neighbours: bo
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3, radius: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for the rows with a doc_id: the smallest doc_id reachable over pairs of texts whose sets of
-    ``words``-word shingles have at least the Jaccard similarity.
+    """(doc_id, text_hash, node, component, rep) for each row. Rows of one component are joined by pairs of texts whose sets
+    of ``words``-word shingles have at least the Jaccard similarity; ``rep`` is the component's (no_id, doc_id, text_hash)
+    with the smallest doc_id, ids before nulls.
 
     Candidates are all pairs whose fingerprints differ in at most ``radius`` bits; every link is checked on the shingles.
-    A first round checks neighbours within the tables' buckets, linear in a bucket; the second checks the other pairs, but
-    none whose texts the first has joined, so that a large group of copies costs no pair each. Texts of equal shingle
-    sets, such as texts without words, are one node from the start.
+    A first round, with covering masks for 3 bits, checks neighbours within the tables' buckets; the second checks the
+    other pairs, but none whose texts the first has joined, so that a large group of copies costs no pair each. Texts of
+    equal shingle sets, such as texts without words, are one node from the start.
     """
     small_batches(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    made = d.select("doc_id", fingerprints("text", fingerprint_words).alias("fp"), _shingles("text", words).alias("s"))
-    marked = save(made.select("doc_id", "fp", "s.node", F.size("s.shingles").alias("n")), "similar")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    marked = save(d.withColumn("s", _sketches("text", fingerprint_words, words)).select("doc_id", "text_hash", "s.fp", "s.node", "s.n"), "similar")
     # Texts of equal sets can have different fingerprints, as these count repeated shingles: each stays a candidate.
-    nodes = save(marked.groupBy("node", "fp").agg(F.first("n").cast("long").alias("n")), "similar-nodes")
-    reps = save(marked.groupBy("node").agg(F.min("doc_id").alias("rep")), "similar-reps")
-    masks = part_masks(radius)
+    nodes = save(marked.groupBy("node", "fp").agg(F.first("n").alias("n")), "similar-nodes")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    reps = save(marked.groupBy("node").agg(F.min(order).alias("rep")), "similar-reps")
     links = joined = None
-    for neighbours in (True, False):
+    for masks, neighbours in ((covering_masks(list(range(BITS)), 3), True), (part_masks(radius), False)):
         keyed = nodes.withColumn("component", F.col("node")) if joined is None else nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        dealt = keyed.select("fp", "node", "n", "component").mapInArrow(_dealt(masks), "key long, fp long, node long, n long, component long")
-        pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(masks, radius, similarity, neighbours), "a long, b long")
-        true = _checked(d, reps, save(pairs.distinct(), "similar-pairs"), words, similarity)
+        keyed = keyed.select("node", "fp", "n", "component")
+        dealt = keyed.select("fp", "n", "component").distinct().mapInArrow(_dealt(masks), _DEALT)
+        met = dealt.repartition("table", "bits").sortWithinPartitions("table", "bits", "component").mapInArrow(_candidates(masks, radius, similarity, neighbours), "x long, x_component long, y long, y_component long").distinct()
+        side = lambda end, name: keyed.select(F.col("node").alias(name), F.col("fp").alias(end), F.col("component").alias(f"{end}_component"))  # noqa: E731, B023
+        pairs = met.join(side("x", "a"), ["x", "x_component"]).join(side("y", "b"), ["y", "y_component"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if neighbours:
+            least = pairs.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+            pairs = least.select("b", F.explode(F.array("low", "high")).alias("a"))
+        true = _checked(d, reps, save(pairs.select("a", "b").distinct(), "similar-pairs"), words, similarity)
         links = true if links is None else links.union(true)
         joined = save(connected_components(links), "similar-components")
     placed = reps.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "component").select("node", "component_id")
-    return marked.join(named, "node").select("doc_id", "component_id")
+    least = placed.groupBy("component").agg(F.min("rep").alias("rep"))
+    named = placed.select("node", "component").join(least, "component")
+    return marked.select("doc_id", "text_hash", "node").join(named, "node")
 
 
 def _checked(d: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes that have the similarity; only texts that are in a pair are cut into shingles."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = save(reps.join(ends, "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("wanted")), "similar-asked")
-    cut = d.join(asked, "doc_id").select("wanted", _shingles("text", words).alias("s")).where("s.node = wanted")
+    asked = save(reps.join(ends, "node").select(F.col("rep.doc_id").alias("of"), F.col("rep.text_hash").alias("text_hash"), F.col("node").alias("wanted")), "similar-asked")
+    cut = d.join(asked, (d["text_hash"] == asked["text_hash"]) & d["doc_id"].eqNullSafe(asked["of"])).select("wanted", _sets("text", words).alias("s")).where("s.node = wanted")
     sets = save(cut.select("s.node", "s.shingles").dropDuplicates(["node"]), "similar-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -299,7 +333,19 @@ def _checked(d: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, simila
 
 
 def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id; rows with a null id stay."""
+    """One row of each group of similar documents: the first by doc_id (null ids last), then by the text's hash.
+
+    Rows are told apart by id and text: a text whose id other rows have too is not lost with them. Of rows with the same
+    id and text, one stays: the first by the hash of all columns.
+    """
     found = similar_documents(docs, words, similarity, id_col=id_col, text_col=text_col)
-    extra = save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__similar")).distinct(), "similar-drop")
-    return docs.join(extra, docs[id_col] == extra["__similar"], "left_anti")
+    first = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash"))
+    rows = save(found.groupBy("doc_id", "text_hash").agg(F.first(first).alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "similar-rows")
+    mine = docs.withColumn(spare(docs, "of"), F.col(id_col).cast("long")).withColumn(spare(docs, "hash"), F.xxhash64(F.col(text_col).cast("string")))
+    of, hash_ = F.col(spare(docs, "of")), F.col(spare(docs, "hash"))
+    same = of.eqNullSafe(rows["doc_id"]) & (hash_ == rows["text_hash"])
+    single = mine.join(rows, same, "left_anti").select(*docs.columns)
+    repeated = mine.join(rows.where("first"), same, "left_semi")
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = repeated.groupBy(of, hash_).agg(F.min_by(every, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")).select("row.*")
+    return single.union(one)

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one is set."""
+    """A new folder's URI below spark.checkpoint.dir; where that is unset and the master is local, a temporary one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-quillstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -29,6 +31,14 @@ def save(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that save() wrote and that no later job reads."""
     for at in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:

@@ -231,8 +231,6 @@ def test_near_duplicates_edge_cases(spark, docs, none):
         got.setdefault(r.doc_id, set()).add((r.fp, r.component_id))
     assert all(len(v) == 1 for v in got.values()) and simhash.near_duplicates(docs).count() == docs.count()
     assert got[40] == got[41] == got[42] == {(0, 40)} and {c for _, c in got[44]} == {43}
-    kept = simhash.distinct_documents(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {40, 43, None} and not {41, 42, 44} & {r.doc_id for r in kept.collect()}
     assert simhash.near_duplicates(none).count() == 0
 
 
@@ -316,24 +314,24 @@ def test_mixture_meets_its_limits(spark, none):
 
 
 # TIFF.
-@pytest.mark.parametrize("code", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("code", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.OLD_DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("tile", [0, 16])
 @pytest.mark.parametrize("big", [False, True])
 def test_tiff_pages_round_trip(code, tile, big):
     rng = np.random.default_rng(code + tile)
     pages = [rng.integers(0, 9, (75, 41)).astype(np.uint8), (np.arange(90 * 64) % 251).astype(np.uint8).reshape(90, 64), rng.integers(0, 256, (200, 100)).astype(np.uint8)]
     for predictor in (1, 2):
-        raw = tiff.write_grey(pages[0], code, predictor, strip_bytes=300, tile=tile, big_endian=big, more=pages[1:])
-        back = tiff.read_pages(raw)
+        raw = tiff.write_pages([(p, code, predictor, tile) for p in pages], strip_bytes=300, big_endian=big)
+        back = list(tiff.read_pages(raw))
         assert len(back) == 3 and all(np.array_equal(a, b[:, :, 0]) for a, b in zip(pages, back))
 
 
 def test_broken_tiff_is_an_error_row(spark, docs, none):
-    good = tiff.write_grey(np.zeros((3, 4), np.uint8))
+    good = tiff.write_pages([(np.zeros((3, 4), np.uint8), tiff.DEFLATE, 1, 0)])
     rows = [(1, 1, bytearray(b"nothing")), (2, 1, bytearray(good[:20])), (3, 1, None), (4, 1, bytearray(good))]
     got = {r.doc_id: r for r in tiff.tiff_pages(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
     assert all(got[k].error and got[k].page is None for k in (1, 2, 3)) and got[4].error is None and got[4].payload_bytes == 12
-    pages = tiff.tiff_pages(tiff.text_media(docs)).collect()
+    pages = tiff.tiff_pages(tiff.text_media(docs)).where("page = 0").collect()
     want = Counter()
     for k, t in rows_of(docs):
         raw = (t or "").encode()

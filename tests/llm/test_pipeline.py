@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillstone.llm import pii, quality
-from quillstone.llm.queries import PII_KEY, queries, trained_quality_model, vocabulary
+from quillstone.llm.queries import pii_key, queries, trained_quality_model, vocabulary
 from tests.llm.test_llm_operators import plain_components, plain_fingerprint, plain_ids
+from tests.llm.test_similar import plain_set
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -23,8 +24,8 @@ def test_stages_match_brute_force(spark):
     scores = {r.doc_id: r.s for r in docs.select("doc_id", quality.quality_score(docs, weights).alias("s")).collect()}
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, s in scores.items() if s >= 0.3}
     texts = {r.doc_id: r.text for r in kept.collect()}
-    fp = {k: plain_fingerprint(t, 3) for k, t in texts.items()}
-    label = plain_components(list(fp), [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
+    sets = {k: plain_set(t, 5) for k, t in texts.items()}
+    label = plain_components(list(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     single = stages["SimHash near-dedup"](spark, kept, SF)
     assert single.columns == docs.columns and {r.doc_id for r in single.collect()} == {k for k, c in label.items() if k == c}
     hidden = stages["PII pseudonyms"](spark, single, SF)
@@ -42,7 +43,7 @@ def test_stages_match_brute_force(spark):
 def test_pii_of_the_table_is_gone(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = r"[a-z]+\.[0-9]+@mail[0-9]\.example\.com|\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
-    before, after = ([v for r in d.select(F.regexp_extract_all("text", F.lit(found), F.lit(0)).alias("v")).collect() for v in r.v] for d in (docs, pii.pseudonymise(docs, PII_KEY)))
+    before, after = ([v for r in d.select(F.regexp_extract_all("text", F.lit(found), F.lit(0)).alias("v")).collect() for v in r.v] for d in (docs, pii.pseudonymise(docs, pii_key(spark))))
     assert before and len(before) == len(after) and not set(before) & set(after) and len(set(before)) == len(set(after))
 
 
