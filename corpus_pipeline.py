@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import mixing, packing, pii, quality, simhash
-from quillstone.llm.queries import END_ID, MAX_REPEATS, PII_KEY, trained_quality_model, vocabulary
+from quillstone.llm.queries import CONTEXT_SHARE, END_ID, MAX_LOSS, MAX_REPEATS, pii_key, trained_quality_model, vocabulary
 from quillstone.llm.store import shared_folder
 
 
@@ -24,7 +24,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs, PII_KEY)
+    return pii.pseudonymise(docs, pii_key(spark))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, vocabulary(), END_ID)
+    return packing.pack_documents(docs, vocabulary(), END_ID, context_share=CONTEXT_SHARE, max_loss=MAX_LOSS)
 
 
 STAGES = [
