@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.sizes import broadcast_if_small
+from quillstone.sources.tables import save_table
+
 # Known tickers, and words of company names in the order in which they are tried.
 TICKERS = (
     "AAPL MSFT AMZN GOOGL GOOG META NVDA TSLA JPM V JNJ WMT PG UNH HD DIS BAC XOM PFE CVX KO ABBV AVGO COST MRK TMO CSCO NKE ORCL CRM LLY AMD INTC QCOM "
@@ -23,16 +30,24 @@ COMPANIES = {
 }
 
 
-def question_filters(question: Column, tickers: list[str] = TICKERS, companies: dict[str, str] = COMPANIES) -> Column:
+#: A name between characters that are no letters, digits or underscores.
+NAME = r"(^|[^\p{{L}}\p{{N}}_]){}($|[^\p{{L}}\p{{N}}_])"
+
+
+def question_filters(question: Column, tickers: list[str] = TICKERS, companies: dict[str, str] = COMPANIES, mode: str = "words") -> Column:
     """struct<ticker, filing_type, year> named by a question; null where it names none.
 
-    One known ticker in capitals counts; with none or several, the first company of the list whose name occurs does.
+    One known ticker in capitals counts; with none or several, the first company of the list whose name occurs does. In
+    the mode 'words' a name is to stand alone; 'compat' also finds it inside other words ("artificial intelligence"
+    names Intel), as substring search does.
     """
+    if mode not in ("words", "compat"):
+        raise ValueError("mode is 'words' or 'compat'")
     words = F.regexp_extract_all(question, F.lit(r"(?U)\b([A-Z]{1,5})\b"), F.lit(1))
     named = F.array_intersect(F.array(*map(F.lit, tickers)), words)
-    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("ticker")) for n, t in companies.items()))
+    pairs = F.array(*(F.struct(F.lit(n if mode == "compat" else NAME.format(n)).alias("name"), F.lit(t).alias("ticker")) for n, t in companies.items()))
     low = F.lower(question)
-    company = F.get(F.filter(pairs, lambda p: F.contains(low, p["name"])), F.lit(0))["ticker"]
+    company = F.get(F.filter(pairs, lambda p: F.contains(low, p["name"]) if mode == "compat" else F.rlike(low, p["name"])), F.lit(0))["ticker"]
     form = F.when(question.rlike(r"(?i)\b10-?K\b"), "10-K").when(question.rlike(r"(?i)\b10-?Q\b"), "10-Q").when(question.rlike(r"(?i)\b8-?K\b"), "8-K")
     year = F.nullif(F.regexp_extract(question, r"(?i)\b(?:FY|fiscal\s+)?(20\d{2})\b", 1), F.lit(""))
     return F.struct(F.when(F.size(named) == 1, F.get(named, F.lit(0))).otherwise(company).alias("ticker"), form.alias("filing_type"), year.alias("year"))
@@ -57,42 +72,96 @@ def cosine(a: str, b: str) -> Column:
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, decimals: int = 9) -> DataFrame:
+def _block_top(ids: list[int], vectors: np.ndarray, k: int, decimals: int):
+    """The best k of each batch of a corpus for each of a block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        for b in batches:
+            keys, vec = b.column("chunk_id").to_numpy(), b.column("vec")
+            whole = np.flatnonzero(np.diff(vec.offsets.to_numpy()) == q.shape[1]) if len(vec) else np.zeros(0, np.int64)
+            m = np.stack([vec[int(i)].values.to_numpy(zero_copy_only=False) for i in whole]) if len(whole) else np.zeros((0, q.shape[1]))
+            norm = np.linalg.norm(m, axis=1)
+            good = np.isfinite(norm) & (norm > 0)
+            m, mine = m[good] / norm[good, None], keys[whole[good]]
+            score = np.round(q @ m.T, decimals)
+            # Scores tie, and ties go to the smaller id: the batch lies by id and a stable sort keeps that order.
+            by_id = np.argsort(mine, kind="stable")
+            best = np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]
+            at = by_id[best]
+            yield pa.record_batch({"query_id": np.repeat(np.array(ids, np.int64), at.shape[1]), "chunk_id": mine[at].ravel(), "score": np.take_along_axis(score, at, 1).ravel()})
+
+    return run
+
+
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, decimals: int = 9, block: int = 1000) -> DataFrame:
     """Exact top k by cosine for each of a stated set of queries (query_id, qvec); corpus has (chunk_id, vec).
 
-    The query side is broadcast behind a check of its size and ranks are cut per task first (WindowGroupLimit). Scores
-    are rounded before ranking and ties go to the smaller chunk_id.
+    Queries go to the tasks in blocks of about ``block``, each a matrix that a task multiplies with its batches of the
+    corpus and cuts to k; only those rows are shuffled and ranked. Scores are rounded before ranking and ties go to the
+    smaller chunk_id. Null, zero and non-finite vectors, and those of another length, have no cosine and no row.
     """
-    few = queries.limit(1001).count() <= 1000
-    scored = corpus.crossJoin(F.broadcast(queries) if few else queries).withColumn("score", F.round(cosine("qvec", "vec"), decimals))
+    blocks = -(-max(1, queries.count()) // block)
+    dealt = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    c = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    found = None
+    for i in range(blocks):
+        rows = [r for r in dealt.where(F.col("block") == i).collect() if r.qvec and None not in r.qvec and 0 < np.linalg.norm(r.qvec) < np.inf]
+        for size in {len(r.qvec) for r in rows}:
+            mine = [r for r in rows if len(r.qvec) == size]
+            top = c.mapInArrow(_block_top([r.query_id for r in mine], np.array([r.qvec for r in mine]), k, decimals), "query_id long, chunk_id long, score double")
+            found = top if found is None else found.union(top)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+
+
+def dense_where(queries: DataFrame, corpus: DataFrame, k: int, fits: Column, decimals: int = 9) -> DataFrame:
+    """``dense_top_k`` among the pairs for which ``fits`` holds; only these get a cosine. The query side, whose columns
+    ``fits`` may name besides the corpus's, is broadcast behind a check of its size."""
+    scored = corpus.join(broadcast_if_small(queries), fits).withColumn("score", F.round(cosine("qvec", "vec"), decimals))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return scored.where("score is not null").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_]{2,})"), F.lit(1))
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """Term frequencies with the length of each text: (chunk_id, term, tf, dl)."""
-    t = corpus.select("chunk_id", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    return t.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+#: Rows of query terms that a task may hold, at well under 100 bytes each.
+QUERY_TERMS = 1_000_000
+
+
+def postings(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Term frequencies of the queries' terms from one scan of the texts, written once: (chunk_id, dl, term, tf, and the other
+    columns of ``corpus``). Each text also has a row for the term '', so that lengths and their number are there too."""
+    more = [c for c in corpus.columns if c not in ("chunk_id", "text")]
+    asked = queries.select(F.explode(F.concat(F.array(F.lit("")), tokens(F.col("text")))).alias("term")).distinct()
+    t = corpus.select("chunk_id", *more, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms"))
+    rows = t.select("chunk_id", *more, "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    hits = rows.join(broadcast_if_small(asked, QUERY_TERMS), "term", "left_semi")
+    return save_table(hits.groupBy("chunk_id", *more, "dl", "term").agg(F.count("*").alias("tf")), "postings")
 
 
-def bm25_scores(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_scores(queries: DataFrame, corpus: DataFrame, fits: Column | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score) with idf ln(1 + (N - df + 0.5) / (df + 0.5)); statistics are of the whole corpus.
 
-    Only terms of the queries are kept before anything is grouped.
+    The postings are dealt by chunk and the queries' terms broadcast behind a check of their size, so the pairs of a query
+    and a text arise, are added up and (by ``top_k``) cut within a task and are never shuffled. Parts are added as whole
+    billionths, in any order. ``fits`` keeps the pairs for which it holds; it may name other columns of both tables.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    lengths = corpus.select("chunk_id", tokens(F.col("text")).alias("terms")).select("chunk_id", "terms", F.size("terms").alias("dl"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = lengths.select("chunk_id", "dl", F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = tf.join(df, "term").crossJoin(F.broadcast(whole)).withColumn("part", part).join(terms, "term")
-    return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.round("part", 9).cast("decimal(28,9)")), 6).cast("double").alias("score"))
+    p = postings(queries, corpus)
+    whole = p.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    df = p.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    more = [c for c in queries.columns if c != "text"]
+    terms = queries.select(*more, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = terms.join(df, "term").crossJoin(F.broadcast(whole)).select(*more, "term", "avgdl", idf.alias("idf"))
+    rows = p.where("term <> ''").repartition("chunk_id").join(broadcast_if_small(weighed, QUERY_TERMS), "term")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    rows = (rows if fits is None else rows.where(fits)).withColumn("part", F.floor(part * 1e9 + 0.5))
+    return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part") / 1e9, 6).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -150,6 +219,45 @@ def mmr_select(candidates: DataFrame, top_n: int = 3, weight: float = 0.7, overl
     return kept.groupBy("query_id").applyInPandas(choose, "query_id long, chunk_id long, mmr_rank long")
 
 
+def lexical_relevance(question: Column, text: Column) -> Column:
+    """The share of a question's distinct terms that a text has: what stands in for a neural scorer of pairs."""
+    asked = F.array_distinct(tokens(question))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, tokens(text))), F.size(asked)), F.lit(0.0))
+
+
+def recall(queries: DataFrame, corpus: DataFrame, k: int = 40, filters: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Dense and sparse lists for queries (query_id, text, qvec) over chunks (chunk_id, text, vec, ticker, filing_type, date).
+
+    Each question's filters limit both lists; a question that names none goes to dense retrieval alone. Without
+    ``filters`` all questions go to both, unlimited.
+    """
+    if not filters:
+        return dense_top_k(queries, corpus, k), top_k(bm25_scores(queries.select("query_id", "text"), corpus.select("chunk_id", "text")), k)
+    q = save_table(queries.withColumn("filters", question_filters(F.col("text"))), "questions")
+    named = F.coalesce("filters.ticker", "filters.filing_type", "filters.year").isNotNull()
+    fits = fits_filters(F.col("filters"), F.col("ticker"), F.col("filing_type"), F.col("date"))
+    meta = ["ticker", "filing_type", "date"]
+    dense = dense_top_k(q.where(~named), corpus, k).union(dense_where(q.where(named).select("query_id", "qvec", "filters"), corpus.select("chunk_id", "vec", *meta), k, fits))
+    return dense, top_k(bm25_scores(q.where(named).select("query_id", "text", "filters"), corpus.select("chunk_id", "text", *meta), fits), k)
+
+
+def rerank(candidates: DataFrame, questions: DataFrame, corpus: DataFrame, scorer=lexical_relevance, cap: int = 50) -> DataFrame:
+    """The first ``cap`` candidates of a question by rank with a relevance from 0 to 1: ``scorer`` takes the columns of question
+    and text and may be a pandas UDF around a model. (query_id, chunk_id, text, rrf_score, relevance)."""
+    few = candidates.where(F.col("rank") <= cap).select("query_id", "chunk_id", "rrf_score")
+    asked = questions.select("query_id", F.col("text").alias("question"))
+    paired = few.join(asked, "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
+    scored = paired.withColumn("scored", scorer(F.col("question"), F.col("text")))
+    return scored.withColumn("relevance", min_max("scored", "query_id")).select("query_id", "chunk_id", "text", "rrf_score", "relevance")
+
+
+def retrieve(queries: DataFrame, corpus: DataFrame, top_n: int = 3, k: int = 40, scorer=lexical_relevance, filters: bool = True, cap: int = 50) -> DataFrame:
+    """Filters, dense and sparse recall, rank fusion, scoring of the first ``cap`` and diversity selection: (query_id, chunk_id,
+    mmr_rank)."""
+    fused = reciprocal_rank_fusion(*recall(queries, corpus, k, filters))
+    return mmr_select(rerank(fused, queries, corpus, scorer, cap), top_n, cap=cap)
+
+
 def stage_counts(dense: DataFrame, sparse: DataFrame, cap: int = 50) -> DataFrame:
     """Per query: hits of each retriever, distinct candidates, and how many of them go to the reranker."""
     both = dense.select("query_id", "chunk_id", F.lit(1).alias("d")).unionByName(sparse.select("query_id", "chunk_id", F.lit(0).alias("d")))

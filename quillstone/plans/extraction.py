@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import evaluation as ev
 from quillstone.operators import html, retrieval, store, text
 from quillstone.plans.domain import CASES, FILINGS, PANEL, frame
-from quillstone.plans.registry import _BM25, _sparse, query
+from quillstone.plans.registry import _NAMED, _TICKERS_OF, query
 from quillstone.sources import filings
 
 P, FI, CA = (f"({x}) " for x in (PANEL, FILINGS, CASES))
@@ -119,10 +119,7 @@ def T3_T14_T17_filing_facts(spark, d):
 
 
 # Retrieval.
-@query(f"""WITH q AS (SELECT conv_id, turn, text, list_distinct(list_filter(regexp_extract_all(text, '\\b[A-Z]{{1,5}}\\b'), lambda w: w IN ({", ".join(f"'{t}'" for t in retrieval.TICKERS)}))) AS named FROM conversations)
-SELECT conv_id, turn, CASE WHEN len(named) = 1 THEN named[1] {" ".join(f"WHEN contains(lower(text), '{n}') THEN '{t}'" for n, t in retrieval.COMPANIES.items())} END AS ticker,
-CASE WHEN regexp_matches(text, '(?i)\\b10-?K\\b') THEN '10-K' WHEN regexp_matches(text, '(?i)\\b10-?Q\\b') THEN '10-Q' WHEN regexp_matches(text, '(?i)\\b8-?K\\b') THEN '8-K' END AS filing_type,
-nullif(regexp_extract(text, '(?i)\\b(?:FY|fiscal\\s+)?(20\\d{{2}})\\b', 1), '') AS year FROM q""")
+@query(f"WITH q AS (SELECT conv_id, turn, text, {_TICKERS_OF.format('text')} AS named FROM conversations) SELECT conv_id, turn, {_NAMED} FROM q")
 def R1_question_filters(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", retrieval.question_filters(F.col("text")).alias("f")).select("conv_id", "turn", "f.*")
 
@@ -143,14 +140,6 @@ def R9_trigram_overlap(spark, d):
     return c.join(later, ["conv_id", "turn"]).select("conv_id", "turn", retrieval.trigram_jaccard(F.col("text"), F.col("next")).alias("overlap"))
 
 
-@query(f"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0),
-m AS (SELECT query_id // 2 AS question_id, chunk_id, max(1 / (60 + rank)) AS rrf_score FROM r WHERE rank <= 20 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM m)
-SELECT question_id, chunk_id, rrf_score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 25""")
-def R13_best_of_queries(spark, d):
-    fused = retrieval.top_k(_sparse(spark, d), 20).select(F.expr("query_id div 2").alias("question_id"), "chunk_id", (1 / (60 + F.col("rank"))).alias("rrf_score"))
-    return retrieval.best_of_queries(fused, cap=25)
-
-
 # Scoring.
 @query(f"SELECT ticker, year, CASE WHEN net_income >= 0 THEN CAST(substr(year, 3) AS INTEGER) % 2 = 0 END AS value_ok FROM {P} p")
 def E1_value_correct(spark, d):

@@ -255,17 +255,42 @@ def R3_dense_top_k(spark, d):
     return _dense(spark, d).select("query_id", "chunk_id", "rank")
 
 
-_BM25 = r"""
-q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS term FROM benchmark),
-c AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS terms FROM documents), l AS (SELECT chunk_id, len(terms) AS dl FROM c),
-w AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), t AS (SELECT chunk_id, unnest(terms) AS term FROM c), tf AS (SELECT chunk_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-s AS (SELECT q.query_id, tf.chunk_id, CAST(round(sum(CAST(round(ln(1 + (w.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / w.avgdl)), 9) AS DECIMAL(28,9))), 6) AS DOUBLE) AS score FROM tf JOIN df USING (term) JOIN q USING (term) JOIN l USING (chunk_id), w GROUP BY 1, 2)"""
+_TERMS = "regexp_extract_all(lower({}), '[a-z0-9_]{{2,}}')"
+_BM25_OF = """
+c AS (SELECT doc_id AS chunk_id, """ + _TERMS.format("text") + """ AS terms FROM documents), l AS (SELECT chunk_id, len(terms) AS dl FROM c), w AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+qt AS (SELECT query_id, unnest(list_distinct(""" + _TERMS.format("text") + """)) AS term FROM q), t AS (SELECT chunk_id, unnest(terms) AS term FROM c),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT qt.query_id, tf.chunk_id, round(sum(floor(ln(1 + (w.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / w.avgdl)) * 1e9 + 0.5)::BIGINT)::DOUBLE / 1e9, 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term) JOIN l USING (chunk_id), w GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0)"""
+_BM25 = "q AS (SELECT item_id AS query_id, text FROM benchmark)," + _BM25_OF
+# The dense list of the same questions: their vectors are the rows of embeddings with their id, and chunks share the ids of documents.
+_DENSE = f"""e AS ({_VEC}), ds AS (SELECT q.query_id, c.vec_id AS chunk_id, round({_COS.replace('q.v', 'qv.v')}, 6) AS score FROM q JOIN e qv ON qv.vec_id = q.query_id, e c),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds)"""
+_FUSED = """f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS rrf_score, a.rank AS dense_rank, b.rank AS sparse_rank
+FROM (SELECT * FROM dr WHERE rank <= {k}) a FULL JOIN (SELECT * FROM r WHERE rank <= {k}) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"""
 
 
-def _sparse(spark, d):
+def _chunks(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _vectors(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+
+
+def _questions(spark, d):
     q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25_scores(q, spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return q.join(_vectors(spark, d).withColumnRenamed("vec", "qvec"), F.col("query_id") == F.col("chunk_id"), "left").select("query_id", "text", "qvec")
+
+
+def _sparse(spark, d):
+    return retrieval.bm25_scores(_questions(spark, d).select("query_id", "text"), _chunks(spark, d))
+
+
+def _lists(spark, d, k):
+    """Dense and sparse top k of the questions."""
+    dense = retrieval.dense_top_k(_questions(spark, d).select("query_id", "qvec"), _vectors(spark, d), k, decimals=6)
+    return dense, retrieval.top_k(_sparse(spark, d), k)
 
 
 @query(f"WITH {_BM25} SELECT query_id, count(*) AS n, max(score) AS best FROM s GROUP BY 1")
@@ -273,25 +298,60 @@ def R4_R5_bm25(spark, d):
     return _sparse(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
-@query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0) SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
 def R5_bm25_top_k(spark, d):
     return retrieval.top_k(_sparse(spark, d), 20)
 
 
-@query(f"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0), a AS (SELECT * FROM r WHERE rank <= 20),
-b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) AS rank FROM r WHERE rank BETWEEN 11 AND 30),
-f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS rrf_score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id) SELECT * FROM f""")
+@query(f"WITH {_BM25}, {_DENSE}, {_FUSED.format(k=20)} SELECT query_id, chunk_id, rrf_score, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM f")
 def R7_rank_fusion(spark, d):
-    ranked = retrieval.top_k(_sparse(spark, d), 30)
-    again = ranked.where("rank between 11 and 30").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("chunk_id"))))
-    return retrieval.reciprocal_rank_fusion(ranked.where("rank <= 20"), again).select("query_id", "chunk_id", "rrf_score")
+    return retrieval.reciprocal_rank_fusion(*_lists(spark, d, 20)).select("query_id", "chunk_id", "rrf_score", "dense_rank", "sparse_rank")
+
+
+@query(f"""WITH {_BM25}, {_DENSE}, {_FUSED.format(k=20)}, m AS (SELECT query_id // 2 AS question_id, chunk_id, max(rrf_score) AS rrf_score FROM f GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM m) SELECT question_id, chunk_id, rrf_score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 25""")
+def R13_best_of_queries(spark, d):
+    fused = retrieval.reciprocal_rank_fusion(*_lists(spark, d, 20)).withColumn("question_id", F.expr("query_id div 2"))
+    return retrieval.best_of_queries(fused, cap=25)
+
+
+@query(f"""WITH {_BM25}, {_DENSE}, {_FUSED.format(k=40)} SELECT query_id, count(dense_rank) AS dense_recall_count, count(sparse_rank) AS sparse_recall_count, count(*) AS candidate_pool_size, least(count(*), 50) AS rerank_input_size FROM f GROUP BY 1""")
+def R14_stage_counts(spark, d):
+    n = retrieval.stage_counts(*_lists(spark, d, 40))
+    return n.select("query_id", *(F.col(c).cast("bigint").alias(c) for c in n.columns if c != "query_id"))
+
+
+# Filtered retrieval: a third of the questions names a ticker, form and year, a third a company; chunks have these fields by their id.
+_ASKED = "SELECT item_id AS query_id, concat(CASE item_id % 3 WHEN 0 THEN 'What did AAPL say in its 10-K of FY2021? ' WHEN 1 THEN 'What did Microsoft report? ' ELSE '' END, text) AS text FROM benchmark"
+_META = "SELECT doc_id AS chunk_id, text, CASE doc_id % 4 WHEN 0 THEN 'AAPL' WHEN 1 THEN 'MSFT' WHEN 2 THEN 'IBM' END AS ticker, CASE doc_id % 3 WHEN 0 THEN '10-K' ELSE '8-K' END AS filing_type, concat(CAST(2019 + doc_id % 5 AS STRING), '-03-01') AS date FROM documents"
+_NAMED = f"""CASE WHEN len(named) = 1 THEN named[1] {" ".join(f"WHEN regexp_matches(lower(text), '{retrieval.NAME.format(n)}') THEN '{t}'" for n, t in retrieval.COMPANIES.items())} END AS ticker,
+CASE WHEN regexp_matches(text, '(?i)\\b10-?K\\b') THEN '10-K' WHEN regexp_matches(text, '(?i)\\b10-?Q\\b') THEN '10-Q' WHEN regexp_matches(text, '(?i)\\b8-?K\\b') THEN '8-K' END AS filing_type,
+nullif(regexp_extract(text, '(?i)\\b(?:FY|fiscal\\s+)?(20\\d{{2}})\\b', 1), '') AS year"""
+_TICKERS_OF = "list_distinct(list_filter(regexp_extract_all({}, '\\b[A-Z]{{1,5}}\\b'), lambda w: w IN (" + ", ".join(f"'{t}'" for t in retrieval.TICKERS) + ")))"
+
+
+def _filtered(spark, d):
+    """The questions with their vectors, and the chunks with vector (null where there is none), text and metadata."""
+    questions = frame(spark, d, _ASKED).join(_questions(spark, d).select("query_id", "qvec"), "query_id")
+    return questions, frame(spark, d, _META).join(_vectors(spark, d), "chunk_id", "left")
+
+
+@query(f"""WITH q AS ({_ASKED}), n AS (SELECT query_id, {_NAMED} FROM (SELECT *, {_TICKERS_OF.format('text')} AS named FROM q) x), meta AS ({_META}),
+p AS (SELECT n.query_id, m.chunk_id, coalesce(n.ticker, n.filing_type, n.year) IS NOT NULL AS has FROM n, meta m WHERE (n.ticker IS NULL OR n.ticker = m.ticker) AND (n.filing_type IS NULL OR n.filing_type = m.filing_type) AND (n.year IS NULL OR contains(m.date, n.year))),
+{_BM25_OF.replace(" FROM s WHERE score > 0", " FROM (SELECT s.* FROM s JOIN p USING (query_id, chunk_id) WHERE has) s WHERE score > 0").replace("qt AS (SELECT query_id,", "qt AS (SELECT query_id,")}, {_DENSE.replace("FROM ds)", "FROM (SELECT ds.* FROM ds JOIN p USING (query_id, chunk_id)) ds)")}, {_FUSED.format(k=40)},
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank FROM f),
+x AS (SELECT g.query_id, g.chunk_id, g.rrf_score, list_distinct({_TERMS.format('q.text')}) AS qt, {_TERMS.format('m.text')} AS ct FROM g JOIN q USING (query_id) JOIN meta m USING (chunk_id) WHERE g.rank <= 50),
+y AS (SELECT query_id, chunk_id, rrf_score, coalesce(len(list_intersect(qt, ct)) / nullif(len(qt), 0), 0) AS scored FROM x)
+SELECT query_id, chunk_id, rrf_score, CASE WHEN max(scored) OVER o = min(scored) OVER o THEN 1.0 ELSE (scored - min(scored) OVER o) / (max(scored) OVER o - min(scored) OVER o) END::DOUBLE AS relevance FROM y WINDOW o AS (PARTITION BY query_id)""")
+def R8_R12_filtered_candidates(spark, d):
+    questions, chunks = _filtered(spark, d)
+    fused = retrieval.reciprocal_rank_fusion(*retrieval.recall(questions, chunks, 40))
+    return retrieval.rerank(fused, questions, chunks).select("query_id", "chunk_id", "rrf_score", "relevance")
 
 
 @query(None)
 def R11_R12_hybrid_mmr(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
-    top = retrieval.top_k(_sparse(spark, d), 50).join(docs, "chunk_id")
-    return retrieval.mmr_select(top.withColumn("relevance", retrieval.min_max("score", "query_id")))
+    return retrieval.retrieve(*_filtered(spark, d))
 
 
 # Evaluation.

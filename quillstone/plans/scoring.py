@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import dataset, metrics, panel, retrieval, store, text
 from quillstone.operators import evaluation as ev
 from quillstone.plans.domain import CASES, FILINGS, PANEL, facts, frame
-from quillstone.plans.registry import _BM25, CA, FA, FI, P, _sparse, _surface, query
+from quillstone.plans.registry import CA, FA, FI, P, _surface, query
 from quillstone.sources import tables
 
 
@@ -247,15 +247,6 @@ def E13_intent(spark, d):
 
 
 # Retrieval, extraction, store.
-@query(f"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0), a AS (SELECT * FROM r WHERE rank <= 40), b AS (SELECT * FROM r WHERE rank BETWEEN 31 AND 70),
-f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.chunk_id AS x, b.chunk_id AS y FROM a FULL JOIN b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)
-SELECT query_id, count(x) AS dense_recall_count, count(y) AS sparse_recall_count, count(*) AS candidate_pool_size, least(count(*), 50) AS rerank_input_size FROM f GROUP BY 1""")
-def R14_stage_counts(spark, d):
-    ranked = retrieval.top_k(_sparse(spark, d), 70)
-    n = retrieval.stage_counts(ranked.where("rank <= 40"), ranked.where("rank between 31 and 70"))
-    return n.select("query_id", *(F.col(c).cast("bigint").alias(c) for c in n.columns if c != "query_id"))
-
-
 @query(r"""WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn, role, text FROM conversations)
 SELECT conv_id AS query_id, string_agg('[' || n || '] Source: ' || CASE WHEN turn = 0 THEN '?' ELSE role END || ' turn ' || turn || E'\n' || coalesce(text, ''), E'\n\n' ORDER BY n) AS context FROM p WHERE n <= 3 GROUP BY 1""")
 def R15_context(spark, d):

@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir; where that is unset (one machine), below a temporary folder."""
+    """A new folder's path below spark.checkpoint.dir; where that is unset and the master is local, below a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spark-quillstone-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-quillstone-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def save_table(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends here and lost executors cost no rework."""
+    at = work_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

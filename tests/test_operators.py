@@ -111,3 +111,54 @@ def test_percentiles_take_the_floor_index(spark):
 def test_smoothing_is_recursive(spark):
     got = one(spark, evaluation.smooth(F.array(*map(F.lit, (1.0, 2.0, 3.0)))))
     assert got == pytest.approx([1.0, 1.4, 0.6 * 1.4 + 0.4 * 3])
+
+
+def test_names_stand_alone_unless_in_compat_mode(spark):
+    asked = ["How do groups report artificial intelligence?", "Did Intel grow?", "ask upstream about metadata", "What is Bank of America's plan for 2023?"]
+    d = spark.createDataFrame(list(enumerate(asked)), "k int, q string")
+    got = [(r.w, r.c) for r in d.orderBy("k").select(retrieval.question_filters(F.col("q"))["ticker"].alias("w"), retrieval.question_filters(F.col("q"), mode="compat")["ticker"].alias("c")).collect()]
+    assert got == [(None, "INTC"), ("INTC", "INTC"), (None, "META"), ("BAC", "BAC")]
+
+
+def test_dense_top_k_in_blocks_matches_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (300, 6)).astype(float)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [float("nan")] * 6), (902, [1.0])]
+    corpus = spark.createDataFrame(rows, "chunk_id long, vec array<double>").repartition(4)
+    queries = corpus.where("chunk_id % 10 = 0 or chunk_id > 800").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
+    unit = {k: v / np.linalg.norm(v) for k, v in enumerate(x) if np.linalg.norm(v) > 0}
+    want = {k: sorted(unit, key=lambda c: (-round(float(unit[k] @ unit[c]), 6), c))[:7] for k in unit if k % 10 == 0}
+    for block in (1000, 7):
+        got = {}
+        for r in retrieval.dense_top_k(queries, corpus, 7, decimals=6, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+        assert {k: v for k, v in got.items() if k < 800} == want
+
+
+def test_hybrid_retrieval_selects_as_a_plain_loop_does(spark):
+    """The registered query against greedy selection over its own candidates."""
+    from quillstone.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in registry.queries()["R11_R12_hybrid_mmr"](spark, sf).orderBy("query_id", "mmr_rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    same = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    candidates = {}
+    for r in registry.queries()["R8_R12_filtered_candidates"](spark, sf).collect():
+        candidates.setdefault(r.query_id, []).append((r.chunk_id, r.relevance, grams(text[r.chunk_id])))
+    for q, left in candidates.items():
+        chosen = []
+        while left and len(chosen) < 3:
+            value = lambda c: 0.7 * c[1] - 0.3 * max(same(c[2], o[2]) for o in chosen) if chosen else c[1]  # noqa: E731, B023
+            fit = [c for c in left if all(same(c[2], o[2]) < 0.85 for o in chosen)]
+            if not fit:
+                break
+            best = min(fit, key=lambda c: (-value(c), -c[1], c[0]))
+            chosen.append(best)
+            left.remove(best)
+        assert got[q] == [c[0] for c in chosen]
