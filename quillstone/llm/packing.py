@@ -163,6 +163,7 @@ def _packed(vocab: str, end_id: int, max_tokens: int, max_segments: int, max_los
                     first, held, size, rows = first + n, [], 0, 0
         if held:
             yield emit(held, first)[1]
+        tok.forget()
 
     return released(run)
 

@@ -123,6 +123,7 @@ def _encoded(vocab: str, end_id: int, bounds: list[int]):
             offsets = np.concatenate([[0], counts.cumsum()]) * ids.itemsize
             blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
             yield pa.record_batch({"shard": pa.array(shard.astype(np.int32)), "doc_id": pa.array(keys), "n_tokens": pa.array(counts.astype(np.int32)), "ids": blobs})
+        tok.forget()
 
     return released(run)
 

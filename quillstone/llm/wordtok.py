@@ -43,28 +43,32 @@ class PieceTokenizer:
     """``encode(texts)`` returns the ids of all texts (a list or an Arrow column) one after another, each text followed by
     ``end_id``, and the number of ids of each text with that end. A null or empty text has the end id alone.
 
-    Two tables live as long as the worker process: pieces that a batch has more than once, and the words of the other pieces.
+    Two tables live until ``forget``, which tasks call when they end: pieces that a batch has more than once, and the words of the other pieces.
     Each starts anew beyond ``max_pieces``, which changes speed only.
     """
 
-    def __init__(self, path: str, end_id: int, max_pieces: int = 400_000):
+    def __init__(self, path: str, end_id: int, max_pieces: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tok, self._plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._tok = Tokenizer.from_file(path)
+        self._plain = Tokenizer(self._tok.model)
         self.dtype = _id_type(self._tok)
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         added = [t["content"] for t in told["added_tokens"]]
         self.by_piece = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == SPLITTER and told["model"]["end_of_word_suffix"] == WORD_END and not any(re.search(r"\s", t) for t in added)
         # Words that are in lower case and cut already need neither the normalizer nor the pattern.
-        self._plain.normalizer = normalizers.Sequence([])
         self._plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self._tok.get_vocab()
         self._final = np.zeros(max(vocab.values()) + 1, bool)
         self._final[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self._special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self._end, self._max = end_id, max_pieces
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the tables: a worker process that waits for its next task, of whatever kind, is to be small."""
         self._reset()
         self._reset_words()
 
