@@ -78,9 +78,9 @@ class _Page(HTMLParser):
                 parts.append(data.strip())
 
 
-def page_tables(page: str | None) -> list[list[list[str]]]:
+def _tables_of(page: _Page) -> list[list[list[str]]]:
     found = []
-    for table in _Page(page or "").tables:
+    for table in page.tables:
         rows = [["".join(cell) for cell in row] for row in table]
         rows = [r for r in rows if any(r)]
         if len(rows) >= 2:
@@ -88,23 +88,35 @@ def page_tables(page: str | None) -> list[list[list[str]]]:
     return found
 
 
-def visible_text(html: Column) -> Column:
-    """Text nodes joined by line ends, with runs of blanks and of blank lines shortened; null stays null."""
+def page_tables(page: str | None) -> list[list[list[str]]]:
+    return _tables_of(_Page(page or ""))
 
-    @F.pandas_udf("string")
-    def nodes(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: None if p is None else "\n".join(_Page(p).nodes))
 
-    short = F.regexp_replace(F.regexp_replace(nodes(html), r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.regexp_replace(short, r"(?U)^\s+|\s+$", "")
+def parsed(html: Column) -> Column:
+    """struct<text, tables> from one pass of the parser.
 
+    ``text``: text nodes joined by line ends, with runs of blanks and of blank lines shortened; null stays null.
+    ``tables``: tables of two or more rows as rows of stripped cell texts, without empty rows; a nested table also counts
+    within the one around it. A null page has none.
+    """
 
-def tables(html: Column) -> Column:
-    """Tables of two or more rows as rows of stripped cell texts, without empty rows; a nested table also counts within
-    the one around it. Null gives an empty list."""
+    @F.pandas_udf("nodes string, tables array<array<array<string>>>")
+    def parse(pages: pd.Series) -> pd.DataFrame:
+        read = [None if p is None else _Page(p) for p in pages]
+        return pd.DataFrame({"nodes": [None if p is None else "\n".join(p.nodes) for p in read], "tables": [[] if p is None else _tables_of(p) for p in read]})
+
+    def shown(p: Column) -> Column:
+        short = F.regexp_replace(F.regexp_replace(p["nodes"], r"[ \t]+", " "), r"\n{3,}", "\n\n")
+        return F.struct(F.regexp_replace(short, r"(?U)^\s+|\s+$", "").alias("text"), p["tables"].alias("tables"))
 
-    @F.pandas_udf("array<array<array<string>>>")
-    def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(page_tables)
+    return F.transform(F.array(parse(html)), shown)[0]
 
-    return parse(html)
+
+def visible_text(html: Column) -> Column:
+    """The ``text`` of ``parsed``."""
+    return parsed(html)["text"]
+
+
+def tables(html: Column) -> Column:
+    """The ``tables`` of ``parsed``."""
+    return parsed(html)["tables"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.sizes import broadcast_if_small
+
 # Words that don't tell one metric from another.
 FILLERS = (
     "net total less add plus gross consolidated and of the in for from attributable continuing operations per share "
@@ -28,9 +30,9 @@ def registered(facts: DataFrame) -> DataFrame:
     return facts.withColumn("key", metric_key(F.col("metric"))).where("value is not null and length(key) >= 4")
 
 
-def frequency_matrix(facts: DataFrame, tickers: list[str]) -> DataFrame:
-    """One 0/1 column a ticker."""
-    return registered(facts).groupBy("key").pivot("ticker", tickers).agg(F.max(F.lit(1))).na.fill(0)
+def frequency_matrix(facts: DataFrame) -> DataFrame:
+    """The 0/1 matrix in long form, one row a 1: (key, ticker), so that its width is not bounded by columns."""
+    return registered(facts).select("key", "ticker").distinct()
 
 
 def canonical_metrics(facts: DataFrame, threshold: float) -> DataFrame:
@@ -42,3 +44,21 @@ def canonical_metrics(facts: DataFrame, threshold: float) -> DataFrame:
     found = found.where(F.col("ticker_count") / F.col("n_tickers") >= threshold).join(modal, "key")
     pct = (F.col("ticker_count") / F.col("n_tickers")).alias("ticker_pct")
     return found.select(F.col("key").alias("metric"), "statement", "ticker_count", pct, display_name(F.col("key")).alias("canonical_name"))
+
+
+def metric_summary(canonical: DataFrame) -> DataFrame:
+    """The table of canonical metrics as shown: shares in per cent with one decimal."""
+    return canonical.select("metric", "statement", "ticker_count", F.format_string("%.1f%%", F.col("ticker_pct") * 100).alias("ticker_pct"))
+
+
+def in_canonical(facts: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Facts whose metric has a canonical key; the set of keys is broadcast behind a check of its size."""
+    keyed = facts.withColumn("__key", metric_key(F.col("metric")))
+    return keyed.join(broadcast_if_small(canonical.select(F.col("metric").alias("__key"))), "__key", "left_semi").drop("__key")
+
+
+def two_pass(facts: DataFrame, threshold: float, forms: tuple[str, ...] = ("10-K",)) -> tuple[DataFrame, DataFrame]:
+    """Canonical metrics from the facts of the given forms, and the facts of all forms that have them. Write ``facts`` first where
+    it is costly: it is read twice."""
+    canonical = canonical_metrics(facts.where(F.col("filing_type").isin(*forms)), threshold)
+    return canonical, in_canonical(facts, canonical)

@@ -19,7 +19,7 @@ TICKERS = (
     "NFLX MCD LOW CAT MMM GILD REGN BIIB TXN ACN ABT PEP IBM BA HON FDX UPS GE T DE ADBE SBUX TGT AMGN VRTX MA BRK-B"
 ).split()
 COMPANIES = {
-    "apple": "AAPL", "microsoft": "MSFT", "amazon": "AMZN", "alphabet": "GOOGL", "google": "GOOGL", "meta": "META", "nvidia": "NVDA", "tesla": "TSLA",
+    "apple": "AAPL", "microsoft": "MSFT", "amazon": "AMZN", "alphabet": "GOOG", "google": "GOOG", "meta": "META", "nvidia": "NVDA", "tesla": "TSLA",
     "jpmorgan": "JPM", "visa": "V", "johnson": "JNJ", "walmart": "WMT", "procter": "PG", "unitedhealth": "UNH", "home depot": "HD", "disney": "DIS",
     "bank of america": "BAC", "exxon": "XOM", "pfizer": "PFE", "chevron": "CVX", "coca-cola": "KO", "abbvie": "ABBV", "broadcom": "AVGO",
     "costco": "COST", "merck": "MRK", "thermo fisher": "TMO", "cisco": "CSCO", "nike": "NKE", "oracle": "ORCL", "salesforce": "CRM",
@@ -30,6 +30,8 @@ COMPANIES = {
 }
 
 
+#: Tickers of one company's share classes; filings and the panel have the value.
+SAME_COMPANY = {"GOOGL": "GOOG"}
 #: A name between characters that are no letters, digits or underscores.
 NAME = r"(^|[^\p{{L}}\p{{N}}_]){}($|[^\p{{L}}\p{{N}}_])"
 
@@ -44,7 +46,8 @@ def question_filters(question: Column, tickers: list[str] = TICKERS, companies:
     if mode not in ("words", "compat"):
         raise ValueError("mode is 'words' or 'compat'")
     words = F.regexp_extract_all(question, F.lit(r"(?U)\b([A-Z]{1,5})\b"), F.lit(1))
-    named = F.array_intersect(F.array(*map(F.lit, tickers)), words)
+    same = lambda w: F.coalesce(*(F.when(w == a, b) for a, b in SAME_COMPANY.items()), w)
+    named = F.array_distinct(F.transform(F.array_intersect(F.array(*map(F.lit, tickers)), words), same))
     pairs = F.array(*(F.struct(F.lit(n if mode == "compat" else NAME.format(n)).alias("name"), F.lit(t).alias("ticker")) for n, t in companies.items()))
     low = F.lower(question)
     company = F.get(F.filter(pairs, lambda p: F.contains(low, p["name"]) if mode == "compat" else F.rlike(low, p["name"])), F.lit(0))["ticker"]
@@ -117,6 +120,12 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, decimals: int = 9
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
+def search_multi_query(queries: DataFrame, corpus: DataFrame, n: int, decimals: int = 9) -> DataFrame:
+    """(chunk_id, distance, rank): the first n chunks of each query by cosine distance, each chunk once with its least."""
+    found = dense_top_k(queries, corpus, n, decimals).groupBy("chunk_id").agg(F.min(1 - F.col("score")).alias("distance"))
+    return found.withColumn("rank", F.row_number().over(Window.orderBy("distance", "chunk_id")))
+
+
 def dense_where(queries: DataFrame, corpus: DataFrame, k: int, fits: Column, decimals: int = 9) -> DataFrame:
     """``dense_top_k`` among the pairs for which ``fits`` holds; only these get a cosine. The query side, whose columns
     ``fits`` may name besides the corpus's, is broadcast behind a check of its size."""

@@ -22,7 +22,8 @@ def query_facts(facts: DataFrame, ticker: str | None = None, period_like: str |
     return facts
 
 
-def pivot_periods(facts: DataFrame, periods: list[str]) -> DataFrame:
+def pivot_periods(facts: DataFrame, periods: list[str] | None = None) -> DataFrame:
+    """A column a period: the given ones, or all that the facts have, which are few."""
     return facts.groupBy("ticker", "statement", "metric").pivot("period", periods).agg(F.first("value", ignorenulls=True))
 
 
@@ -49,3 +50,27 @@ def upsert_filings(old: DataFrame, new: DataFrame, order: list[str], counters: t
     """Replaces filings by accession number; counters that a row lacks are 0."""
     merged = upsert(old, new, ["accession_number"], order)
     return merged.select("*", *(F.lit(0).alias(c) for c in counters if c not in merged.columns)).na.fill(0, list(counters))
+
+
+def upsert_canonical(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """Canonical metrics replaced by metric."""
+    return upsert(old, new, ["metric"], order)
+
+
+def ranked_canonical(stored: DataFrame) -> DataFrame:
+    """Canonical metrics by falling share of companies (ties: metric), with their rank."""
+    return stored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ticker_pct"), "metric")))
+
+
+def chunk_filter(ticker: str | None = None, doc_type: str | None = None, filing_date_gte: str | None = None, section: str | None = None) -> Column:
+    """The chunks that vector search looks at; dates are compared as strings."""
+    keep = F.lit(True)
+    for c, v in (("ticker", ticker), ("doc_type", doc_type), ("section", section)):
+        keep = keep if v is None else keep & (F.col(c) == v)
+    return keep if filing_date_gte is None else keep & (F.col("filing_date") >= filing_date_gte)
+
+
+def delete_by_ticker(chunks: DataFrame, ticker: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks that stay, and one row with the number of those deleted; null tickers stay."""
+    gone = F.coalesce(F.col("ticker") == ticker, F.lit(False))
+    return chunks.where(~gone), chunks.agg(F.count_if(gone).alias("n_deleted"))

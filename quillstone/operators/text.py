@@ -39,30 +39,32 @@ def sentences(text: Column) -> Column:
 
 
 def chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
-    """Greedy chunks of whole sentences as a fold; a new chunk begins with the trailing sentences that fit the overlap."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.length(s))
-    empty = F.array().cast("array<string>")
+    """Greedy chunks of whole sentences as a fold; a new chunk begins with the trailing sentences that fit the overlap. The
+    state carries the current chunk's length, so a sentence costs the same however long the text is."""
+    none = F.array().cast("array<string>")
 
     def tail(current: Column) -> Column:
         def keep(state, s):
-            fits = state.open & (total(state.kept) + F.length(s) <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(s), state.kept)).otherwise(state.kept).alias("kept"), fits.alias("open"))
+            fits = state.open & (state.n + F.length(s) <= overlap)
+            return F.struct(F.when(fits, F.concat(F.array(s), state.kept)).otherwise(state.kept).alias("kept"), F.when(fits, state.n + F.length(s)).otherwise(state.n).alias("n"), fits.alias("open"))
 
-        return F.aggregate(F.reverse(current), F.struct(empty.alias("kept"), F.lit(True).alias("open")), keep)["kept"]
+        end = F.aggregate(F.reverse(current), F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open")), keep)
+        return F.transform(F.array(end), lambda e: F.struct(e.kept.alias("kept"), e.n.alias("n")))[0]
 
     def add(state, s):
-        full = (total(state.current) + F.length(s) > size) & (F.size(state.current) > 0)
-        return F.struct(
-            F.when(full, F.concat(state.done, F.array(F.array_join(state.current, " ")))).otherwise(state.done).alias("done"),
-            F.concat(F.when(full, tail(state.current)).otherwise(state.current), F.array(s)).alias("current"),
-        )
+        full = (state.n + F.length(s) > size) & (F.size(state.current) > 0)
+        begun = F.when(full, tail(state.current)).otherwise(F.struct(state.current.alias("kept"), state.n.alias("n")))
+        grown = lambda b: F.struct(F.concat(b.kept, F.array(s)).alias("current"), (b.n + F.length(s)).alias("n"))
+        done = F.when(full, F.concat(state.done, F.array(F.array_join(state.current, " ")))).otherwise(state.done)
+        return F.transform(F.array(F.transform(F.array(begun), grown)[0]), lambda g: F.struct(done.alias("done"), g.current.alias("current"), g.n.alias("n")))[0]
 
-    end = F.aggregate(sentences(text), F.struct(empty.alias("done"), empty.alias("current")), add)
+    end = F.aggregate(sentences(text), F.struct(none.alias("done"), none.alias("current"), F.lit(0).alias("n")), add)
     return F.transform(F.array(end), lambda e: F.when(F.size(e.current) > 0, F.concat(e.done, F.array(F.array_join(e.current, " ")))).otherwise(e.done))[0]
 
 
 def clean_label(label: Column) -> Column:
-    bare = F.regexp_replace(label, r"^[\d.\-()ivxlIVXL]+[.)]", "")
+    """Without a leading number such as ' 1. ' or '(iv) ', with single blanks, and without marks and blanks at both ends."""
+    bare = F.regexp_replace(label, r"(?U)^\s*[\d.\-()ivxlIVXL]+[.)]\s*", "")
     return F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), r"^[ :.,;]+|[ :.,;]+$", "")
 
 
@@ -176,15 +178,19 @@ def text_facts(text: Column) -> Column:
     return F.filter(facts, lambda f: f.value.isNotNull() & (F.length(f.metric) >= 5))
 
 
+def facts_of(filings: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts out of (plain, tables): those of the tables with one scale for the whole text; of the text where no table gives a row."""
+    found = filings.withColumn("__scale", detect_scale(F.col("plain"))).withColumn("__facts", F.flatten(F.transform("tables", lambda t: table_facts(t, F.col("__scale")))))
+    chosen = F.when(F.size("__facts") > 0, F.col("__facts")).otherwise(text_facts(F.col("plain")))
+    return found.select(*keys, F.inline(chosen))
+
+
 def filing_facts(filings: DataFrame, html_col: str = "html") -> DataFrame:
-    """Facts of each filing's tables with one scale for its whole text; from its text where no table gives a row."""
+    """The facts of each filing's page, which is parsed once."""
     from quillstone.operators import html
 
     keys = [c for c in filings.columns if c != html_col]
-    parsed = filings.select(*keys, html.visible_text(F.col(html_col)).alias("__text"), html.tables(F.col(html_col)).alias("__tables"))
-    found = parsed.withColumn("__scale", detect_scale(F.col("__text"))).withColumn("__facts", F.flatten(F.transform("__tables", lambda t: table_facts(t, F.col("__scale")))))
-    chosen = F.when(F.size("__facts") > 0, F.col("__facts")).otherwise(text_facts(F.col("__text")))
-    return found.select(*keys, F.inline(chosen))
+    return facts_of(filings.withColumn("__p", html.parsed(F.col(html_col))).select(*keys, F.col("__p.text").alias("plain"), F.col("__p.tables").alias("tables")), keys)
 
 
 def extractor_kind(path: Column) -> Column:

@@ -26,7 +26,7 @@ def query(sql: str | None):
 
 
 def _load_others() -> None:
-    from quillstone.plans import extraction, scoring  # noqa: F401  register their queries
+    from quillstone.plans import extraction, scoring, stores  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -98,10 +98,14 @@ def U1_upsert(spark, d):
     return store.upsert(old.withColumn("seq", F.lit(0)), new, key, ["seq"]).select(*key, "value")
 
 
-@query(f"SELECT f.* FROM {FA} f WHERE lower(metric) IN ('total revenue', 'net income')")
+@query(f"WITH f AS {FA}, n AS (SELECT ticker, period, statement, metric, value * 3 AS value FROM f WHERE metric IN ('Total revenue', 'Net income')) SELECT * FROM n UNION ALL SELECT ticker, period, statement, metric, value FROM f WHERE metric NOT IN ('Total revenue', 'Net income') AND period < 'FY1998'")
 def U2_upsert_filtered(spark, d):
-    wanted = spark.createDataFrame([("total revenue",), ("net income",)], "k string")
-    return _facts(spark, d).withColumn("k", F.lower("metric")).join(F.broadcast(wanted), "k", "left_semi").drop("k")
+    """Only facts with canonical metrics are upserted."""
+    f = _facts(spark, d).drop("unit")
+    key = ["ticker", "period", "statement", "metric"]
+    canonical = spark.createDataFrame([("revenue",), ("income",)], "metric string").select(metrics.metric_key(F.col("metric")).alias("metric"))
+    new = metrics.in_canonical(f.where("metric <> 'Revenues, net'"), canonical).withColumn("value", F.col("value") * 3).withColumn("seq", F.lit(1))
+    return store.upsert(f.where("period < 'FY1998'").withColumn("seq", F.lit(0)), new, key, ["seq"]).select(*key, "value")
 
 
 @query(f"SELECT f.* FROM {FA} f WHERE period ILIKE 'fy199%' AND statement = 'balance_sheet' AND metric ILIKE '%ASSETS'")
@@ -109,9 +113,13 @@ def U3_query(spark, d):
     return store.query_facts(_facts(spark, d), period_like="fy199%", statement="balance_sheet", metric_like="%ASSETS")
 
 
-@query(f"SELECT ticker, statement, metric, max(CASE WHEN period = 'FY1996' THEN value END) AS FY1996, max(CASE WHEN period = 'FY1997' THEN value END) AS FY1997 FROM {FA} f GROUP BY ALL")
+_YEARS = [f"FY{y}" for y in range(1995, 2002)]
+
+
+@query(f"SELECT ticker, statement, metric, {', '.join(f"max(CASE WHEN period = '{y}' THEN value END) AS {y}" for y in _YEARS)} FROM {FA} f GROUP BY ALL")
 def U4_pivot(spark, d):
-    return store.pivot_periods(_facts(spark, d), ["FY1996", "FY1997"])
+    p = store.pivot_periods(_facts(spark, d))
+    return p.select("ticker", "statement", "metric", *(F.col(y) if y in p.columns else F.lit(None).cast("double").alias(y) for y in _YEARS))
 
 
 @query(f"SELECT DISTINCT ticker, period FROM {FA} f")
@@ -140,9 +148,9 @@ def M1_metric_key(spark, d):
     return _facts(spark, d).select("metric", metrics.metric_key(F.col("metric")).alias("key")).distinct()
 
 
-@query(f"WITH f AS (SELECT f.*, {_KEY} AS key FROM {FA} f), r AS (SELECT * FROM f WHERE value IS NOT NULL AND length(key) >= 4) SELECT key, CAST(max((ticker = 'S1')::int) AS INTEGER) AS S1, CAST(max((ticker = 'S2')::int) AS INTEGER) AS S2 FROM r GROUP BY key")
+@query(f"WITH f AS (SELECT f.*, {_KEY} AS key FROM {FA} f) SELECT DISTINCT key, ticker FROM f WHERE value IS NOT NULL AND length(key) >= 4")
 def M4_frequency_matrix(spark, d):
-    return metrics.frequency_matrix(_facts(spark, d), ["S1", "S2"])
+    return metrics.frequency_matrix(_facts(spark, d))
 
 
 @query(f"""WITH f AS (SELECT f.*, {_KEY} AS key FROM {FA} f), r AS (SELECT * FROM f WHERE value IS NOT NULL AND length(key) >= 4),
@@ -327,7 +335,7 @@ _META = "SELECT doc_id AS chunk_id, text, CASE doc_id % 4 WHEN 0 THEN 'AAPL' WHE
 _NAMED = f"""CASE WHEN len(named) = 1 THEN named[1] {" ".join(f"WHEN regexp_matches(lower(text), '{retrieval.NAME.format(n)}') THEN '{t}'" for n, t in retrieval.COMPANIES.items())} END AS ticker,
 CASE WHEN regexp_matches(text, '(?i)\\b10-?K\\b') THEN '10-K' WHEN regexp_matches(text, '(?i)\\b10-?Q\\b') THEN '10-Q' WHEN regexp_matches(text, '(?i)\\b8-?K\\b') THEN '8-K' END AS filing_type,
 nullif(regexp_extract(text, '(?i)\\b(?:FY|fiscal\\s+)?(20\\d{{2}})\\b', 1), '') AS year"""
-_TICKERS_OF = "list_distinct(list_filter(regexp_extract_all({}, '\\b[A-Z]{{1,5}}\\b'), lambda w: w IN (" + ", ".join(f"'{t}'" for t in retrieval.TICKERS) + ")))"
+_TICKERS_OF = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '\\b[A-Z]{{1,5}}\\b'), lambda w: w IN (" + ", ".join(f"'{t}'" for t in retrieval.TICKERS) + ")), lambda w: CASE w WHEN 'GOOGL' THEN 'GOOG' ELSE w END))"
 
 
 def _filtered(spark, d):

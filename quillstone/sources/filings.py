@@ -21,6 +21,17 @@ def filing_directory(name: Column) -> Column:
     return F.when(F.regexp_like(name, pattern), parts)
 
 
+def read_company_map(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, company) of sidecar files that are each one JSON object of names by ticker; of repeated tickers the first name."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("ticker", "company"))
+    return rows.groupBy("ticker").agg(F.min("company").alias("company"))
+
+
+def with_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """``rows`` with the company of their ticker; tickers that have none name themselves."""
+    return rows.join(companies.select("ticker", "company"), "ticker", "left").withColumn("company", F.coalesce("company", "ticker"))
+
+
 def walk_filings(files: DataFrame, companies: DataFrame | None = None, tickers: list[str] | None = None, forms: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """One row a filing from the (path, length) of ``.../TICKER/FORM/DATE_ACC/file``; dates are inclusive strings.
 
@@ -40,7 +51,7 @@ def walk_filings(files: DataFrame, companies: DataFrame | None = None, tickers:
     picked = rows.where(html | pdf).groupBy("ticker", "filing_type", "date", "accession_number").agg(F.min_by("path", order).alias("source_path"))
     if companies is None:
         return picked.withColumn("company", F.col("ticker"))
-    return picked.join(companies.select("ticker", "company"), "ticker", "left").withColumn("company", F.coalesce("company", "ticker"))
+    return with_companies(picked, companies)
 
 
 def company_facts(documents: DataFrame) -> DataFrame:

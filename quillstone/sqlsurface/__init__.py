@@ -7,38 +7,49 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Other names of panel columns, and other tickers of the same company.
+#: Other names of panel columns.
 SYNONYMS = {
-    "net_income": "profit profits net_profit net_earnings earnings bottom_line net income after_tax_profit take_home_profit",
-    "total_revenue": "revenue revenues sales net_sales total_sales gross_sales turnover top_line net_revenue",
-    "operating_income": "ebit op_income operating_profit operating_earnings income_from_operations operating_result",
-    "cfo": "operating_cash_flow cash_from_operations cash_flow_from_operations operating_cash",
-    "capex": "capital_expenditures capital_spending ppe_purchases",
-    "cash": "cash_balance cash_on_hand cash_and_cash_equivalents cash_holdings cash_position liquidity",
-    "total_assets": "assets asset_base book_assets",
-    "current_assets": "short_term_assets liquid_assets",
-    "current_liabilities": "short_term_liabilities short_term_obligations",
-    "total_liabilities": "liabilities total_obligations",
-    "long_term_debt": "ltd long_term_borrowings debt borrowings",
-    "inventories": "inventory stock",
-    "accounts_payable": "payables trade_payables ap",
-    "retained_earnings": "accumulated_earnings retained_profits",
-    "interest_expense": "interest_cost finance_cost borrowing_cost cost_of_debt",
-    "da": "depreciation amortization d_and_a",
-    "gross_profit": "gross_margin_dollars",
-    "r_and_d": "rd r_and_d_expense research_and_development research_expense",
-    "buybacks": "share_repurchases stock_buybacks repurchases",
-    "dividends_paid": "dividends dividend_payments",
-    "eps_diluted": "eps diluted_eps earnings_per_share",
-    "net_margin": "net_profit_margin profit_margin return_on_sales",
-    "roa": "return_on_assets asset_returns asset_productivity",
-    "current_ratio": "liquidity_ratio working_capital_ratio",
-    "debt_to_assets": "debt_ratio leverage_ratio debt_to_assets_ratio",
-}
+    "profit": "net_income", "profits": "net_income", "net_profit": "net_income", "net_earnings": "net_income", "earnings": "net_income", "bottom_line": "net_income", "net": "net_income", "income": "net_income", "after_tax_profit": "net_income", "take_home_profit": "net_income",
+    "revenue": "total_revenue", "revenues": "total_revenue", "sales": "total_revenue", "net_sales": "total_revenue", "total_sales": "total_revenue", "gross_sales": "total_revenue", "turnover": "total_revenue", "top_line": "total_revenue", "net_revenue": "total_revenue",
+    "ebit": "operating_income", "op_income": "operating_income", "operating_profit": "operating_income", "operating_earnings": "operating_income", "income_from_operations": "operating_income", "operating_result": "operating_income",
+    "operating_cash_flow": "cfo", "cash_from_operations": "cfo", "cash_flow_from_operations": "cfo", "operating_cash": "cfo",
+    "capital_expenditures": "capex", "capital_spending": "capex", "ppe_purchases": "capex",
+    "cash_balance": "cash", "cash_on_hand": "cash", "cash_and_cash_equivalents": "cash", "cash_holdings": "cash", "cash_position": "cash", "liquidity": "cash",
+    "assets": "total_assets", "asset_base": "total_assets", "book_assets": "total_assets",
+    "short_term_assets": "current_assets", "liquid_assets": "current_assets",
+    "short_term_liabilities": "current_liabilities", "short_term_obligations": "current_liabilities",
+    "liabilities": "total_liabilities", "total_obligations": "total_liabilities",
+    "ltd": "long_term_debt", "long_term_borrowings": "long_term_debt", "debt": "long_term_debt", "borrowings": "long_term_debt",
+    "inventory": "inventories", "stock": "inventories",
+    "payables": "accounts_payable", "trade_payables": "accounts_payable", "ap": "accounts_payable",
+    "accumulated_earnings": "retained_earnings", "retained_profits": "retained_earnings",
+    "interest_cost": "interest_expense", "finance_cost": "interest_expense", "borrowing_cost": "interest_expense", "cost_of_debt": "interest_expense",
+    "depreciation": "da", "amortization": "da", "d_and_a": "da",
+    "gross_margin_dollars": "gross_profit",
+    "rd": "r_and_d", "r_and_d_expense": "r_and_d", "research_and_development": "r_and_d", "research_expense": "r_and_d",
+    "share_repurchases": "buybacks", "stock_buybacks": "buybacks", "repurchases": "buybacks",
+    "dividends": "dividends_paid", "dividend_payments": "dividends_paid",
+    "eps": "eps_diluted", "diluted_eps": "eps_diluted", "earnings_per_share": "eps_diluted",
+    "net_profit_margin": "net_margin", "profit_margin": "net_margin", "return_on_sales": "net_margin",
+    "return_on_assets": "roa", "asset_returns": "roa", "asset_productivity": "roa",
+    "liquidity_ratio": "current_ratio", "working_capital_ratio": "current_ratio",
+    "debt_ratio": "debt_to_assets", "leverage_ratio": "debt_to_assets", "debt_to_assets_ratio": "debt_to_assets",
+}
+#: Other spellings of a ticker; filings and the panel have the first share class alone.
 TICKERS = {"GOOGL": "GOOG", "BRK.B": "BRK-B", "BRK/B": "BRK-B"}
-FORBIDDEN = ("DROP", "DELETE", "INSERT", "UPDATE", "ALTER", "CREATE")
-
-_BY_ALIAS = {alias: column for column, aliases in SYNONYMS.items() for alias in aliases.split()}
+#: Statements start with one of these, and the relational parts of a query are of these kinds of Spark's parsed plans.
+PLAN_NODES = frozenset((
+    "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedHaving",
+    "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "OneRowRelation", "UnresolvedInlineTable", "WithWindowDefinition", "UnresolvedOrderBy",
+))
+#: Functions a statement may call; all are deterministic and read nothing but their arguments.
+FUNCTIONS = frozenset((
+    "abs", "any_value", "approx_count_distinct", "avg", "cast", "ceil", "ceiling", "char_length", "coalesce", "concat", "concat_ws", "contains", "count", "count_if", "date_format", "day",
+    "dense_rank", "double", "endswith", "exp", "first", "first_value", "floor", "format_number", "format_string", "greatest", "if", "ifnull", "instr", "int", "isnull", "isnotnull",
+    "lag", "last", "last_value", "lead", "least", "left", "len", "length", "like", "ln", "log", "log10", "lower", "lpad", "ltrim", "max", "max_by", "mean", "median", "min", "min_by", "mod",
+    "month", "nullif", "nullifzero", "nvl", "percent_rank", "percentile", "percentile_approx", "pow", "power", "quarter", "rank", "regexp_extract", "regexp_like", "regexp_replace", "replace", "right", "rlike",
+    "round", "row_number", "rpad", "rtrim", "sign", "split_part", "sqrt", "startswith", "stddev", "string", "substr", "substring", "sum", "to_date", "trim", "try_divide", "upper", "variance", "year",
+))
 
 
 class Refused(ValueError):
@@ -58,39 +69,119 @@ def repair(sql: str) -> tuple[str, list[tuple[str, str]]]:
     def part(text: str) -> str:
         if text.startswith("'"):
             return f"'{note(text[1:-1], TICKERS.get(text[1:-1]))}'"
-        return re.sub(r"[A-Za-z_]\w*", lambda m: note(m[0], _BY_ALIAS.get(m[0].lower())), text)
+        return re.sub(r"[A-Za-z_]\w*", lambda m: note(m[0], SYNONYMS.get(m[0].lower())), text)
 
     return "".join(part(p) for p in re.split(r"('[^']*')", sql)), repairs
 
 
-def check(sql: str, tables: set[str]) -> None:
-    """Raises Refused unless the SQL is one SELECT or WITH statement over the given tables."""
-    bare = re.sub(r"'[^']*'", "''", sql)
-    if re.search(r";\s*\S", bare):
-        raise Refused("one statement only")
-    if not re.match(r"\s*(SELECT|WITH)\b", bare, re.IGNORECASE):
-        raise Refused("Only SELECT statements allowed")
-    for word in FORBIDDEN:
-        if re.search(rf"\b{word}\b", bare, re.IGNORECASE):
-            raise Refused(f"Dangerous keyword: {word}")
-    named = {t.lower() for t in re.findall(r"\b(?:FROM|JOIN)\s+([`\w./:]+)", bare, re.IGNORECASE)}
-    local = {t.lower() for t in re.findall(r"\b(\w+)\s+AS\s*\(", bare, re.IGNORECASE)}
-    if not named <= {t.lower() for t in tables} | local:
-        raise Refused(f"unknown tables: {sorted(named - tables - local)}")
+def _seq(items) -> list:
+    return [items.apply(k) for k in range(items.size())]
+
+
+class _Parsed:
+    """What Spark's own parser finds in a statement: kinds of plan nodes, relations with their place, functions, names of WITH."""
+
+    def __init__(self, spark: SparkSession, sql: str):
+        self.nodes: set[str] = set()
+        self.functions: set[str] = set()
+        self.local: set[str] = set()
+        self.relations: list[tuple[list[str], int, int, bool]] = []
+        try:
+            plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        except Exception as e:  # Py4J hands the parser's error on
+            raise Refused(f"not a statement: {str(e).strip().splitlines()[0][:200]}") from None
+        self._plan(plan, False)
+
+    def _plan(self, node, aliased: bool) -> None:
+        name = node.getClass().getSimpleName()
+        self.nodes.add(name)
+        if name == "UnresolvedRelation":
+            at = node.origin()
+            self.relations.append((_seq(node.multipartIdentifier()), at.startIndex().get(), at.stopIndex().get() + 1, aliased))
+        if name == "UnresolvedWith":
+            self.local |= {r._1().lower() for r in _seq(node.cteRelations())}
+            for child in _seq(node.innerChildren()):
+                self._plan(child, True)
+        for child in _seq(node.children()):
+            self._plan(child, name == "SubqueryAlias")
+        for e in _seq(node.expressions()):
+            self._expression(e)
+
+    def _expression(self, e) -> None:
+        name = e.getClass().getSimpleName()
+        if name == "UnresolvedFunction":
+            self.functions.add(".".join(_seq(e.nameParts())).lower())
+        if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "InSubquery") and name != "InSubquery":
+            self._plan(e.plan(), False)
+        if name == "InSubquery":
+            self._plan(e.query().plan(), False)
+        for child in _seq(e.children()):
+            if child.getClass().getSimpleName() != "ListQuery":
+                self._expression(child)
+
+
+def check(spark: SparkSession, sql: str, tables: set[str]) -> _Parsed:
+    """Raises Refused unless Spark's parser finds one query whose relations are the given tables or names of its own WITH, and
+    whose functions are among FUNCTIONS. Nothing is resolved, so nothing outside the tables is looked at."""
+    found = _Parsed(spark, sql)
+    if bad := sorted(found.nodes - PLAN_NODES):
+        raise Refused(f"Only SELECT statements allowed: {', '.join(bad)}")
+    known = {t.lower() for t in tables} | found.local
+    if bad := sorted(".".join(name) for name, *_ in found.relations if len(name) != 1 or name[0].lower() not in known):
+        raise Refused(f"unknown tables: {', '.join(bad)}")
+    if bad := sorted(found.functions - FUNCTIONS):
+        raise Refused(f"unknown functions: {', '.join(bad)}")
+    return found
 
 
 def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """Repairs, checks and runs a question's SQL over the given frames; the result is lazy."""
+    """Repairs, checks and runs a question's SQL over the given frames; the result is lazy. The frames are bound to this
+    statement's relations alone, and no view of the session is made or seen."""
     fixed, _ = repair(sql.strip().rstrip(";"))
-    check(fixed, set(tables))
-    for name, frame in tables.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(fixed)
+    found = check(spark, fixed, set(tables))
+    frames, parts, done = {t.lower(): f for t, f in tables.items()}, [], 0
+    for name, start, stop, aliased in sorted(found.relations, key=lambda r: r[1]):
+        table = name[0].lower()
+        if table in found.local:
+            continue
+        parts += [_literal(fixed[done:start]), f"{{{table}}}" if aliased else f"{{{table}}} AS {table}"]
+        done = stop
+    return spark.sql("".join(parts) + _literal(fixed[done:]), **{t: f for t, f in frames.items()})
+
+
+def _literal(text: str) -> str:
+    return text.replace("{", "{{").replace("}", "}}")
+
+
+RECORD = "sql_original string, sql_repaired string, repairs array<string>, is_valid boolean, error string"
+
+
+def postprocess(spark: SparkSession, sql: str, tables: set[str]) -> tuple[str, str, list[str], bool, str]:
+    """The record of one statement: original, repaired, the repairs made, whether the gate lets it through, and why not."""
+    fixed, repairs = repair(sql)
+    try:
+        check(spark, fixed.strip().rstrip(";"), tables)
+        return sql, fixed, [f"{old} -> {new}" for old, new in repairs], True, ""
+    except Refused as e:
+        return sql, fixed, [f"{old} -> {new}" for old, new in repairs], False, str(e)
+
+
+def format_rows(rows: DataFrame, group: list[str] = (), order: list[str] = ()) -> DataFrame:
+    """One text per group (all rows where there is none): 'No data found.' can't arise here, one row is 'name: value' of its
+    filled columns, several are lines of values between bars, ordered. Meant for results that a reader can read."""
+    shown = [c for c in rows.columns if c not in group]
+    text = {c: format_value(F.col(f"`{c}`")) if t in ("double", "float") else F.col(f"`{c}`").cast("string") for c, t in rows.dtypes}
+    pair = F.array_join(F.filter(F.array(*(F.concat(F.lit(f"{c}: "), text[c]) for c in shown)), lambda x: x.isNotNull()), ", ")
+    line = F.concat_ws(" | ", *(F.coalesce(text[c], F.lit("None")) for c in shown))
+    each = F.struct(*(F.col(f"`{c}`") for c in order), pair.alias("__pair"), line.alias("__line"))
+    g = rows.groupBy(*(F.col(f"`{c}`") for c in group)).agg(F.array_sort(F.collect_list(each)).alias("__rows"))
+    out = F.when(F.size("__rows") == 0, "No data found.").when(F.size("__rows") == 1, F.get("__rows", F.lit(0))["__pair"]).otherwise(F.array_join(F.transform("__rows", lambda r: r["__line"]), "\n"))
+    return g.select(*(F.col(f"`{c}`") for c in group), out.alias("shown"))
 
 
 def format_value(c: Column) -> Column:
-    """Whole numbers with thousands separators, others with up to 4 decimals."""
-    return F.when(c == F.floor(c), F.format_number(c, 0)).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.4f", c), "0+$", ""), r"\.$", ""))
+    """Whole numbers and others with thousands separators, the latter with up to 4 decimals."""
+    return F.when(c == F.floor(c), F.format_number(c, 0)).otherwise(F.regexp_replace(F.regexp_replace(F.format_number(c, 4), "0+$", ""), r"\.$", ""))
 
 
 def repair_period(sql: Column) -> Column:

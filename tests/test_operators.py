@@ -74,12 +74,22 @@ def test_repair_gate_and_execution(spark):
     fixed, repairs = sqlsurface.repair("SELECT revenue FROM panel WHERE ticker = 'GOOGL' AND note = 'revenue'")
     assert fixed == "SELECT total_revenue FROM panel WHERE ticker = 'GOOG' AND note = 'revenue'"
     assert repairs == [("revenue", "total_revenue"), ("GOOGL", "GOOG")]
-    for bad in ("DROP TABLE panel", "SELECT 1; DROP TABLE panel", "SELECT * FROM parquet.`/etc`", "WITH a AS (SELECT 1) DELETE FROM panel"):
+    refused = ["DROP TABLE panel", "SELECT 1; DROP TABLE panel", "SELECT * FROM parquet.`/etc`", "WITH a AS (SELECT 1) DELETE FROM panel", "SELECT * FROM panel, secret", "SELECT * FROM panel, parquet.`/any/path`"]
+    refused += ["SELECT * FROM panel CROSS JOIN/**/secret", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM panel", "SELECT * FROM panel WHERE a IN (SELECT x FROM secret)", "SELECT (SELECT max(x) FROM secret) FROM panel"]
+    refused += ["SELECT * FROM range(10)", "WITH a AS (SELECT * FROM secret) SELECT * FROM a", "SELECT * FROM panel WHERE EXISTS (SELECT 1 FROM secret)", "SELECT", "", "SELECT input_file_name() FROM panel", "SELECT * FROM other.panel", "CACHE TABLE panel", "SELECT * FROM VALUES (1) AS t(a) UNION SELECT x FROM secret"]
+    for bad in refused:
         with pytest.raises(sqlsurface.Refused):
-            sqlsurface.check(bad, {"panel"})
-    sqlsurface.check("SELECT created FROM panel WHERE a = 'DROP'", {"panel"})
+            sqlsurface.check(spark, bad, {"panel"})
+    for good in ("SELECT created FROM panel WHERE a = 'DROP'", "WITH a AS (SELECT x FROM panel) SELECT p.x FROM a JOIN PANEL p ON a.x = p.x", "SELECT max(x) FROM (SELECT x FROM panel ORDER BY x LIMIT 3) q HAVING count(*) > 1"):
+        sqlsurface.check(spark, good, {"panel"})
     frame = spark.createDataFrame([("A", 3.0)], "ticker string, total_revenue double")
+    spark.range(1).createOrReplaceTempView("panel")
     assert sqlsurface.execute(spark, "SELECT sales FROM panel;", {"panel": frame}).first()[0] == 3.0
+    assert sqlsurface.execute(spark, "SELECT panel.sales, '{x}' AS c FROM panel, panel b WHERE panel.sales IN (SELECT sales FROM panel)", {"panel": frame}).collect() == [(3.0, "{x}")]
+    assert spark.table("panel").columns == ["id"]  # the caller's view is as it was
+    spark.catalog.dropTempView("panel")
+    assert sqlsurface.postprocess(spark, "SELECT sales FROM panel", {"panel"}) == ("SELECT sales FROM panel", "SELECT total_revenue FROM panel", ["sales -> total_revenue"], True, "")
+    assert sqlsurface.postprocess(spark, "DROP TABLE panel", {"panel"})[3:] == (False, "Only SELECT statements allowed: DropTable, UnresolvedIdentifier")
 
 
 def test_formatting_shapes_and_periods(spark):
