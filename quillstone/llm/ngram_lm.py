@@ -7,7 +7,7 @@ are taken out of the counts for that; the final model then counts all training d
 Texts become blocks of documents with word numbers. Each block sends its distinct n-grams, as sorted 64-bit hashes with
 counts, to hash buckets; a bucket adds up and sends each block the counts of its own n-grams, in the same order. So
 what is shuffled is compressed arrays, a frequent word costs one entry a block, and texts and tokens never meet in one
-task. The number of buckets is the session's number of shuffle partitions.
+task. The number of buckets grows with the tokens, which bounds what a task holds.
 """
 
 from __future__ import annotations
@@ -228,7 +228,7 @@ def learn_weights(cells: DataFrame, rounds: int = 12) -> np.ndarray:
     return w
 
 
-def score_documents(docs: DataFrame, held_out: Column, deleted: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 4_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, deleted: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 4_000_000, bucket_tokens: int = 16_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens) for every row, scores in log10.
 
     ``held_out`` rows are only scored; of the others, ``deleted`` ones are those that the mixture weights are learned from.
@@ -238,13 +238,13 @@ def score_documents(docs: DataFrame, held_out: Column, deleted: Column, id_col:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = n_buckets(spark)
     fold = F.when(held_out, EVAL).when(deleted, HELD).otherwise(TRAIN)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), fold.alias("fold"))
     blocks = save(d.mapInArrow(_blocks(block_tokens), _BLOCKS), "lm-blocks", compression="none")
+    sums = blocks.agg(*(F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n_tokens"))), F.lit(0)) for f in (HELD, TRAIN, EVAL))).first()
+    buckets = max(n_buckets(spark), -(-sum(sums) // bucket_tokens))
     sent = blocks.select("block", "fold", "words", "tokens").mapInArrow(_send(buckets), _SENT)
     counts = save(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, _COUNTED), "lm-counts", compression="none")
-    sums = blocks.agg(*(F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n_tokens"))), F.lit(0)) for f in (HELD, TRAIN))).first()
     n_types = counts.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     held = [t.where(F.col("fold") == HELD).groupBy("block") for t in (blocks.select("block", "fold", "words", "tokens"), counts)]
     cells = held[0].cogroup(held[1]).applyInArrow(_held_out_cells(sums[1], n_types), "context int, r2 int, r1 int, n long")

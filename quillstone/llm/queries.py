@@ -96,5 +96,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii_pseudonyms, op2_token_files, op3_chat_examples, op4_simhash_duplicates, op5_ngram_scores, op6_embedding_duplicates, op7_packed_sequences, op8_mixing_schedule, op9_tiff_pages, op10_quality_scores)}
 
 
+_TOLD = "<|im_end|><|im_start|>assistant ok"
+#: A formatted turn has 12 characters before the role, a line end, and 11 after the text, whose control strings are one longer each.
+CHAT_SQL = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{_TOLD}'), (-1, 1, 'assistant', '{_TOLD}')),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, 24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM c),
+s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY seq) AS upto, role = 'assistant' AS reply FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256, coalesce(sum(length(text)) FILTER (reply), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (reply), '')) AS loss_sha256, coalesce(sum(upto) FILTER (reply), 0)::BIGINT AS formatted_chars, count(*) FILTER (reply) AS n_examples FROM s GROUP BY conv_id"""
+VECTORS_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+r(v, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a WHERE r.c < l.b),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a) SELECT r.v AS vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.c) AS component_id, min(r.c) = r.v AS kept FROM r LEFT JOIN n ON n.a = r.v GROUP BY r.v"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the queries that it can express; tests hold the others against brute force."""
+    return {"op3_chat_examples": CHAT_SQL, "op6_embedding_duplicates": VECTORS_SQL}

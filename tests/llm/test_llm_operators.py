@@ -259,13 +259,6 @@ def test_language_model_against_plain_counts(spark, docs, none):
     assert ngram_lm.score_documents(none, F.col("doc_id") % 7 == 2, F.col("doc_id") % 7 == 3).count() == 0
 
 
-def test_model_probabilities_sum_to_one():
-    w = np.array([[0.0, 0.9, 0.1]] + [[0.5, 0.3, 0.2]] * (ngram_lm.CONTEXTS - 1))
-    uni, after = {"a": 3, "b": 2, "c": 1}, {"a": 2, "b": 1}
-    p = lambda x: w[2, 0] * after.get(x, 0) / 3 + w[2, 1] * uni.get(x, 0) / 6 + w[2, 2] / 4
-    assert sum(map(p, ["a", "b", "c", "unseen"])) == pytest.approx(1.0)
-
-
 # Vectors.
 @pytest.mark.parametrize("cap", [1024, 8])
 def test_vector_links_match_brute_force(spark, cap):
