@@ -6,23 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone import sqlsurface
-from quillstone.operators.retrieval import COMPANIES, TICKERS
 
 # The tables and columns that the schema check knows, SQL words and other words that it passes over.
 COLUMNS = {
-    "panel": (
-        "ticker year cash total_assets current_assets current_liabilities total_liabilities goodwill long_term_debt accounts_payable inventories "
-        "deferred_tax retained_earnings other_assets net_income interest_expense interest_income da operating_income cfo capex current_ratio "
-        "debt_to_assets roa net_margin"
-    ).split(),
-    "filing_metadata": "ticker company filing_type date accession_number".split(),
-    "financials": "ticker period statement metric value unit".split(),
-}
+    "panel": [
+        "ticker", "year", "cash", "total_assets", "current_assets", "current_liabilities", "total_liabilities", "goodwill", "long_term_debt",
+        "accounts_payable", "inventories", "deferred_tax", "retained_earnings", "other_assets", "net_income", "interest_expense", "interest_income",
+        "da", "operating_income", "cfo", "capex", "current_ratio", "debt_to_assets", "roa", "net_margin",
+    ],
+    "filing_metadata": [
+        "ticker", "company", "filing_type", "date", "accession_number",
+    ],
+    "financials": [
+        "ticker", "period", "statement", "metric", "value", "unit",
+    ],
+}
 SQL_WORDS = (
-    "select from where and or not in is null order by limit join on group having as distinct between like asc desc avg sum max min count inner left right "
-    "outer union all case when then else end insert into values update set delete create table index view"
-).split()
-PASSED_OVER = "fy2019 fy2020 fy2021 fy2022 fy2023 fy2024 k".split()
+    "select", "from", "where", "and", "or", "not", "in", "is", "null", "order", "by", "limit", "join", "on", "group", "having", "as", "distinct", "between",
+    "like", "asc", "desc", "avg", "sum", "max", "min", "count", "inner", "left", "right", "outer", "union", "all", "case", "when", "then", "else", "end",
+    "insert", "into", "values", "update", "set", "delete", "create", "table", "index", "view",
+)
+PASSED_OVER = (
+    "fy2019", "fy2020", "fy2021", "fy2022", "fy2023", "fy2024", "k",
+)
 
 # Terms of finance, and patterns of questions about other things.
 TERMS = (
@@ -38,9 +44,18 @@ NOISE = (
     r"\b(movie|film|actor|director|award|oscar)\b", r"\b(country|capital|population|area|continent)\b",
     r"\b(stamp duty|tax revenue|national insurance)\b", r"\b(win.loss|margin of (victory|defeat))\b", r"\bfield \d+\b", r"\bokajima|jeriome\b",
 )
-# The domain filter knows fewer companies than the question filters do.
-DOMAIN_TICKERS = TICKERS[: TICKERS.index("ADBE")]
-DOMAIN_COMPANIES = [c for c in COMPANIES if c not in ("starbucks", "target", "amgen", "mastercard", "adobe")]
+# The tickers and companies that the domain filter knows.
+DOMAIN_TICKERS = (
+    "AAPL", "MSFT", "AMZN", "GOOGL", "GOOG", "META", "NVDA", "TSLA", "JPM", "V", "JNJ", "WMT", "PG", "UNH", "HD", "DIS", "BAC", "XOM", "PFE", "CVX", "KO",
+    "ABBV", "AVGO", "COST", "MRK", "TMO", "CSCO", "NKE", "ORCL", "CRM", "LLY", "AMD", "INTC", "QCOM", "NFLX", "MCD", "LOW", "CAT", "MMM", "GILD", "REGN",
+    "BIIB", "TXN", "ACN", "ABT", "PEP", "IBM", "BA", "HON", "FDX", "UPS", "GE", "T", "DE",
+)
+DOMAIN_COMPANIES = (
+    "apple", "microsoft", "amazon", "alphabet", "google", "meta", "nvidia", "tesla", "jpmorgan", "visa", "johnson", "walmart", "procter", "unitedhealth",
+    "home depot", "disney", "bank of america", "exxon", "pfizer", "chevron", "coca-cola", "abbvie", "broadcom", "costco", "merck", "thermo fisher", "cisco",
+    "nike", "oracle", "salesforce", "eli lilly", "intel", "qualcomm", "netflix", "mcdonald", "lowe", "caterpillar", "3m", "gilead", "regeneron", "biogen",
+    "texas instruments", "accenture", "abbott", "pepsico", "ibm", "boeing", "honeywell", "fedex", "ups", "general electric",
+)
 
 
 def is_domain_question(question: Column) -> Column:

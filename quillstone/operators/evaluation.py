@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.sizes import broadcast_if_small
+
 # Weights of keywords, value and semantic similarity by type, with and without a similarity model.
 WEIGHTS = {"Type1": (0.15, 0.65, 0.20), "Type2": (0.40, 0.10, 0.50), "Type3": (0.50, 0.00, 0.50)}
 FINAL_WEIGHTS = {"Type1": (0.10, 0.60, 0.30), "Type2": (0.30, 0.05, 0.65), "Type3": (0.40, 0.00, 0.60)}
@@ -17,15 +19,13 @@ def keyword_hit_rate(answer: Column, keywords: Column) -> Column:
 
 
 def fluency(text: Column) -> Column:
-    """1 to 5 by length, a repeated run of five words, and the last character."""
+    """1 to 5 by length, a repeated run of five words (told by 64-bit hashes), and the last character."""
     t = F.trim(F.coalesce(text, F.lit("")))
     ends = t.rlike(r'[.!?"]$')
 
     def grade(words: Column) -> Column:
         n = F.size(words)
-        # Shifted copies of the words, zipped, list all runs of five.
-        shifted = [F.slice(words, k, F.greatest(n - 4, F.lit(0))) for k in range(1, 6)]
-        runs = F.transform(F.arrays_zip(*(s.alias(f"w{k}") for k, s in enumerate(shifted))), lambda z: F.concat_ws(" ", *(z[f"w{k}"] for k in range(5))))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 5)))
         repeated = F.transform(F.array(runs), lambda r: F.size(r) > F.size(F.array_distinct(r)))[0]
         return F.when(F.length(t) < 10, 1).when((n >= 5) & repeated, 2).when(n < 15, 3).when((n >= 30) & ends, 5).when(ends, 4).otherwise(3)
 
@@ -39,18 +39,25 @@ def map_category(category: Column) -> Column:
     return F.when(c.contains("type3"), "Type3").when(c.contains("type2") & ~c.contains("type1"), "Type2").otherwise("Type1")
 
 
-def floor_percentile(value: str, q: float) -> Column:
-    """The element at floor(n q) of the sorted values, as exact counts of each distinct value allow at any size; see ``percentiles``."""
-    s = F.array_sort(F.collect_list(value))
-    return F.get(s, F.least(F.floor(F.size(s) * q), F.size(s) - 1).cast("int"))
-
+def percentiles(rows: DataFrame, group: str, value: str, points: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Exact floor-index percentiles per group: the element at floor(n q) of the sorted values, nulls left out.
 
-def percentiles(rows: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
-    """Floor-index percentiles per group over counted distinct values, so no group is gathered in one row."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(group).orderBy(value)
-    ranked = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(group)))
-    return ranked.groupBy(group).agg(*(F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * q), F.col("total") - 1), F.col(value))).alias(name) for name, q in points.items()))
+    Approximate percentiles, whose error in rank is bounded, give a range of values that holds the element; below it values are
+    only counted, and just those inside, a few ten-thousandths of a group, are counted one by one and put in order.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(group, value)
+    margin = 3 / accuracy
+    edge = lambda q: F.min(value) if q <= 0 else F.max(value) if q >= 1 else F.percentile_approx(value, q, accuracy)
+    ranges = [F.struct(F.lit(n).alias("point"), F.lit(float(q)).alias("q"), F.col(f"lo{k}").alias("lo"), F.col(f"hi{k}").alias("hi")) for k, (n, q) in enumerate(points.items())]
+    edges = known.groupBy(group).agg(F.count("*").alias("total"), *(f(q).alias(f"{n}{k}") for k, q in enumerate(points.values()) for n, f in (("lo", lambda q: edge(q - margin)), ("hi", lambda q: edge(q + margin)))))
+    edges = edges.select(group, "total", F.inline(F.array(*ranges))).withColumn("target", F.least(F.floor(F.col("total") * F.col("q")), F.col("total") - 1))
+    counted = known.groupBy(group, value).agg(F.count("*").alias("n"))
+    placed = counted.join(broadcast_if_small(edges), group).where(F.col(value) <= F.col("hi"))
+    below = placed.where(F.col(value) < F.col("lo")).groupBy(group, "point").agg(F.sum("n").alias("below"))
+    inside = placed.where(F.col(value) >= F.col("lo")).join(below, [group, "point"], "left")
+    upto = F.coalesce("below", F.lit(0)) + F.sum("n").over(Window.partitionBy(group, "point").orderBy(value))
+    found = inside.withColumn("upto", upto).where("upto > target").groupBy(group).pivot("point", list(points)).agg(F.min(value))
+    return found
 
 
 def compare_runs(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -9,15 +9,15 @@ from quillstone.operators.sizes import broadcast_if_small
 
 # Words that don't tell one metric from another.
 FILLERS = (
-    "net total less add plus gross consolidated and of the in for from attributable continuing operations per share "
-    "diluted basic weighted average"
-).split()
+    "net", "total", "less", "add", "plus", "gross", "consolidated", "and", "of", "the", "in", "for", "from", "attributable", "continuing", "operations", "per",
+    "share", "diluted", "basic", "weighted", "average",
+)
 
 
 def metric_key(label: Column) -> Column:
     """Lower case, letters only, no fillers, no one-letter words, sorted; repeated words stay."""
     letters = F.regexp_replace(F.lower(label), r"[^a-z\s]", " ")
-    words = F.filter(F.split(letters, r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(FILLERS))
+    words = F.filter(F.split(letters, r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*FILLERS))
     return F.array_join(F.array_sort(words), " ")
 
 

@@ -15,9 +15,10 @@ from quillstone.sources.tables import save_table
 
 # Known tickers, and words of company names in the order in which they are tried.
 TICKERS = (
-    "AAPL MSFT AMZN GOOGL GOOG META NVDA TSLA JPM V JNJ WMT PG UNH HD DIS BAC XOM PFE CVX KO ABBV AVGO COST MRK TMO CSCO NKE ORCL CRM LLY AMD INTC QCOM "
-    "NFLX MCD LOW CAT MMM GILD REGN BIIB TXN ACN ABT PEP IBM BA HON FDX UPS GE T DE ADBE SBUX TGT AMGN VRTX MA BRK-B"
-).split()
+    "AAPL", "MSFT", "AMZN", "GOOGL", "GOOG", "META", "NVDA", "TSLA", "JPM", "V", "JNJ", "WMT", "PG", "UNH", "HD", "DIS", "BAC", "XOM", "PFE", "CVX", "KO",
+    "ABBV", "AVGO", "COST", "MRK", "TMO", "CSCO", "NKE", "ORCL", "CRM", "LLY", "AMD", "INTC", "QCOM", "NFLX", "MCD", "LOW", "CAT", "MMM", "GILD", "REGN",
+    "BIIB", "TXN", "ACN", "ABT", "PEP", "IBM", "BA", "HON", "FDX", "UPS", "GE", "T", "DE", "ADBE", "SBUX", "TGT", "AMGN", "VRTX", "MA", "BRK-B",
+)
 COMPANIES = {
     "apple": "AAPL", "microsoft": "MSFT", "amazon": "AMZN", "alphabet": "GOOG", "google": "GOOG", "meta": "META", "nvidia": "NVDA", "tesla": "TSLA",
     "jpmorgan": "JPM", "visa": "V", "johnson": "JNJ", "walmart": "WMT", "procter": "PG", "unitedhealth": "UNH", "home depot": "HD", "disney": "DIS",

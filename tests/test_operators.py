@@ -115,7 +115,7 @@ def test_trigrams_and_mmr(spark):
 def test_percentiles_take_the_floor_index(spark):
     rows = spark.createDataFrame([("a", float(v)) for v in (1, 3, 5, 9)] + [("a", None)], "g string, v double")
     assert evaluation.percentiles(rows, "g", "v", {"p50": 0.5, "p100": 1.0}).first()[1:] == (5.0, 9.0)
-    assert rows.groupBy("g").agg(evaluation.floor_percentile("v", 0.5).alias("x")).first().x == 5.0
+    assert evaluation.percentiles(rows, "g", "v", {"x": 0.5, "lo": 0.0, "hi": 1.0}).first().asDict() == {"g": rows.first().g, "x": 5.0, "lo": rows.agg(F.min("v")).first()[0], "hi": rows.agg(F.max("v")).first()[0]}
 
 
 def test_smoothing_is_recursive(spark):
