@@ -163,12 +163,14 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95, tables: int =
     classes = save(valid.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
     packed = classes.mapInArrow(_packed, "rep long, n long, vec binary")
     hashed = save(packed.mapInArrow(_bucket_rows(tables, per_table, width, seed), "rep long, n long, vec binary, keys array<long>"), "vector-keys")
-    dealt = hashed.select("rep", "n", "vec", F.posexplode("keys").alias("t", "key"))
-    large = hashed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("m")).where(F.col("m") > max_bucket)
-    large = save(large.select("t", "key", F.ceil(F.col("m") / (max_bucket // 2)).cast("int").alias("slices")), "vector-large")
-    sliced = dealt.join(large, ["t", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    sliced = sliced.withColumn("mine", F.pmod(F.xxhash64("rep"), "slices").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    sliced = sliced.select(F.col("t").cast("long").alias("t"), "key", F.least("mine", "other").cast("long").alias("s1"), F.greatest("mine", "other").cast("long").alias("s2"), F.col("mine").cast("long").alias("mine"), "rep", "n", "vec")
+    # Only keys and class numbers are counted and joined; vectors follow to the buckets that more than one class shares.
+    dealt = hashed.select("rep", F.posexplode("keys").alias("t", "key"))
+    sized = dealt.groupBy("t", "key").agg(F.count("*").alias("m")).where("m > 1")
+    slices = F.when(F.col("m") > max_bucket, F.ceil(F.col("m") / (max_bucket // 2))).otherwise(1).cast("int")
+    shared = save(dealt.join(sized, ["t", "key"]).select(F.col("t").cast("long").alias("t"), "key", "rep", slices.alias("slices")), "vector-buckets")
+    sliced = shared.withColumn("mine", F.pmod(F.xxhash64("rep"), "slices").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    sliced = sliced.select("t", "key", F.least("mine", "other").cast("long").alias("s1"), F.greatest("mine", "other").cast("long").alias("s2"), F.col("mine").cast("long").alias("mine"), "rep")
+    sliced = sliced.join(hashed.select("rep", "n", "vec"), "rep")
     keys = ["t", "key", "s1", "s2"]
     work = sliced.repartition(n_buckets(spark), *keys).sortWithinPartitions(*keys)
     links = save(work.mapInArrow(_bucket_links(tables, per_table, width, seed, cosine), "a long, b long, n long"), "vector-links")
