@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.components import connected_components
 from quillstone.llm.store import released, save, small_batches, spare
+from quillstone.llm.vectors import whole_groups
 
 BITS = 64
 
@@ -223,9 +224,14 @@ def _sets(text: str, words: int) -> Column:
     return udf(text)
 
 
+def _least_agreement(similarity: float) -> float:
+    """How many minima agree at the similarity, less five standard deviations."""
+    return MINIMA * similarity - 5 * (MINIMA * similarity * (1 - similarity)) ** 0.5
+
+
 def _agreeing(similarity: float):
-    """Pairs (a, b) whose minima agree as often as at the similarity, less five standard deviations."""
-    least = MINIMA * similarity - 5 * (MINIMA * similarity * (1 - similarity)) ** 0.5
+    """Pairs (a, b) whose minima agree often enough."""
+    least = _least_agreement(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,7 +243,7 @@ def _agreeing(similarity: float):
     return run
 
 
-_DEALT = "key long, fp long, fp2 long, component long"
+_DEALT = "key long, fp long, fp2 long, node long, component long"
 
 
 def _dealt(masks: list[int]):
@@ -250,116 +256,186 @@ def _dealt(masks: list[int]):
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 key = t | _mixed(part.column("fp").to_numpy().view(np.uint64)[None, :] & m) >> np.uint64(8)
-                yield pa.record_batch({"key": key.ravel().view(np.int64)} | {c: np.tile(part.column(c).to_numpy(), len(masks)) for c in ("fp", "fp2", "component")})
+                yield pa.record_batch({"key": key.ravel().view(np.int64)} | {c: np.tile(part.column(c).to_numpy(), len(masks)) for c in ("fp", "fp2", "node", "component")})
 
     return released(run)
 
 
-def _candidates(masks: list[int], radius: int, radius2: int, neighbours: bool):
-    """Pairs of rows of one bucket within both radii, out of rows sorted by bucket and component. ``neighbours``: only each row
-    with the next of its bucket and with the first; otherwise all pairs of different components, each by the first of the
-    tables in which it meets."""
-    few = 400_000
-
-    def pairs(rows: list[np.ndarray]):
-        key, fp, fp2, component = rows
-        new = np.concatenate([[True], np.diff(key) != 0])
-        first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(key)))
-        stop, start = np.repeat(first + length, length), np.repeat(first, length)
-
-        def kept(i, j):
-            differ = fp[i] ^ fp[j]
-            near = (np.bitwise_count(differ) <= radius) & (np.bitwise_count(fp2[i] ^ fp2[j]) <= radius2)
-            i, j, differ = i[near], j[near], differ[near]
-            if not neighbours and len(i):
-                met = np.full(len(i), -1)
-                for t, m in enumerate(masks):
-                    met[(met < 0) & (differ & np.uint64(m) == 0)] = t
-                ok = met == key[i].view(np.uint64) >> np.uint64(56)
-                i, j = i[ok], j[ok]
-            return pa.record_batch({"x": fp[i].view(np.int64), "x_component": component[i], "y": fp[j].view(np.int64), "y_component": component[j]})
-
-        i = np.arange(len(key))
-        if neighbours:
-            yield kept(i[start < i], start[start < i])
-            yield kept(i[i + 1 < stop], i[i + 1 < stop] + 1)
-            return
-        # The rows of one component lie together: each row meets those of the bucket's later components only.
-        own = np.flatnonzero(new | np.concatenate([[True], np.diff(component) != 0]))
-        after = np.repeat(np.append(own[1:], len(key)), np.diff(np.append(own, len(key))))
-        d = 0
-        while len(i := i[after[i] + d < stop[i]]):
-            yield kept(i, after[i] + d)
-            d += 1
+def _buckets(batches: Iterator[pa.RecordBatch], few: int = 400_000) -> Iterator[list[np.ndarray]]:
+    """Whole buckets of rows sorted by key, several at a time: the columns, and where each row's bucket stops."""
+    held, size = [], 0
+
+    def whole(rows: list[np.ndarray]) -> list[np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], np.diff(rows[0]) != 0]))
+        length = np.diff(np.append(first, len(rows[0])))
+        return [*rows, np.repeat(first + length, length)]
+
+    for b in batches:
+        rows = [b.column(c).to_numpy() for c in ("key", "fp", "fp2", "node", "component")]
+        held.append([c.view(np.uint64) if k in (1, 2) else c for k, c in enumerate(rows)])
+        size += len(rows[0])
+        if size >= few:
+            rows = [np.concatenate(c) for c in zip(*held)]
+            # The last bucket's rows may go on in the next batch.
+            cut = int(np.flatnonzero(rows[0] != rows[0][-1]).max(initial=-1)) + 1
+            if cut:
+                yield whole([c[:cut] for c in rows])
+            held, size = [[c[cut:].copy() for c in rows]], size - cut
+    if size:
+        yield whole([np.concatenate(c) for c in zip(*held)])
+
+
+def _sampled(radius: int, radius2: int, most: int = 256):
+    """For each row with candidates of other components in its bucket the nearest one and one at random: (a, b, bits, c). Rows of
+    buckets over ``most`` look at as many neighbours only, and come with themselves where these hold no candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            key, fp, fp2, component = (b.column(c).to_numpy() for c in ("key", "fp", "fp2", "component"))
-            held.append([key, fp.view(np.uint64), fp2.view(np.uint64), component])
-            size += len(key)
-            if size >= few:
-                rows = [np.concatenate(c) for c in zip(*held)]
-                # The last bucket's rows may go on in the next batch.
-                cut = int(np.flatnonzero(rows[0] != rows[0][-1]).max(initial=-1)) + 1
-                if cut:
-                    yield from pairs([c[:cut] for c in rows])
-                held, size = [[c[cut:].copy() for c in rows]], size - cut
-        if size:
-            yield from pairs([np.concatenate(c) for c in zip(*held)])
+        low, none = (1 << 31) - 1, np.iinfo(np.int64).max
+        for _, fp, fp2, node, component, stop in _buckets(batches):
+            i, best, any_ = np.arange(len(fp)), np.full(len(fp), none), np.full(len(fp), none)
+            d = 1
+            while d < most and len(i := i[i + d < stop[i]]):
+                j = i + d
+                one, two = np.bitwise_count(fp[i] ^ fp[j]), np.bitwise_count(fp2[i] ^ fp2[j])
+                near = (one <= radius) & (two <= radius2) & (component[i] != component[j])
+                x, y, bits = i[near], j[near], (one[near].astype(np.int64) + two[near]) << 32
+                chance = (_mixed(fp2[x] ^ fp2[y] ^ fp[x]) >> np.uint64(33) << np.uint64(31)).view(np.int64)
+                for u, v in ((x, y), (y, x)):
+                    best[u], any_[u] = np.minimum(best[u], bits | v), np.minimum(any_[u], chance | v)
+                d += 1
+            best[i], any_[i] = np.minimum(best[i], (200 << 32) | i), np.minimum(any_[i], none - 1 & ~low | i)
+            found = np.flatnonzero(best < none)
+            yield pa.record_batch({"a": node[found], "b": node[best[found] & low], "bits": best[found] >> 32, "c": node[any_[found] & low]})
+
+    return released(run)
+
+
+def _spanning(radius: int, radius2: int):
+    """Edges (a, b) that connect any two rows of different components of a bucket that are within both radii: one a row at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, fp, fp2, node, component, stop in _buckets(batches):
+            i, label, d = np.arange(len(fp)), np.arange(len(fp)), 1
+            while len(i := i[i + d < stop[i]]):
+                j = i + d
+                near = (label[i] != label[j]) & (component[i] != component[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(fp2[i] ^ fp2[j]) <= radius2)
+                x, y = i[near], j[near]
+                while len(x):
+                    u, v = label[x], label[y]
+                    np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+                    while (label != (lower := label[label])).any():
+                        label = lower
+                    apart = label[x] != label[y]
+                    x, y = x[apart], y[apart]
+                d += 1
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.record_batch({"a": node[moved], "b": node[label[moved]]})
 
     return released(run)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3, radius: int = 11, radius2: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(similarity: float):
+    """True links (a, b) between rows of one group (s1 = s2) or of its two sides; components that a link joins are one from then on."""
+    least, slices = _least_agreement(similarity), ["blob", "s1", "s2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches, slices):
+            codes = np.array([b.column(c).to_numpy() for c in slices])
+            stops = np.append(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1, b.num_rows).tolist()
+            for first, stop in zip([0, *stops], stops):
+                g = b.slice(first, stop - first)
+                node, side, cross = g.column("node").to_numpy(), g.column("mine").to_numpy(), codes[1, first] != codes[2, first]
+                _, label = np.unique(g.column("component").to_numpy(), return_inverse=True)
+                m = np.stack([np.frombuffer(v, np.uint8) for v in g.column("minima").to_pylist()])
+                sets = [x.values.to_numpy() for x in g.column("shingles")]
+                out = []
+                for k in range(0, len(m), 64):
+                    i, j = np.nonzero((m[k : k + 64, None, :] == m[None, :, :]).sum(axis=2) >= least)
+                    i += k
+                    ok = (i < j) & (side[i] != side[j] if cross else True)
+                    for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+                        if label[x] != label[y]:
+                            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                            if common >= similarity * (len(sets[x]) + len(sets[y]) - common):
+                                out.append((node[x], node[y]))
+                                label[label == label[y]] = label[x]
+                if out:
+                    x, y = zip(*out)
+                    yield pa.record_batch({"a": np.array(x), "b": np.array(y)})
+
+    return released(run)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3, radius: int = 11, radius2: int = 18, partners: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, node, component, rep) for each row. Rows of one component are joined by pairs of texts whose sets
     of ``words``-word shingles have at least the Jaccard similarity; ``rep`` is the component's (no_id, doc_id, text_hash)
     with the smallest doc_id, ids before nulls.
 
     Candidates are all pairs whose fingerprints differ in at most ``radius`` bits, found by covering masks, and second
     fingerprints in at most ``radius2``, which keeps out the pairs of unrelated texts that are near by chance. Every link is
-    checked on the shingles. A first round, with covering masks for 3 bits, checks neighbours within the tables' buckets;
-    the second checks the other pairs, but none whose texts the first has joined, so that a large group of copies costs no
-    pair each. Texts of the same words are one node from the start.
+    checked on the shingles. Two rounds check each text with its nearest candidate and ``partners`` random ones, the second
+    with those that the first has not joined it with. Then the texts that candidates still connect are compared with each
+    other, components that are joined being left out, within tasks: no pair is written that is no link. Texts of the same
+    words are one node from the start.
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     marked = save(d.withColumn("s", _sketches("text", fingerprint_words)).select("doc_id", "text_hash", "s.*"), "similar")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = save(marked.groupBy("node").agg(F.min(order).alias("rep"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "similar-nodes")
-    links = joined = None
-    for masks, neighbours in ((covering_masks(list(range(BITS)), 3), True), (part_masks(radius), False)):
-        keyed = nodes.withColumn("component", F.col("node")) if joined is None else nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        keyed = keyed.select("node", "fp", "fp2", "component")
-        dealt = keyed.select("fp", "fp2", "component").distinct().mapInArrow(_dealt(masks), _DEALT)
-        met = dealt.repartition("key").sortWithinPartitions("key", "component").mapInArrow(_candidates(masks, radius, radius2, neighbours), "x long, x_component long, y long, y_component long").distinct()
-        side = lambda end, name: keyed.select(F.col("node").alias(name), F.col("fp").alias(end), F.col("component").alias(f"{end}_component"))  # noqa: E731, B023
-        pairs = met.join(side("x", "a"), ["x", "x_component"]).join(side("y", "b"), ["y", "y_component"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        if neighbours:
-            least = pairs.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-            pairs = least.select("b", F.explode(F.array("low", "high")).alias("a"))
-        true = _checked(d, nodes, save(pairs.select("a", "b").distinct(), "similar-pairs"), words, similarity)
+    masks = part_masks(radius)
+    ordered = lambda pairs: pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, links, joined = nodes.select("fp", "fp2", "node", F.col("node").alias("component")), None, None
+    dealt = lambda by: left.mapInArrow(_dealt(masks), _DEALT).repartition("key").sortWithinPartitions("key", by)
+    for _ in range(2):
+        met = dealt("fp2").mapInArrow(_sampled(radius, radius2), "a long, b long, bits long, c long")
+        some = F.slice(F.array_sort(F.transform(F.collect_set("c"), lambda c: F.struct(F.xxhash64("a", c).alias("h"), c.alias("c")))), 1, partners)
+        chosen = save(met.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"), some.alias("some")), "similar-chosen")
+        pairs = ordered(chosen.select("a", F.explode(F.concat(F.array("b"), F.transform("some", lambda x: x["c"]))).alias("b")))
+        true = _checked(d, nodes, save(pairs, "similar-pairs"), words, similarity)
         links = true if links is None else links.union(true)
         joined = save(connected_components(links), "similar-components")
+        # A text that meets no candidate of another component has no more links to find.
+        left = left.select("fp", "fp2", "node").join(chosen.select(F.col("a").alias("node")), "node", "left_semi").join(joined, "node", "left")
+        left = save(left.select("fp", "fp2", "node", F.coalesce("component", "node").alias("component")), "similar-left")
+    edges = save(dealt("fp2").mapInArrow(_spanning(radius, radius2), "a long, b long").distinct(), "similar-edges")
+    blobs = save(connected_components(edges).withColumnRenamed("component", "blob"), "similar-blobs")
+    true = _compared(d, nodes, left.join(blobs, "node").select("node", "component", "blob"), words, similarity)
+    joined = save(connected_components(links.union(true)), "similar-components")
     placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("rep"))
     named = placed.select("node", "component").join(least, "component")
     return marked.select("doc_id", "text_hash", "node").join(named, "node")
 
 
+def _set_table(d: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles, minima) of the wanted nodes, from the text of one row each."""
+    asked = save(nodes.join(wanted, "node").select(F.col("rep.doc_id").alias("of"), F.col("rep.text_hash").alias("hash"), "node"), "similar-asked")
+    found = d.join(asked, (d["text_hash"] == asked["hash"]) & d["doc_id"].eqNullSafe(asked["of"])).select("node", "text")
+    return save(found.select("node", _sets("text", words).alias("s")).select("node", "s.*").dropDuplicates(["node"]), "similar-sets")
+
+
 def _checked(d: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes that have the similarity; only texts that are in a pair are cut into shingles."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = save(nodes.join(ends, "node").select(F.col("rep.doc_id").alias("of"), F.col("rep.text_hash").alias("hash"), "node"), "similar-asked")
-    found = d.join(asked, (d["text_hash"] == asked["hash"]) & d["doc_id"].eqNullSafe(asked["of"])).select("node", "text")
-    sets = save(found.select("node", _sets("text", words).alias("s")).select("node", "s.*").dropDuplicates(["node"]), "similar-sets")
+    sets = _set_table(d, nodes, ends, words)
     both = lambda p, c: p.join(sets.select(F.col("node").alias("a"), F.col(c).alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col(c).alias("y")), "b")
     screened = save(both(pairs, "minima").select("a", "b", "x", "y").mapInArrow(_agreeing(similarity), "a long, b long"), "similar-screened")
     common = F.size(F.array_intersect("x", "y"))
     return save(both(screened, "shingles").where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar-links")
 
 
+def _compared(d: DataFrame, nodes: DataFrame, blobs: DataFrame, words: int, similarity: float, texts: int = 512, shingles: int = 1_000_000) -> DataFrame:
+    """Links between the components within each blob of texts that candidates connect. A blob over ``texts`` texts or ``shingles``
+    shingles is dealt out as pairs of slices, so that pairs are looked at within tasks of bounded size and never written."""
+    sets = _set_table(d, nodes, blobs.select("node"), words).join(blobs, "node")
+    size = sets.groupBy("blob").agg(F.greatest(F.ceil(F.count("*") / texts), F.ceil(F.sum(F.size("shingles")) / shingles)).cast("int").alias("slices"))
+    dealt = sets.join(size, "blob").withColumn("mine", F.pmod(F.xxhash64("node"), "slices").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    long = lambda c: c.cast("long")
+    dealt = dealt.select("blob", long(F.least("mine", "other")).alias("s1"), long(F.greatest("mine", "other")).alias("s2"), long(F.col("mine")).alias("mine"), "node", "component", "minima", "shingles")
+    return save(dealt.repartition("blob", "s1", "s2").sortWithinPartitions("blob", "s1", "s2").mapInArrow(_verified(similarity), "a long, b long"), "similar-links")
+
+
 def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of similar documents: the first by doc_id (null ids last), then by the text's hash.
 

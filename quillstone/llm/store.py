@@ -21,7 +21,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-quillstone-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: The folders that this driver asked for, oldest first.
+_made: list[str] = []
+
+
+def mark() -> int:
+    """A point in time for ``clear``."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the folders made since a mark but those to keep: call it once what was computed from them is written."""
+    for at in [f for f in _made[since:] if f not in keep]:
+        _delete(spark, at)
+        _made.remove(at)
 
 
 def save(df: DataFrame, name: str, **options) -> DataFrame:
@@ -42,8 +59,12 @@ def spare(df: DataFrame, name: str) -> str:
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that save() wrote and that no later job reads."""
     for at in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, mb: int = 4) -> None:

@@ -63,7 +63,7 @@ def _bucket_rows(tables: int, per_table: int, width: float, seed: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches of rows sorted by ``columns``, cut so that no group is parted; a group is bounded by the caller."""
     rest = None
     for b in batches:
@@ -106,7 +106,7 @@ def _bucket_links(tables: int, per_table: int, width: float, seed: int, cosine:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches, ["t", "key", "s1", "s2"]):
+        for b in whole_groups(batches, ["t", "key", "s1", "s2"]):
             codes = np.array([b.column(c).to_numpy() for c in ("t", "key", "s1", "s2")])
             stops = np.append(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1, b.num_rows)
             t, rep, n = codes[0], b.column("rep").to_numpy(), b.column("n").to_numpy()
