@@ -1,8 +1,9 @@
 """A corpus pipeline: quality, near-duplicates, personal data, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir), gets the table that the stage before it wrote, and all but the last return the
-columns of ``documents``. Rejected are the documents that score below 0.3 and all but the smallest doc_id of a group of
-near-duplicates (5-word shingle sets of Jaccard similarity 0.8 or more); the mixture repeats documents of small sources and leaves none out.
+columns of ``documents``. Rejected are the documents that score below 0.3 and all but one row of a group of near-duplicates
+(5-word shingle sets of Jaccard similarity 0.8 or more), which is the one with the smallest doc_id; the mixture repeats documents of small
+sources and leaves none out.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import mixing, packing, pii, quality, simhash
 from quillstone.llm.queries import CONTEXT_SHARE, END_ID, MAX_LOSS, MAX_REPEATS, pii_key, trained_quality_model, vocabulary
-from quillstone.llm.store import shared_folder
+from quillstone.llm.store import clear, mark, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet to the shared folder and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``, each written as Parquet to the shared folder and read back. When a stage is written, its
+    own tables and what the stage before wrote are deleted."""
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for _, stage in STAGES:
         at = shared_folder(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(at)
+        clear(spark, began, keep=(at,))
         docs = spark.read.parquet(at)
     return docs
