@@ -235,7 +235,7 @@ def N5_long_form(spark, d):
 
 
 # Evaluation runs.
-@query(f"""WITH p AS (SELECT ticker, year, CAST(substr(year, 3) AS INTEGER) AS y FROM {P} p) SELECT ticker, year, y % 2 = 0 AS our_value, CASE WHEN y % 2 = 0 THEN 1.0 ELSE 0.5 END AS our_keywords, CASE WHEN y % 3 = 0 THEN true END AS other_value, CASE WHEN y % 3 = 0 THEN 1.0 END AS other_keywords FROM p""")
+@query(f"""WITH p AS (SELECT ticker, year, CAST(substr(year, 3) AS INTEGER) AS y FROM {P} p) SELECT ticker, year, y % 2 = 0 AS our_value, CASE WHEN y % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS our_keywords, CASE WHEN y % 3 = 0 THEN true END AS other_value, CASE WHEN y % 3 = 0 THEN 1.0 END::DOUBLE AS other_keywords FROM p""")
 def Y2_scored_sides(spark, d):
     y = F.substring("year", 3, 4).cast("int")
     right = F.concat(F.lit("The revenue was $"), F.format_number(F.floor("total_revenue"), 0), F.lit("."))
@@ -284,7 +284,7 @@ def Y8_score_table(spark, d):
     return runs.score_table(base, base.withColumn("quality", F.when(F.col("doc_id") % 5 == 0, 1).otherwise(F.col("quality"))), ["quality", "toxic"])
 
 
-@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'eval' ELSE 'train' END AS part, event_id AS step, user_id / 2 AS epoch, value AS loss, CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0.0 END AS accuracy FROM events WHERE event_id % 3 <> 2 AND value IS NOT NULL AND NOT isnan(value)")
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'eval' ELSE 'train' END AS part, event_id AS step, user_id / 2 AS epoch, value AS loss, CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS accuracy FROM events WHERE event_id % 3 <> 2 AND value IS NOT NULL AND NOT isnan(value)")
 def Y9_training_log(spark, d):
     entry = "named_struct('step', event_id, 'epoch', user_id / 2, 'loss', if(event_id % 3 = 1, value, null), 'eval_loss', if(event_id % 3 = 0, value, null), 'eval_mean_token_accuracy', if(event_id % 3 = 0, 0.5D, null))"
     states = _read(spark, d, "events").selectExpr(f"to_json(named_struct('log_history', array({entry}))) as json")

@@ -44,8 +44,8 @@ PLAN_NODES = frozenset((
 ))
 #: Functions a statement may call; all are deterministic and read nothing but their arguments.
 FUNCTIONS = frozenset((
-    "abs", "any_value", "approx_count_distinct", "avg", "cast", "ceil", "ceiling", "char_length", "coalesce", "concat", "concat_ws", "contains", "count", "count_if", "date_format", "day",
-    "dense_rank", "double", "endswith", "exp", "first", "first_value", "floor", "format_number", "format_string", "greatest", "if", "ifnull", "instr", "int", "isnull", "isnotnull",
+    "abs", "any_value", "approx_count_distinct", "avg", "between", "cast", "ceil", "ceiling", "char_length", "coalesce", "concat", "concat_ws", "contains", "count", "count_if", "date_format", "day",
+    "dense_rank", "double", "endswith", "exp", "first", "first_value", "floor", "format_number", "format_string", "greatest", "if", "ifnull", "ilike", "instr", "int", "isnull", "isnotnull",
     "lag", "last", "last_value", "lead", "least", "left", "len", "length", "like", "ln", "log", "log10", "lower", "lpad", "ltrim", "max", "max_by", "mean", "median", "min", "min_by", "mod",
     "month", "nullif", "nullifzero", "nvl", "percent_rank", "percentile", "percentile_approx", "pow", "power", "quarter", "rank", "regexp_extract", "regexp_like", "regexp_replace", "replace", "right", "rlike",
     "round", "row_number", "rpad", "rtrim", "sign", "split_part", "sqrt", "startswith", "stddev", "string", "substr", "substring", "sum", "to_date", "trim", "try_divide", "upper", "variance", "year",
