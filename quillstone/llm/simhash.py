@@ -366,7 +366,7 @@ def _verified(similarity: float):
     return released(run)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3, radius: int = 11, radius2: int = 18, partners: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3, radius: int = 11, radius2: int = 18, partners: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, node, component, rep) for each row. Rows of one component are joined by pairs of texts whose sets
     of ``words``-word shingles have at least the Jaccard similarity; ``rep`` is the component's (no_id, doc_id, text_hash)
     with the smallest doc_id, ids before nulls.
