@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, mixing, ngram_lm, packing, pii, quality, simhash, tiff, token_files, vectors
+from quillstone.llm import chat, fm_index, mixing, ngram_lm, packing, pii, quality, simhash, tiff, token_files, vectors
 
 END_ID = 2
 #: The session's setting that holds the secret key of pseudonyms, and the key where it is unset, as in tests.
@@ -92,8 +92,17 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = fm_index.build_index(table(spark, sf_dir, "documents"))
+    found = fm_index.contaminated(index, fm_index.item_windows(table(spark, sf_dir, "benchmark")))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    named = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    digest = F.sha2(named, 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest, (n_hit > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_token_files, op3_chat_examples, op4_simhash_duplicates, op5_ngram_scores, op6_embedding_duplicates, op7_packed_sequences, op8_mixing_schedule, op9_tiff_pages, op10_quality_scores)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_token_files, op3_chat_examples, op4_simhash_duplicates, op5_ngram_scores, op6_embedding_duplicates, op7_packed_sequences, op8_mixing_schedule, op9_tiff_pages, op10_quality_scores, op12_contamination)}
 
 
 _TOLD = "<|im_end|><|im_start|>assistant ok"
@@ -108,7 +117,19 @@ l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.ve
 r(v, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a WHERE r.c < l.b),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a) SELECT r.v AS vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.c) AS component_id, min(r.c) = r.v AS kept FROM r LEFT JOIN n ON n.a = r.v GROUP BY r.v"""
 
+#: Words of a text with A-Z lowered, and the windows of items: ten words, or all of an item that has fewer.
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+CONTAMINATION_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, len(x) AS n, array_to_string(x, ' ') AS x FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: w[i:i + 9])) AS x FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+p AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+g AS MATERIALIZED (SELECT p.r, p.i, p.n, win.item_id FROM p JOIN d USING (r) JOIN win ON win.n = p.n AND win.x = array_to_string(d.w[p.i:p.i + p.n - 1], ' ')),
+h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM g) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM g) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express; tests hold the others against brute force."""
-    return {"op3_chat_examples": CHAT_SQL, "op6_embedding_duplicates": VECTORS_SQL}
+    return {"op3_chat_examples": CHAT_SQL, "op6_embedding_duplicates": VECTORS_SQL, "op12_contamination": CONTAMINATION_SQL}
