@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, fm_index, mixing, ngram_lm, packing, pii, quality, simhash, tiff, token_files, vectors
+from quillstone.llm import bisectors, chat, fm_index, mixing, ngram_lm, packing, pii, quality, simhash, tiff, token_files, vectors
 
 END_ID = 2
 #: The session's setting that holds the secret key of pseudonyms, and the key where it is unset, as in tests.
@@ -101,8 +101,13 @@ def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest, (n_hit > 0).alias("contaminated"))
 
 
+def op13_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = bisectors.grid_vectors(table(spark, sf_dir, "embeddings"))
+    return bisectors.with_inertia(*bisectors.centroid_clusters(grid, k=16, rounds=3, seed="1"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_token_files, op3_chat_examples, op4_simhash_duplicates, op5_ngram_scores, op6_embedding_duplicates, op7_packed_sequences, op8_mixing_schedule, op9_tiff_pages, op10_quality_scores, op12_contamination)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_token_files, op3_chat_examples, op4_simhash_duplicates, op5_ngram_scores, op6_embedding_duplicates, op7_packed_sequences, op8_mixing_schedule, op9_tiff_pages, op10_quality_scores, op12_contamination, op13_bisector_clusters)}
 
 
 _TOLD = "<|im_end|><|im_start|>assistant ok"
@@ -130,6 +135,19 @@ t AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
 
 
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Each round is two CTEs: the nearest centroid of every vector, and the floors of the clusters' means."""
+    a = lambda n: f"""a{n} AS MATERIALIZED (SELECT r, vec_id, v, min({{'d': d, 'c': cluster}}) AS m FROM (SELECT g.r, g.vec_id, g.v, c.cluster, list_sum(list_transform(list_zip(g.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM g, c{n} c) GROUP BY r, vec_id, v)"""
+    moved = lambda n: f"""s{n} AS (SELECT cluster, place, ((total - ((total % n) + n) % n) // n)::BIGINT AS x FROM (SELECT m.c AS cluster, place, sum(v[place]) AS total, count(*) AS n FROM a{n - 1}, (SELECT unnest(range(1, 65)) AS place) GROUP BY 1, 2)),
+c{n} AS MATERIALIZED (SELECT c.cluster, coalesce(s.v, c.v) AS v FROM c{n - 1} c LEFT JOIN (SELECT cluster, list(x ORDER BY place) AS v FROM s{n} GROUP BY 1) s USING (cluster))"""
+    steps = ",\n".join(f"{a(n - 1)},\n{moved(n)}" for n in range(1, rounds + 1))
+    return f"""WITH g AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v FROM g ORDER BY sha256('1:' || vec_id), v LIMIT {k}),
+{steps},
+{a(rounds)}
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.m.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express; tests hold the others against brute force."""
-    return {"op3_chat_examples": CHAT_SQL, "op6_embedding_duplicates": VECTORS_SQL, "op12_contamination": CONTAMINATION_SQL}
+    return {"op3_chat_examples": CHAT_SQL, "op6_embedding_duplicates": VECTORS_SQL, "op12_contamination": CONTAMINATION_SQL, "op13_bisector_clusters": _clusters_sql()}
