@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bisectors, chat, fm_index, mixing, ngram_lm, packing, pii, quality, simhash, tiff, token_files, vectors
+from quillstone.llm import bisectors, bloom_search, chat, fm_index, mixing, ngram_lm, packing, pii, quality, simhash, tiff, token_files, vectors
 
 END_ID = 2
 #: The session's setting that holds the secret key of pseudonyms, and the key where it is unset, as in tests.
@@ -92,6 +92,10 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_search.search(bloom_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), top=20)
+
+
 def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = fm_index.build_index(table(spark, sf_dir, "documents"))
     found = fm_index.contaminated(index, fm_index.item_windows(table(spark, sf_dir, "benchmark")))
@@ -107,7 +111,7 @@ def op13_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_token_files, op3_chat_examples, op4_simhash_duplicates, op5_ngram_scores, op6_embedding_duplicates, op7_packed_sequences, op8_mixing_schedule, op9_tiff_pages, op10_quality_scores, op12_contamination, op13_bisector_clusters)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_token_files, op3_chat_examples, op4_simhash_duplicates, op5_ngram_scores, op6_embedding_duplicates, op7_packed_sequences, op8_mixing_schedule, op9_tiff_pages, op10_quality_scores, op11_ranked_search, op12_contamination, op13_bisector_clusters)}
 
 
 _TOLD = "<|im_end|><|im_start|>assistant ok"
@@ -134,6 +138,15 @@ h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i
 t AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM g) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
 
+SEARCH_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+n AS MATERIALIZED (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+tf AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+s AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM n),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_WORDS_SQL}) AS t FROM benchmark) GROUP BY item_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t),
+x AS (SELECT item_id, n.r, n.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words))))::BIGINT AS score FROM i JOIN w USING (t) JOIN tf USING (t) JOIN n ON n.r = tf.r, s GROUP BY item_id, n.r, n.doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 20"""
+
 
 def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
     """Each round is two CTEs: the nearest centroid of every vector, and the floors of the clusters' means."""
@@ -150,4 +163,4 @@ SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, sum(m.d) OVER (PARTITIO
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express; tests hold the others against brute force."""
-    return {"op3_chat_examples": CHAT_SQL, "op6_embedding_duplicates": VECTORS_SQL, "op12_contamination": CONTAMINATION_SQL, "op13_bisector_clusters": _clusters_sql()}
+    return {"op3_chat_examples": CHAT_SQL, "op6_embedding_duplicates": VECTORS_SQL, "op11_ranked_search": SEARCH_SQL, "op12_contamination": CONTAMINATION_SQL, "op13_bisector_clusters": _clusters_sql()}
