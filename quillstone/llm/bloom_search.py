@@ -29,9 +29,9 @@ from quillstone.llm.terms import row_words
 PROBES, BITS = 3, 8
 STEPS = np.array([1, 2, 3, 5, 9, 17, 33, 65, 129, 257])
 #: Greatest number of ids and terms in a block's exact part: a longer text has a block for itself.
-BLOCK_TERMS = 1 << 19
+BLOCK_TERMS = 1 << 18
 #: Terms and texts that are looked at together: at most so many cells of 8 bytes.
-CELLS = 1 << 22
+CELLS = 1 << 21
 #: The most texts of a block of the index that are scored for an item to find its threshold.
 PROMISING = 4
 
