@@ -287,7 +287,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], few: int = 400_000) -> Iterator[
 
 def _sampled(radius: int, radius2: int, most: int = 256):
     """For each row with candidates of other components in its bucket the nearest one and one at random: (a, b, bits, c). Rows of
-    buckets over ``most`` look at as many neighbours only, and come with themselves where these hold no candidate."""
+    buckets over ``most`` look at as many neighbours only, and all of them come, with themselves where these hold no candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, none = (1 << 31) - 1, np.iinfo(np.int64).max
@@ -303,7 +303,9 @@ def _sampled(radius: int, radius2: int, most: int = 256):
                 for u, v in ((x, y), (y, x)):
                     best[u], any_[u] = np.minimum(best[u], bits | v), np.minimum(any_[u], chance | v)
                 d += 1
-            best[i], any_[i] = np.minimum(best[i], (200 << 32) | i), np.minimum(any_[i], none - 1 & ~low | i)
+            _, bucket, size = np.unique(stop, return_inverse=True, return_counts=True)
+            big = np.flatnonzero(size[bucket] > most)
+            best[big], any_[big] = np.minimum(best[big], (200 << 32) | big), np.minimum(any_[big], none - 1 & ~low | big)
             found = np.flatnonzero(best < none)
             yield pa.record_batch({"a": node[found], "b": node[best[found] & low], "bits": best[found] >> 32, "c": node[any_[found] & low]})
 
@@ -366,7 +368,7 @@ def _verified(similarity: float):
     return released(run)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3, radius: int = 11, radius2: int = 18, partners: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3, radius: int = 11, radius2: int = 18, partners: int = 4, most: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, node, component, rep) for each row. Rows of one component are joined by pairs of texts whose sets
     of ``words``-word shingles have at least the Jaccard similarity; ``rep`` is the component's (no_id, doc_id, text_hash)
     with the smallest doc_id, ids before nulls.
@@ -374,7 +376,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Candidates are all pairs whose fingerprints differ in at most ``radius`` bits, found by covering masks, and second
     fingerprints in at most ``radius2``, which keeps out the pairs of unrelated texts that are near by chance. Every link is
     checked on the shingles. Two rounds check each text with its nearest candidate and ``partners`` random ones, the second
-    with those that the first has not joined it with. Then the texts that candidates still connect are compared with each
+    with those that the first has not joined it with; in a bucket of over ``most`` texts they look at some of each text's
+    neighbours and keep all texts. Then the texts that candidates still connect are compared with each
     other, components that are joined being left out, within tasks: no pair is written that is no link. Texts of the same
     words are one node from the start.
     """
@@ -388,7 +391,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     left, links, joined = nodes.select("fp", "fp2", "node", F.col("node").alias("component")), None, None
     dealt = lambda by: left.mapInArrow(_dealt(masks), _DEALT).repartition("key").sortWithinPartitions("key", by)
     for _ in range(2):
-        met = dealt("fp2").mapInArrow(_sampled(radius, radius2), "a long, b long, bits long, c long")
+        met = dealt("fp2").mapInArrow(_sampled(radius, radius2, most), "a long, b long, bits long, c long")
         some = F.slice(F.array_sort(F.transform(F.collect_set("c"), lambda c: F.struct(F.xxhash64("a", c).alias("h"), c.alias("c")))), 1, partners)
         chosen = save(met.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"), some.alias("some")), "similar-chosen")
         pairs = ordered(chosen.select("a", F.explode(F.concat(F.array("b"), F.transform("some", lambda x: x["c"]))).alias("b")))

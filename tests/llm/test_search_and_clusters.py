@@ -195,7 +195,7 @@ def plain_clusters(rows, k, rounds):
 def test_clusters_equal_brute_force(spark, n):
     rng = np.random.default_rng(n)
     rows = [(i, [round(x, 2) for x in rng.normal(rng.integers(-2, 3), 0.4, 64).tolist()]) for i in range(n)]
-    rows += rows[:20] + [(None, rows[0][1])] * (n > 0)  # repeated rows, a null id, ties
+    rows += rows[:20] + [(None, v) for _, v in rows[:1]]  # repeated rows, a null id, ties
     rows += [(900, None), (901, []), (902, [1.0] * 63), (903, [None] * 64), (904, [float("nan")] + [0.0] * 63), (905, [float("inf")] * 64)]
     table = spark.createDataFrame([(i, v, 3, "v") for i, v in rows], "vec_id long, embedding array<double>, cluster int, v string")
     got = bisectors.with_inertia(*bisectors.centroid_clusters(bisectors.grid_vectors(table))).collect()

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -67,3 +68,30 @@ def test_a_group_of_very_many_near_copies(spark):
         rows.append((k, " ".join(words)))
     kept = simhash.without_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.doc_id for r in kept] == [0]
+
+
+def test_no_row_of_a_long_bucket_is_left_out():
+    """600 rows of one key, only the first and the last are candidates: both go on, as does every row of the bucket."""
+    n = 600
+    fp = np.array([(k * 0x9E3779B97F4A7C15 ^ k << 40) & (1 << 64) - 1 for k in range(n)], np.uint64)
+    fp[-1] = fp[0] ^ np.uint64(7)
+    rows = {"key": np.zeros(n, np.int64), "fp": fp.view(np.int64), "fp2": fp.view(np.int64), "node": np.arange(n), "component": np.arange(n)}
+    batches = lambda: iter(pa.record_batch(rows).slice(k, 100) for k in range(0, n, 100))
+    came = {r["a"] for b in simhash._sampled(11, 18)(batches()) for r in b.to_pylist()}
+    assert came == set(range(n))
+    links = [(r["a"], r["b"]) for b in simhash._spanning(11, 18)(batches()) for r in b.to_pylist()]
+    assert (n - 1, 0) in links
+
+
+def test_result_is_the_same_however_few_neighbours_are_looked_at(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 300, 140)]
+        for c in range(6):
+            words = list(base)
+            words[int(rng.integers(140))] = f"v{g}x{c}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, all_ = ({(r.doc_id, r.rep.doc_id) for r in simhash.similar_documents(docs, most=m).collect()} for m in (2, 1 << 30))
+    assert few == all_ and len({c for _, c in all_}) == 40
