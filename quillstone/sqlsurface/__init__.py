@@ -78,75 +78,112 @@ def _seq(items) -> list:
     return [items.apply(k) for k in range(items.size())]
 
 
+#: Names that Spark reads as functions where no column has them; they need no brackets.
+BARE_FUNCTIONS = frozenset("current_catalog current_database current_date current_schema current_time current_timestamp current_user localtime localtimestamp session_user user".split())
+#: Expressions that hold a query.
+_SUBQUERIES = frozenset(("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"))
+
+
 class _Parsed:
-    """What Spark's own parser finds in a statement: kinds of plan nodes, relations with their place, functions, names of WITH."""
+    """What Spark's own parser finds in a statement, walked with its scopes.
+
+    A name of WITH is visible in later definitions of the same WITH, in the query below it and in the queries within that;
+    an inner name hides an outer one. Each use of a relation is either such a name or a table of the surface, and only the
+    latter are in ``relations``, with their place in the text.
+    """
 
     def __init__(self, spark: SparkSession, sql: str):
         self.nodes: set[str] = set()
         self.functions: set[str] = set()
-        self.local: set[str] = set()
         self.relations: list[tuple[list[str], int, int, bool]] = []
+        self.alike: list[str] = []
         try:
             plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
         except Exception as e:  # Py4J hands the parser's error on
             raise Refused(f"not a statement: {str(e).strip().splitlines()[0][:200]}") from None
-        self._plan(plan, False)
+        self._plan(plan, frozenset(), False, None)
 
-    def _plan(self, node, aliased: bool) -> None:
+    def _plan(self, node, visible: frozenset[str], aliased: bool, inner: list[str] | None) -> None:
+        """``inner``: what the FROM of the subquery that the node is a part of calls its relations; None at the top."""
         name = node.getClass().getSimpleName()
         self.nodes.add(name)
         if name == "UnresolvedRelation":
-            at = node.origin()
-            self.relations.append((_seq(node.multipartIdentifier()), at.startIndex().get(), at.stopIndex().get() + 1, aliased))
+            parts, at = _seq(node.multipartIdentifier()), node.origin()
+            if len(parts) != 1 or parts[0].lower() not in visible:
+                self.relations.append((parts, at.startIndex().get(), at.stopIndex().get() + 1, aliased))
         if name == "UnresolvedWith":
-            self.local |= {r._1().lower() for r in _seq(node.cteRelations())}
-            for child in _seq(node.innerChildren()):
-                self._plan(child, True)
+            for definition in _seq(node.cteRelations()):
+                self._plan(definition._2(), visible, True, inner)
+                visible = visible | {definition._1().lower()}
         for child in _seq(node.children()):
-            self._plan(child, name == "SubqueryAlias")
+            self._plan(child, visible, name == "SubqueryAlias", inner)
         for e in _seq(node.expressions()):
-            self._expression(e)
+            self._expression(e, visible, inner)
 
-    def _expression(self, e) -> None:
+    def _expression(self, e, visible: frozenset[str], inner: list[str] | None) -> None:
         name = e.getClass().getSimpleName()
         if name == "UnresolvedFunction":
             self.functions.add(".".join(_seq(e.nameParts())).lower())
-        if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "InSubquery") and name != "InSubquery":
-            self._plan(e.plan(), False)
-        if name == "InSubquery":
-            self._plan(e.query().plan(), False)
+        elif name == "UnresolvedAttribute" and len(parts := _seq(e.nameParts())) == 1 and parts[0].lower() in BARE_FUNCTIONS:
+            self.functions.add(parts[0].lower())
+        elif name.startswith(("Current", "LocalT")):
+            self.functions.add(name.lower())
+        elif name == "EqualTo" and inner and len(inner) == 1:
+            self._same_column(e, inner[0])
+        if name in _SUBQUERIES:
+            self._plan(e.plan(), visible, False, _sources(e.plan()))
         for child in _seq(e.children()):
-            if child.getClass().getSimpleName() != "ListQuery":
-                self._expression(child)
+            self._expression(child, visible, inner)
+
+    def _same_column(self, e, source: str) -> None:
+        """Both sides are the inner relation's column: what was meant as a correlation is always true."""
+        sides = [_seq(x.nameParts()) for x in (e.left(), e.right()) if x.getClass().getSimpleName() == "UnresolvedAttribute"]
+        if len(sides) == 2 and sides[0][-1].lower() == sides[1][-1].lower() and all(len(x) == 1 or [source] == [p.lower() for p in x[:-1]] for x in sides):
+            self.alike.append(f"{'.'.join(sides[0])} = {'.'.join(sides[1])} compares a column of the inner {source} with itself: give it an alias")
+
+
+def _sources(plan) -> list[str]:
+    """What a query's FROM calls its relations."""
+    name = plan.getClass().getSimpleName()
+    if name == "SubqueryAlias":
+        return [plan.alias().lower()]
+    if name == "UnresolvedRelation":
+        return [_seq(plan.multipartIdentifier())[-1].lower()]
+    return [x for child in _seq(plan.children()) for x in _sources(child)]
 
 
 def check(spark: SparkSession, sql: str, tables: set[str]) -> _Parsed:
-    """Raises Refused unless Spark's parser finds one query whose relations are the given tables or names of its own WITH, and
-    whose functions are among FUNCTIONS. Nothing is resolved, so nothing outside the tables is looked at."""
+    """Raises Refused unless Spark's parser finds one query whose relations are the given tables or names of a WITH that are
+    visible where they stand, whose functions are among FUNCTIONS, and whose subqueries don't compare a column of their own
+    with itself. Nothing is resolved, so nothing outside the tables is looked at."""
     found = _Parsed(spark, sql)
     if bad := sorted(found.nodes - PLAN_NODES):
         raise Refused(f"Only SELECT statements allowed: {', '.join(bad)}")
-    known = {t.lower() for t in tables} | found.local
+    known = {t.lower() for t in tables}
     if bad := sorted(".".join(name) for name, *_ in found.relations if len(name) != 1 or name[0].lower() not in known):
         raise Refused(f"unknown tables: {', '.join(bad)}")
     if bad := sorted(found.functions - FUNCTIONS):
         raise Refused(f"unknown functions: {', '.join(bad)}")
+    if found.alike:
+        raise Refused(found.alike[0])
     return found
 
 
+def bound_text(found: _Parsed, sql: str) -> str:
+    """The statement with a parameter for each use of a table, as ``spark.sql`` takes frames."""
+    parts, done = [], 0
+    for name, start, stop, aliased in sorted(found.relations, key=lambda r: r[1]):
+        table = name[0].lower()
+        parts += [_literal(sql[done:start]), f"{{{table}}}" if aliased else f"{{{table}}} AS {table}"]
+        done = stop
+    return "".join(parts) + _literal(sql[done:])
+
+
 def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
     """Repairs, checks and runs a question's SQL over the given frames; the result is lazy. The frames are bound to this
     statement's relations alone, and no view of the session is made or seen."""
     fixed, _ = repair(sql.strip().rstrip(";"))
-    found = check(spark, fixed, set(tables))
-    frames, parts, done = {t.lower(): f for t, f in tables.items()}, [], 0
-    for name, start, stop, aliased in sorted(found.relations, key=lambda r: r[1]):
-        table = name[0].lower()
-        if table in found.local:
-            continue
-        parts += [_literal(fixed[done:start]), f"{{{table}}}" if aliased else f"{{{table}}} AS {table}"]
-        done = stop
-    return spark.sql("".join(parts) + _literal(fixed[done:]), **{t: f for t, f in frames.items()})
+    return spark.sql(bound_text(check(spark, fixed, set(tables)), fixed), **{t.lower(): f for t, f in tables.items()})
 
 
 def _literal(text: str) -> str:
