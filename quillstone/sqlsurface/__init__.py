@@ -67,11 +67,11 @@ def repair(sql: str) -> tuple[str, list[tuple[str, str]]]:
         return new
 
     def part(text: str) -> str:
-        if text.startswith("'"):
-            return f"'{note(text[1:-1], TICKERS.get(text[1:-1]))}'"
+        if len(text) > 1 and text[0] in "'\"" and text[0] == text[-1]:
+            return f"{text[0]}{note(text[1:-1], TICKERS.get(text[1:-1]))}{text[0]}"
         return re.sub(r"[A-Za-z_]\w*", lambda m: note(m[0], SYNONYMS.get(m[0].lower())), text)
 
-    return "".join(part(p) for p in re.split(r"('[^']*')", sql)), repairs
+    return "".join(part(p) for p in re.split(r"""('(?:[^']|'')*'|"(?:[^"]|"")*")""", sql)), repairs
 
 
 def _seq(items) -> list:
