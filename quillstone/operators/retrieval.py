@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.sizes import broadcast_if_small
+from quillstone.operators.sizes import broadcast_if_small, numbered
 from quillstone.sources.tables import save_table
 
 # Known tickers, and words of company names in the order in which they are tried.
@@ -76,8 +78,20 @@ def cosine(a: str, b: str) -> Column:
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
 
 
-def _block_top(ids: list[int], vectors: np.ndarray, k: int, decimals: int):
-    """The best k of each batch of a corpus for each of a block of queries."""
+def _block_top(ids: list[int], vectors: np.ndarray, k: int, decimals: int, wanted: list[tuple] | None):
+    """The best k of each batch of a corpus for each of a block of queries; ``wanted`` has each query's (ticker, form, year), and
+    queries that want the same look at the chunks that fit, and at these only."""
+    groups: dict[tuple, list[int]] = {}
+    for n, w in enumerate(wanted or [(None, None, None)] * len(ids)):
+        groups.setdefault(w, []).append(n)
+
+    def fitting(b: pa.RecordBatch, want: tuple) -> np.ndarray:
+        keep = np.ones(b.num_rows, bool)
+        for name, value in zip(("ticker", "filing_type", "date"), want):
+            if value is not None:
+                same = pc.match_substring(b.column(name), value) if name == "date" else pc.equal(b.column(name), value)
+                keep &= same.fill_null(False).to_numpy(zero_copy_only=False)
+        return keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -87,13 +101,15 @@ def _block_top(ids: list[int], vectors: np.ndarray, k: int, decimals: int):
             m = np.stack([vec[int(i)].values.to_numpy(zero_copy_only=False) for i in whole]) if len(whole) else np.zeros((0, q.shape[1]))
             norm = np.linalg.norm(m, axis=1)
             good = np.isfinite(norm) & (norm > 0)
-            m, mine = m[good] / norm[good, None], keys[whole[good]]
-            score = np.round(q @ m.T, decimals)
+            m, row = m[good] / norm[good, None], whole[good]
             # Scores tie, and ties go to the smaller id: the batch lies by id and a stable sort keeps that order.
-            by_id = np.argsort(mine, kind="stable")
-            best = np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]
-            at = by_id[best]
-            yield pa.record_batch({"query_id": np.repeat(np.array(ids, np.int64), at.shape[1]), "chunk_id": mine[at].ravel(), "score": np.take_along_axis(score, at, 1).ravel()})
+            by_id = np.argsort(keys[row], kind="stable")
+            m, row = m[by_id], row[by_id]
+            for want, asked in groups.items():
+                fit = np.flatnonzero(fitting(b, want)[row])
+                score = np.round(q[asked] @ m[fit].T, decimals)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                yield pa.record_batch({"query_id": np.repeat(np.array([ids[n] for n in asked], np.int64), best.shape[1]), "chunk_id": keys[row[fit]][best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
 
     return run
 
@@ -101,38 +117,33 @@ def _block_top(ids: list[int], vectors: np.ndarray, k: int, decimals: int):
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, decimals: int = 9, block: int = 1000) -> DataFrame:
     """Exact top k by cosine for each of a stated set of queries (query_id, qvec); corpus has (chunk_id, vec).
 
-    Queries go to the tasks in blocks of about ``block``, each a matrix that a task multiplies with its batches of the
-    corpus and cuts to k; only those rows are shuffled and ranked. Scores are rounded before ranking and ties go to the
-    smaller chunk_id. Null, zero and non-finite vectors, and those of another length, have no cosine and no row.
+    Queries go to the tasks in blocks of about ``block``, one after the other: a block's matrix is multiplied with each
+    batch of the corpus and cut to k within the task, and its ranks are written before the next block is read. Where
+    queries have a column ``filters`` (``question_filters``), the corpus has ticker, filing_type and date, and a query is
+    ranked among the chunks that fit its filters. Scores are rounded before ranking and ties go to the smaller chunk_id.
+    Null, zero and non-finite vectors, and those of another length, have no cosine and no row.
     """
-    blocks = -(-max(1, queries.count()) // block)
-    dealt = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    c = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
-    found = None
+    filtered = "filters" in queries.columns
+    wants = [F.col(f"filters.{n}").alias(n) for n in ("ticker", "filing_type", "year")] if filtered else []
+    asked = save_table(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec"), *wants), "dense-queries")
+    blocks, found = -(-max(1, asked.count()) // block), []
+    c = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("vec").cast("array<double>").alias("vec"), *(["ticker", "filing_type", "date"] if filtered else [])).where("vec is not null")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     for i in range(blocks):
-        rows = [r for r in dealt.where(F.col("block") == i).collect() if r.qvec and None not in r.qvec and 0 < np.linalg.norm(r.qvec) < np.inf]
-        for size in {len(r.qvec) for r in rows}:
-            mine = [r for r in rows if len(r.qvec) == size]
-            top = c.mapInArrow(_block_top([r.query_id for r in mine], np.array([r.qvec for r in mine]), k, decimals), "query_id long, chunk_id long, score double")
-            found = top if found is None else found.union(top)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # about a block
+        rows = [r for r in mine if r.qvec and None not in r.qvec and 0 < np.linalg.norm(r.qvec) < np.inf]
+        for size in sorted({len(r.qvec) for r in rows}):
+            some = [r for r in rows if len(r.qvec) == size]
+            wanted = [(r.ticker, r.filing_type, r.year) for r in some] if filtered else None
+            top = c.mapInArrow(_block_top([r.query_id for r in some], np.array([r.qvec for r in some]), k, decimals, wanted), "query_id long, chunk_id long, score double")
+            found.append(save_table(top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "dense-ranked"))
+    return reduce(DataFrame.union, found) if found else queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
 
 
 def search_multi_query(queries: DataFrame, corpus: DataFrame, n: int, decimals: int = 9) -> DataFrame:
     """(chunk_id, distance, rank): the first n chunks of each query by cosine distance, each chunk once with its least."""
     found = dense_top_k(queries, corpus, n, decimals).groupBy("chunk_id").agg(F.min(1 - F.col("score")).alias("distance"))
-    return found.withColumn("rank", F.row_number().over(Window.orderBy("distance", "chunk_id")))
-
-
-def dense_where(queries: DataFrame, corpus: DataFrame, k: int, fits: Column, decimals: int = 9) -> DataFrame:
-    """``dense_top_k`` among the pairs for which ``fits`` holds; only these get a cosine. The query side, whose columns
-    ``fits`` may name besides the corpus's, is broadcast behind a check of its size."""
-    scored = corpus.join(broadcast_if_small(queries), fits).withColumn("score", F.round(cosine("qvec", "vec"), decimals))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scored.where("score is not null").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+    return numbered(found, ["distance", "chunk_id"], "rank")
 
 
 def tokens(text: Column) -> Column:
@@ -247,17 +258,24 @@ def recall(queries: DataFrame, corpus: DataFrame, k: int = 40, filters: bool = T
     named = F.coalesce("filters.ticker", "filters.filing_type", "filters.year").isNotNull()
     fits = fits_filters(F.col("filters"), F.col("ticker"), F.col("filing_type"), F.col("date"))
     meta = ["ticker", "filing_type", "date"]
-    dense = dense_top_k(q.where(~named), corpus, k).union(dense_where(q.where(named).select("query_id", "qvec", "filters"), corpus.select("chunk_id", "vec", *meta), k, fits))
+    dense = dense_top_k(q.select("query_id", "qvec", "filters"), corpus.select("chunk_id", "vec", *meta), k)
     return dense, top_k(bm25_scores(q.where(named).select("query_id", "text", "filters"), corpus.select("chunk_id", "text", *meta), fits), k)
 
 
 def rerank(candidates: DataFrame, questions: DataFrame, corpus: DataFrame, scorer=lexical_relevance, cap: int = 50) -> DataFrame:
     """The first ``cap`` candidates of a question by rank with a relevance from 0 to 1: ``scorer`` takes the columns of question
     and text and may be a pandas UDF around a model. (query_id, chunk_id, text, rrf_score, relevance)."""
-    few = candidates.where(F.col("rank") <= cap).select("query_id", "chunk_id", "rrf_score")
+    few = save_table(candidates.where(F.col("rank") <= cap).select("query_id", "chunk_id", "rrf_score"), "rerank-candidates")
     asked = questions.select("query_id", F.col("text").alias("question"))
-    paired = few.join(asked, "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
-    scored = paired.withColumn("scored", scorer(F.col("question"), F.col("text")))
+    texts = corpus.select("chunk_id", "text").join(few.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    if scorer is lexical_relevance:  # each text is cut into terms once, however many questions it is a candidate of
+        texts = save_table(texts.withColumn("terms", F.array_distinct(tokens(F.col("text")))), "rerank-terms")
+        terms = F.array_distinct(tokens(F.col("question")))
+        paired = few.join(asked.withColumn("asked", terms).drop("question"), "query_id").join(texts, "chunk_id")
+        scored = paired.withColumn("scored", F.coalesce(F.try_divide(F.size(F.array_intersect("asked", "terms")), F.size("asked")), F.lit(0.0)))
+    else:
+        paired = few.join(asked, "query_id").join(texts, "chunk_id")
+        scored = paired.withColumn("scored", scorer(F.col("question"), F.col("text")))
     return scored.withColumn("relevance", min_max("scored", "query_id")).select("query_id", "chunk_id", "text", "rrf_score", "relevance")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.sizes import numbered
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key, null values too; of repeated keys in ``new`` the row
@@ -59,7 +61,7 @@ def upsert_canonical(old: DataFrame, new: DataFrame, order: list[str]) -> DataFr
 
 def ranked_canonical(stored: DataFrame) -> DataFrame:
     """Canonical metrics by falling share of companies (ties: metric), with their rank."""
-    return stored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ticker_pct"), "metric")))
+    return numbered(stored.withColumn("__less", -F.col("ticker_pct")), ["__less", "metric"], "rank").drop("__less")
 
 
 def chunk_filter(ticker: str | None = None, doc_type: str | None = None, filing_date_gte: str | None = None, section: str | None = None) -> Column:
