@@ -39,13 +39,17 @@ def map_category(category: Column) -> Column:
     return F.when(c.contains("type3"), "Type3").when(c.contains("type2") & ~c.contains("type1"), "Type2").otherwise("Type1")
 
 
-def percentiles(rows: DataFrame, group: str, value: str, points: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """Exact floor-index percentiles per group: the element at floor(n q) of the sorted values, nulls left out.
+def percentiles(rows: DataFrame, group: str, value: str, points: dict[str, float], accuracy: int = 10_000, most: float | None = None) -> DataFrame:
+    """Exact floor-index percentiles per group: the element at floor(n q) of the sorted values, nulls left out. With ``most``,
+    NaN, infinite values and those beyond it are left out too, as for perplexities (1e6).
 
     Approximate percentiles, whose error in rank is bounded, give a range of values that holds the element; below it values are
     only counted, and just those inside, a few ten-thousandths of a group, are counted one by one and put in order.
     """
     known = rows.where(F.col(value).isNotNull()).select(group, value)
+    if most is not None:
+        x = F.col(value).cast("double")
+        known = known.where(~F.isnan(x) & (x > float("-inf")) & (x <= most))
     margin = 3 / accuracy
     edge = lambda q: F.min(value) if q <= 0 else F.max(value) if q >= 1 else F.percentile_approx(value, q, accuracy)
     ranges = [F.struct(F.lit(n).alias("point"), F.lit(float(q)).alias("q"), F.col(f"lo{k}").alias("lo"), F.col(f"hi{k}").alias("hi")) for k, (n, q) in enumerate(points.items())]

@@ -249,12 +249,12 @@ def lexical_relevance(question: Column, text: Column) -> Column:
 def recall(queries: DataFrame, corpus: DataFrame, k: int = 40, filters: bool = True) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse lists for queries (query_id, text, qvec) over chunks (chunk_id, text, vec, ticker, filing_type, date).
 
-    Each question's filters limit both lists; a question that names none goes to dense retrieval alone. Without
+    Each question's filters (its column ``filters``, or else what its text names) limit both lists; a question that names none goes to dense retrieval alone. Without
     ``filters`` all questions go to both, unlimited.
     """
     if not filters:
-        return dense_top_k(queries, corpus, k), top_k(bm25_scores(queries.select("query_id", "text"), corpus.select("chunk_id", "text")), k)
-    q = save_table(queries.withColumn("filters", question_filters(F.col("text"))), "questions")
+        return dense_top_k(queries.select("query_id", "qvec"), corpus.select("chunk_id", "vec"), k), top_k(bm25_scores(queries.select("query_id", "text"), corpus.select("chunk_id", "text")), k)
+    q = save_table(queries if "filters" in queries.columns else queries.withColumn("filters", question_filters(F.col("text"))), "questions")
     named = F.coalesce("filters.ticker", "filters.filing_type", "filters.year").isNotNull()
     fits = fits_filters(F.col("filters"), F.col("ticker"), F.col("filing_type"), F.col("date"))
     meta = ["ticker", "filing_type", "date"]
@@ -286,6 +286,29 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top_n: int = 3, k: int = 40,
     return mmr_select(rerank(fused, queries, corpus, scorer, cap), top_n, cap=cap)
 
 
+def multi_candidates(queries: DataFrame, corpus: DataFrame, questions: DataFrame | None = None, k: int = 40, scorer=lexical_relevance, filters: bool = True, cap: int = 50) -> DataFrame:
+    """(question_id, chunk_id, text, rrf_score, relevance): what several queries of a question find, merged and scored.
+
+    ``queries`` has (question_id, query_id, text, qvec) with query_ids of their own. All of a question's queries share the
+    filters that its first one names (the smallest query_id). Their lists are fused each, every chunk keeps its best fused
+    score, and the first ``cap`` are scored against the question itself: its text in ``questions`` (question_id, text), or
+    that of its first query.
+    """
+    first = queries.groupBy("question_id").agg(F.min_by("text", "query_id").alias("first"))
+    named = queries.join(first, "question_id").withColumn("filters", question_filters(F.col("first")))
+    asked = save_table(named.select("question_id", "query_id", "text", "qvec", "filters", "first"), "multi-queries")
+    fused = reciprocal_rank_fusion(*recall(asked.select("query_id", "text", "qvec", "filters"), corpus, k, filters))
+    best = best_of_queries(fused.join(asked.select("query_id", "question_id"), "query_id"), cap=cap)
+    told = asked.groupBy("question_id").agg(F.first("first").alias("text")) if questions is None else questions.select("question_id", "text")
+    return rerank(best.withColumnRenamed("question_id", "query_id"), told.withColumnRenamed("question_id", "query_id"), corpus, scorer, cap).withColumnRenamed("query_id", "question_id")
+
+
+def retrieve_multi(queries: DataFrame, corpus: DataFrame, questions: DataFrame | None = None, top_n: int = 3, k: int = 40, scorer=lexical_relevance, filters: bool = True, cap: int = 50) -> DataFrame:
+    """``multi_candidates`` and diversity selection: (question_id, chunk_id, mmr_rank)."""
+    found = multi_candidates(queries, corpus, questions, k, scorer, filters, cap).withColumnRenamed("question_id", "query_id")
+    return mmr_select(found, top_n, cap=cap).withColumnRenamed("query_id", "question_id")
+
+
 def stage_counts(dense: DataFrame, sparse: DataFrame, cap: int = 50) -> DataFrame:
     """Per query: hits of each retriever, distinct candidates, and how many of them go to the reranker."""
     both = dense.select("query_id", "chunk_id", F.lit(1).alias("d")).unionByName(sparse.select("query_id", "chunk_id", F.lit(0).alias("d")))

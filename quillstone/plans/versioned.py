@@ -1,13 +1,14 @@
-"""Queries over stores that change in place and over the index that stays."""
+"""Queries over stores that change in place, over the index that stays, over several queries a question, and percentiles of what is sound."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstone.operators import evaluation, retrieval
 from quillstone.operators.lexical_index import LexicalIndex
 from quillstone.operators.versions import Versioned
 from quillstone.plans.domain import FACTS, PANEL, facts, frame
-from quillstone.plans.registry import _BM25, _chunks, _questions, query
+from quillstone.plans.registry import _BM25, _DENSE, _FUSED, _chunks, _questions, _vectors, query
 from quillstone.sources.tables import work_folder
 
 KEY = ["ticker", "period", "statement", "metric"]
@@ -55,3 +56,27 @@ def R4_R5_stored_index(spark, d):
     index.remove(some)
     index.add(some)
     return index.search(_questions(spark, d).select("query_id", "text"), 20).select("query_id", "chunk_id", "score", "rank")
+
+
+_TERMS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '([a-z0-9_]{{2,}})', 1))"
+
+
+@query(f"""WITH {_BM25}, {_DENSE}, {_FUSED.format(k=20)}, m AS (SELECT query_id // 2 AS question_id, chunk_id, max(rrf_score) AS rrf_score FROM f GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM m), a AS (SELECT query_id // 2 AS question_id, arg_min(text, query_id) AS text FROM q GROUP BY 1),
+x AS (SELECT o.question_id, o.chunk_id, o.rrf_score, coalesce(len(list_intersect({_TERMS.format('a.text')}, {_TERMS.format('d.text')})) / nullif(len({_TERMS.format('a.text')}), 0), 0) AS x FROM o JOIN a USING (question_id) JOIN documents d ON d.doc_id = o.chunk_id WHERE rank <= 25),
+z AS (SELECT *, min(x) OVER (PARTITION BY question_id) AS lo, max(x) OVER (PARTITION BY question_id) AS hi FROM x) SELECT question_id, chunk_id, round(rrf_score, 9) AS rrf_score, round(CASE WHEN hi = lo THEN 1 ELSE (x - lo) / (hi - lo) END, 9)::DOUBLE AS relevance FROM z""")
+def R13_multi_rerank(spark, d):
+    """Two queries a question, merged, and scored against the first of them."""
+    q = _questions(spark, d).withColumn("question_id", F.expr("query_id div 2"))
+    corpus = _chunks(spark, d).join(_vectors(spark, d), "chunk_id", "left").select("chunk_id", "text", "vec")
+    alone = _vectors(spark, d).join(_chunks(spark, d), "chunk_id", "left_anti").select("chunk_id", F.lit(None).cast("string").alias("text"), "vec")
+    found = retrieval.multi_candidates(q, corpus.union(alone), k=20, filters=False, cap=25)
+    return found.where("text is not null").select("question_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.round("relevance", 9).alias("relevance"))
+
+
+@query("""WITH e AS (SELECT event_type, CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE WHEN event_id % 13 = 0 THEN 'inf'::DOUBLE WHEN event_id % 17 = 0 THEN 1000001 ELSE value END AS v FROM events),
+s AS (SELECT event_type, list_sort(list(v)) AS l FROM e WHERE v IS NOT NULL AND isfinite(v) AND v <= 1e6 GROUP BY 1) SELECT event_type, l[least(CAST(floor(len(l) * 0.5) AS BIGINT), len(l) - 1) + 1] AS p50, l[least(CAST(floor(len(l) * 0.9) AS BIGINT), len(l) - 1) + 1] AS p90 FROM s""")
+def A13_sound_percentiles(spark, d):
+    bad = F.when(F.col("event_id") % 11 == 0, float("nan")).when(F.col("event_id") % 13 == 0, float("inf")).when(F.col("event_id") % 17 == 0, 1000001.0)
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_type", bad.otherwise(F.col("value")).alias("v"))
+    return evaluation.percentiles(rows, "event_type", "v", {"p50": 0.5, "p90": 0.9}, most=1e6)
