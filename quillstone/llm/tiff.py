@@ -168,7 +168,7 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("no TIFF header")
-    at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
+    at, seen, held = struct.unpack_from(order + "I", data, 4)[0], set(), 0
     while at:
         if at in seen or at + 2 > len(data) or len(seen) >= 65_536:
             raise TiffError("image directories are broken")
@@ -183,8 +183,11 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             if size > 4:
                 place = struct.unpack_from(order + "I", data, place)[0]
             if kind in TYPE_CODES and tag in KNOWN:
+                held += size
                 if place + size > len(data):
                     raise TiffError("field is cut off")
+                if held > len(data):
+                    raise TiffError("fields share bytes")
                 tags[tag] = struct.unpack_from(f"{order}{count}{TYPE_CODES[kind]}", data, place)
         yield order, tags
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
@@ -219,14 +222,30 @@ def _layout(tags: dict[int, tuple], size: int, max_bytes: int) -> dict:
     return {"w": w, "h": h, "samples": samples, "width": bits // 8, "code": code, "predictor": predictor, "tiled": tiled, "bw": bw, "bh": bh, "across": across, "down": down, "blocks": list(zip(offsets, sizes))}
 
 
-def read_pages(data: bytes, max_bytes: int = 1 << 28) -> Iterator[np.ndarray]:
-    """Pixels of each page as (height, width, samples), in the file's order. Whatever is wrong with the bytes raises
-    TiffError, and no page over ``max_bytes``, or over what its blocks can decode to, is ever held."""
+def _layouts(data: bytes, max_bytes: int, max_file_bytes: int) -> list[tuple[str, dict]]:
+    """Byte order and layout of each page, before anything is decoded. All pages together may take ``max_file_bytes``, and their
+    blocks no more than the file has: directories that share blocks could decode to any size."""
+    found, pixels, stored = [], 0, 0
     for order, tags in _directories(data):
         p = _layout(tags, len(data), max_bytes)
-        kind = np.uint8 if p["width"] == 1 else np.uint16
-        if sum(n for _, n in p["blocks"][: p["across"] * p["down"]]) * MOST_RATIO[p["code"]] + 64 * len(p["blocks"]) < p["w"] * p["h"] * p["samples"] * p["width"]:
+        size, held = p["w"] * p["h"] * p["samples"] * p["width"], sum(n for _, n in p["blocks"][: p["across"] * p["down"]])
+        if held * MOST_RATIO[p["code"]] + 64 * len(p["blocks"]) < size:
             raise TiffError("page is larger than its bytes can give")
+        pixels, stored = pixels + size, stored + held
+        if pixels > max_file_bytes:
+            raise TiffError("pages are too large together")
+        if stored > len(data):
+            raise TiffError("pages share blocks")
+        found.append((order, p))
+    return found
+
+
+def read_pages(data: bytes, max_bytes: int = 1 << 28, max_file_bytes: int = 1 << 30) -> Iterator[np.ndarray]:
+    """Pixels of each page as (height, width, samples), in the file's order. Whatever is wrong with the bytes raises
+    TiffError, and no page over ``max_bytes``, or over what its blocks can decode to, is ever held. A file whose pages take
+    over ``max_file_bytes`` together is refused before a page is decoded."""
+    for order, p in _layouts(data, max_bytes, max_file_bytes):
+        kind = np.uint8 if p["width"] == 1 else np.uint16
         page = np.zeros((p["h"], p["w"], p["samples"]), kind)
         for k in range(p["across"] * p["down"]):
             y, x = k // p["across"] * p["bh"], k % p["across"] * p["bw"]
@@ -335,12 +354,12 @@ def _histogram(page: np.ndarray) -> np.ndarray:
     return np.bincount(page.ravel() >> (0 if page.dtype == np.uint8 else 8), minlength=256).reshape(16, 16).sum(1)
 
 
-def _file_rows(key: int | None, size: int | None, media: bytes | None, max_bytes: int) -> list[tuple]:
+def _file_rows(key: int | None, size: int | None, media: bytes | None, max_bytes: int, max_file_bytes: int) -> list[tuple]:
     if media is None:
         return [(key, None, None, None, None, None, size, None, None, None, None, None, None, "null")]
     digest, rows, whole, tail, total, shares, sums = hashlib.sha256(media).hexdigest(), [], hashlib.sha256(), b"", 0, np.zeros(16, np.int64), 0
     try:
-        for n, page in enumerate(read_pages(media, max_bytes)):
+        for n, page in enumerate(read_pages(media, max_bytes, max_file_bytes)):
             flat = page.tobytes()
             whole.update(flat)
             tail, total, shares, sums = (tail + flat[-16:])[-16:], total + len(flat), shares + _histogram(page), sums + int(page.sum(dtype=np.int64))
@@ -356,23 +375,24 @@ _PAGE_NAMES = [c.split(" ")[0] for c in PAGES.split(", ")]
 _PAGE_TYPES = [pa.int64() if c.endswith("long") else pa.string() for c in PAGES.split(", ")]
 
 
-def _pages(max_bytes: int):
+def _pages(max_bytes: int, max_file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 columns = (b.slice(k, 256).column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))
-                rows = [r for each in zip(*columns) for r in _file_rows(*each, max_bytes)]
+                rows = [r for each in zip(*columns) for r in _file_rows(*each, max_bytes, max_file_bytes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PAGE_TYPES)] if rows else [pa.array([], t) for t in _PAGE_TYPES], _PAGE_NAMES)
 
     return released(run)
 
 
-def tiff_pages(media: DataFrame, max_bytes: int = 1 << 28) -> DataFrame:
+def tiff_pages(media: DataFrame, max_bytes: int = 1 << 28, max_file_bytes: int = 1 << 30) -> DataFrame:
     """One row per page of each file of (doc_id, n_bytes, media): the page's size and digest, and size, digests and feature
     of all samples of the file, pages one after another.
 
     The feature is the number and width of pages, a histogram of the samples' high four bits and their sum. Null media, bytes
-    that are no readable TIFF and files with a page over ``max_bytes`` give one row with ``error`` set and no page.
+    that are no readable TIFF, files with a page over ``max_bytes`` and files whose pages take over ``max_file_bytes`` together
+    or share blocks give one row with ``error`` set and no page.
     """
     small_batches(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_pages(max_bytes), PAGES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_pages(max_bytes, max_file_bytes), PAGES)

@@ -1,4 +1,5 @@
 import struct
+import time
 import tracemalloc
 from collections import Counter
 
@@ -59,3 +60,35 @@ def test_a_damaged_file_is_one_error_row_and_the_job_goes_on(spark):
     bad[len(bad) // 2 :] = b""
     rows = {r.doc_id: r for r in tiff.tiff_pages(spark.createDataFrame([(1, 5, bytearray(good)), (2, 5, bad)], "doc_id long, n_bytes long, media binary")).where("page = 0 or error is not null").collect()}
     assert rows[1].payload_bytes == 192 * 3000 and rows[2].error and rows[2].payload_bytes is None
+
+
+def chained(raw: bytes, n: int) -> bytes:
+    """The one-page file with n more directories that are copies of its own, and so share its strips."""
+    at = struct.unpack_from("<I", raw, 4)[0]
+    size = 2 + 12 * struct.unpack_from("<H", raw, at)[0]
+    first, out = len(raw) + len(raw) % 2, bytearray(raw + b"\0" * (len(raw) % 2))
+    struct.pack_into("<I", out, at + size, first)
+    for k in range(n):
+        out += raw[at : at + size] + struct.pack("<I", first + (k + 1) * (size + 4) if k + 1 < n else 0)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("n", [500, 65_536])
+def test_directories_that_share_a_strip_are_refused_at_once(n):
+    page = np.zeros((2000, 1920), np.uint8)
+    page[::7] = np.arange(1920) % 251
+    raw = chained(tiff.write_pages([(page, tiff.DEFLATE, 1, 0)], strip_bytes=1 << 23), n)
+    began = time.process_time()
+    with pytest.raises(tiff.TiffError, match="share|together|directories"):
+        next(tiff.read_pages(raw))
+    assert time.process_time() - began < 2
+    row = tiff._file_rows(1, 5, raw, 1 << 28, 1 << 30)
+    assert len(row) == 1 and row[0][-1] and row[0][1] is None
+
+
+def test_pages_of_a_file_are_bounded_together():
+    pages = [(np.full((100, 100), k, np.uint8), tiff.DEFLATE, 1, 0) for k in range(20)]
+    raw = tiff.write_pages(pages)
+    assert len(list(tiff.read_pages(raw, max_file_bytes=200_000))) == 20
+    with pytest.raises(tiff.TiffError, match="together"):
+        next(tiff.read_pages(raw, max_file_bytes=199_999))
