@@ -105,11 +105,35 @@ def parsed(html: Column) -> Column:
         read = [None if p is None else _Page(p) for p in pages]
         return pd.DataFrame({"nodes": [None if p is None else "\n".join(p.nodes) for p in read], "tables": [[] if p is None else _tables_of(p) for p in read]})
 
-    def shown(p: Column) -> Column:
-        short = F.regexp_replace(F.regexp_replace(p["nodes"], r"[ \t]+", " "), r"\n{3,}", "\n\n")
-        return F.struct(F.regexp_replace(short, r"(?U)^\s+|\s+$", "").alias("text"), p["tables"].alias("tables"))
+    return F.transform(F.array(parse(html)), lambda p: F.struct(*_shown(p)))[0]
 
-    return F.transform(F.array(parse(html)), shown)[0]
+
+def _shown(p: Column) -> list[Column]:
+    short = F.regexp_replace(F.regexp_replace(p["nodes"], r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return [F.regexp_replace(short, r"(?U)^\s+|\s+$", "").alias("text"), p["tables"].alias("tables")]
+
+
+def parsed_or_errors(html: Column) -> Column:
+    """``parsed`` with text_error and tables_error: what the parser, or the collection of tables, raised on a page. The page
+    then has no text and no tables, or no tables; other pages of the batch are as they would be alone."""
+
+    def of(page: str | None) -> tuple:
+        if page is None:
+            return None, [], None, None
+        try:
+            read = _Page(page)
+        except (AssertionError, ValueError, RecursionError) as e:
+            return None, [], f"{type(e).__name__}: {e}"[:200], None
+        try:
+            return "\n".join(read.nodes), _tables_of(read), None, None
+        except (AssertionError, ValueError, RecursionError) as e:
+            return "\n".join(read.nodes), [], None, f"{type(e).__name__}: {e}"[:200]
+
+    @F.pandas_udf("nodes string, tables array<array<array<string>>>, text_error string, tables_error string")
+    def parse(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(p) for p in pages], columns=["nodes", "tables", "text_error", "tables_error"])
+
+    return F.transform(F.array(parse(html)), lambda p: F.struct(*_shown(p), p["text_error"].alias("text_error"), p["tables_error"].alias("tables_error")))[0]
 
 
 def visible_text(html: Column) -> Column:

@@ -96,6 +96,18 @@ class Versioned:
         touched = [r["b"] for r in last.select(self.bucket().alias("b")).distinct().collect()]  # buckets x split at most
         return self.change(touched, lambda old: upsert(old, last, self.key, [])) if touched else self.version()
 
+    def add(self, new: DataFrame) -> int:
+        """Rows whose key isn't there yet; of repeated keys any one that their columns' hash decides. Stored rows stay."""
+        from quillstone.operators.store import latest_per_key
+
+        one = latest_per_key(new, self.key, [F.xxhash64(*new.columns)])
+        if not self.folders():
+            return self.replace(one)
+        touched = [r["b"] for r in one.select(self.bucket().alias("b")).distinct().collect()]  # buckets x split at most
+        if not touched or one.join(self.read(touched).select(*self.key), self.key, "left_anti").isEmpty():
+            return self.version()
+        return self.change(touched, lambda old: old.unionByName(one.join(old.select(*self.key), self.key, "left_anti"), allowMissingColumns=True))
+
     def delete(self, **values) -> tuple[int, int]:
         """Drops the rows with these values of ``by``; (version, how many)."""
         touched = [b for b in self.buckets_of(**values) if b in self.folders()]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.operators import evaluation, retrieval
+from quillstone.operators import evaluation, reingest, retrieval
 from quillstone.operators.lexical_index import LexicalIndex
 from quillstone.operators.versions import Versioned
 from quillstone.plans.domain import FACTS, PANEL, facts, frame
+from quillstone.plans.extraction import _filing_pages
 from quillstone.plans.registry import _BM25, _DENSE, _FUSED, _chunks, _questions, _vectors, query
-from quillstone.sources.tables import work_folder
+from quillstone.sources.tables import save_table, work_folder
 
 KEY = ["ticker", "period", "statement", "metric"]
 FA = f"({FACTS})"
@@ -80,3 +81,19 @@ def A13_sound_percentiles(spark, d):
     bad = F.when(F.col("event_id") % 11 == 0, float("nan")).when(F.col("event_id") % 13 == 0, float("inf")).when(F.col("event_id") % 17 == 0, 1000001.0)
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_type", bad.otherwise(F.col("value")).alias("v"))
     return evaluation.percentiles(rows, "event_type", "v", {"p50": 0.5, "p90": 0.9}, most=1e6)
+
+
+@query(f"""WITH p AS ({PANEL}) SELECT concat(ticker, '-', year) AS accession_number, CASE year WHEN 'FY1998' THEN 'read: no contents' WHEN 'FY1996' THEN 'facts: no period in the date soon' ELSE '' END AS errors,
+CASE WHEN year IN ('FY1996', 'FY1998') THEN 0 WHEN year = 'FY1995' THEN 1 ELSE 6 END AS sql_row_count, CASE WHEN year = 'FY1998' THEN 0 ELSE 1 END AS chunk_count, CASE WHEN year IN ('FY1996', 'FY1998') THEN 0 WHEN year = 'FY1995' THEN 1 ELSE 6 END::BIGINT AS stored_facts FROM p""")
+def U14_errors_by_stage(spark, d):
+    """Taken in twice: pages of FY1998 can't be read; those of FY1996 have no date, so no facts, and keep their chunks."""
+    pages = _filing_pages(spark, d)
+    date = F.when(F.col("period") == "FY1996", "soon").otherwise(F.concat(F.substring("period", 3, 4), F.lit("-12-31")))
+    number, page = F.concat("ticker", F.lit("-"), "period"), F.when(F.col("period") != "FY1998", F.col("html"))
+    made = save_table(pages.select("ticker", F.lit("10-K").alias("filing_type"), date.alias("date"), number.alias("accession_number"), F.concat(F.lit("/data/"), number).alias("source_path"), page.alias("html")), "pages")
+    stores = reingest.Stores.below(spark, work_folder(spark, "ingested"), buckets=8)
+    for _ in range(2):
+        reingest.ingest_into(made, stores)
+    kept = stores.facts.read().groupBy(F.concat("ticker", F.lit("-"), "period").alias("accession_number")).agg(F.count("*").alias("stored_facts"))
+    shown = F.array_join(F.transform("errors", lambda e: F.concat(e["stage"], F.lit(": "), e["error"])), "; ")
+    return stores.provenance.read().join(kept, "accession_number", "left").select("accession_number", shown.alias("errors"), "sql_row_count", "chunk_count", F.coalesce("stored_facts", F.lit(0)).cast("long").alias("stored_facts"))
