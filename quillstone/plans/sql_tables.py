@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstone.operators import templates
 from quillstone.plans.domain import PANEL, frame
 from quillstone.plans.registry import query
 from quillstone.sources.tables import save_table
@@ -85,3 +86,28 @@ SELECT ticker, year, shape::INTEGER AS shape, true AS expected_ok, shape <> 1 OR
 def N13_execution_match(spark, d):
     made = _made(spark, d, _PREDICTED, "predicted").join(_made(spark, d, _EXPECTED, "expected"), ["ticker", "year", "shape"])
     return statements.execution_match(made, _panel_tables(spark, d)).select("ticker", "year", "shape", "expected_ok", "expected_has_rows", "predicted_ok", "rows_match")
+
+
+_CALLED = {"total_revenue": "revenue", "net_income": "net income", "cash": "cash"}
+_CELLS = " UNION ALL ".join(f"SELECT ticker, year, '{c}' AS col, '{w}' AS words, {c}::DOUBLE AS value FROM p" for c, w in _CALLED.items())
+_MANY = {
+    "lookup": ("v", "'What was ' || ticker || '''s ' || words || ' in ' || year || '?'", "'SELECT ' || col || ' FROM panel WHERE ticker = ''' || ticker || ''' AND year = ''' || year || ''''"),
+    "trend": ("(SELECT DISTINCT ticker, col, words FROM v)", "'How has ' || ticker || '''s ' || words || ' changed over the years?'", "'SELECT year, ' || col || ' FROM panel WHERE ticker = ''' || ticker || ''' AND ' || col || ' IS NOT NULL ORDER BY year'"),
+    "span": ("(SELECT * FROM r WHERE first IS NOT NULL)", "'Show ' || ticker || '''s ' || words || ' from ' || first || ' to ' || year || '.'", "'SELECT year, ' || col || ' FROM panel WHERE ticker = ''' || ticker || ''' AND year BETWEEN ''' || first || ''' AND ''' || year || ''' ORDER BY year'"),
+    "change": ("(SELECT * FROM r WHERE before IS NOT NULL)", "'How did ' || ticker || '''s ' || words || ' change from ' || before || ' to ' || year || '?'", "'SELECT year, ' || col || ' FROM panel WHERE ticker = ''' || ticker || ''' AND year IN (''' || before || ''', ''' || year || ''') ORDER BY year'"),
+    "comparison": ("(SELECT * FROM r WHERE other IS NOT NULL)", "'Compare ' || ticker || '''s and ' || other || '''s ' || words || ' in ' || year || '.'", "'SELECT ticker, ' || col || ' FROM panel WHERE ticker IN (''' || ticker || ''', ''' || other || ''') AND year = ''' || year || ''''"),
+    "ranking": ("y", "'Which 5 companies had the highest ' || words || ' in ' || year || '?'", "'SELECT ticker, ' || col || ' FROM panel WHERE year = ''' || year || ''' AND ' || col || ' IS NOT NULL ORDER BY ' || col || ' DESC LIMIT 5'"),
+    "lowest": ("y", "'Which 5 companies had the lowest ' || words || ' in ' || year || '?'", "'SELECT ticker, ' || col || ' FROM panel WHERE year = ''' || year || ''' AND ' || col || ' IS NOT NULL ORDER BY ' || col || ' ASC LIMIT 5'"),
+    "filter": ("y", "'Which companies had ' || words || ' of at least ' || lim || ' in ' || year || '?'", "'SELECT ticker, ' || col || ' FROM panel WHERE year = ''' || year || ''' AND ' || col || ' >= ' || lim"),
+    "average": ("y", "'What was the average ' || words || ' of all companies in ' || year || '?'", "'SELECT avg(' || col || ') FROM panel WHERE year = ''' || year || ''' AND ' || col || ' IS NOT NULL'"),
+}
+
+
+@query(f"""WITH p AS ({PANEL}), v AS (SELECT * FROM ({_CELLS}) WHERE value IS NOT NULL),
+r AS (SELECT *, lag(year) OVER o AS before, lag(year, 2) OVER o AS first, lead(ticker) OVER (PARTITION BY year, col ORDER BY md5(concat_ws('|', 'pairs', col, year, ticker)), ticker) AS other FROM v WINDOW o AS (PARTITION BY ticker, col ORDER BY year)),
+y AS (SELECT year, col, words, floor(quantile_disc(value, 0.75))::BIGINT::VARCHAR AS lim FROM v GROUP BY ALL),
+a AS ({' UNION ALL '.join(f"SELECT '{k}' AS kind, col, {q} AS question, {x} AS sql FROM {t}" for k, (t, q, x) in _MANY.items())})
+SELECT kind, col AS "column", question, sql FROM a QUALIFY row_number() OVER (PARTITION BY kind, col ORDER BY md5(concat_ws('|', 'pairs', kind, question)), question) <= 40""")
+def N11_generated_pairs(spark, d):
+    """Nine kinds of questions over three columns; the limit of 40 a kind and column is the sample."""
+    return templates.generated_pairs(frame(spark, d, PANEL), _CALLED, 40)
