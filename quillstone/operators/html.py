@@ -113,9 +113,10 @@ def _shown(p: Column) -> list[Column]:
     return [F.regexp_replace(short, r"(?U)^\s+|\s+$", "").alias("text"), p["tables"].alias("tables")]
 
 
-def parsed_or_errors(html: Column) -> Column:
+def parsed_or_errors(html: Column, most_cells: int = 1_000_000) -> Column:
     """``parsed`` with text_error and tables_error: what the parser, or the collection of tables, raised on a page. The page
-    then has no text and no tables, or no tables; other pages of the batch are as they would be alone."""
+    then has no text and no tables, or no tables; other pages of the batch are as they would be alone. Tables of over
+    ``most_cells`` cells are an error: as an outer table has its inner ones' cells too, deep nesting could give any number."""
 
     def of(page: str | None) -> tuple:
         if page is None:
@@ -125,6 +126,8 @@ def parsed_or_errors(html: Column) -> Column:
         except (AssertionError, ValueError, RecursionError) as e:
             return None, [], f"{type(e).__name__}: {e}"[:200], None
         try:
+            if sum(len(row) for table in read.tables for row in table) > most_cells:
+                raise ValueError("too many cells in nested tables")
             return "\n".join(read.nodes), _tables_of(read), None, None
         except (AssertionError, ValueError, RecursionError) as e:
             return "\n".join(read.nodes), [], None, f"{type(e).__name__}: {e}"[:200]
