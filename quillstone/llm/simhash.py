@@ -388,14 +388,16 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     nodes = save(marked.groupBy("node").agg(F.min(order).alias("rep"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "similar-nodes")
     masks = part_masks(radius)
     ordered = lambda pairs: pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, links, joined = nodes.select("fp", "fp2", "node", F.col("node").alias("component")), None, None
+    left, links, sets = nodes.select("fp", "fp2", "node", F.col("node").alias("component")), None, None
     dealt = lambda by: left.mapInArrow(_dealt(masks), _DEALT).repartition("key").sortWithinPartitions("key", by)
     for _ in range(2):
         met = dealt("fp2").mapInArrow(_sampled(radius, radius2, most), "a long, b long, bits long, c long")
         some = F.slice(F.array_sort(F.transform(F.collect_set("c"), lambda c: F.struct(F.xxhash64("a", c).alias("h"), c.alias("c")))), 1, partners)
         chosen = save(met.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"), some.alias("some")), "similar-chosen")
         pairs = ordered(chosen.select("a", F.explode(F.concat(F.array("b"), F.transform("some", lambda x: x["c"]))).alias("b")))
-        true = _checked(d, nodes, save(pairs, "similar-pairs"), words, similarity)
+        # Candidates are mutual, so whoever a later step looks at has met one here: texts are fetched and cut once.
+        sets = _set_table(d, nodes, chosen.select(F.col("a").alias("node")), words) if sets is None else sets
+        true = _checked(sets, save(pairs, "similar-pairs"), similarity)
         links = true if links is None else links.union(true)
         joined = save(connected_components(links), "similar-components")
         # A text that meets no candidate of another component has no more links to find.
@@ -403,7 +405,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         left = save(left.select("fp", "fp2", "node", F.coalesce("component", "node").alias("component")), "similar-left")
     edges = save(dealt("fp2").mapInArrow(_spanning(radius, radius2), "a long, b long").distinct(), "similar-edges")
     blobs = save(connected_components(edges).withColumnRenamed("component", "blob"), "similar-blobs")
-    true = _compared(d, nodes, left.join(blobs, "node").select("node", "component", "blob"), words, similarity)
+    true = _compared(sets, left.join(blobs, "node").select("node", "component", "blob"), similarity)
     joined = save(connected_components(links.union(true)), "similar-components")
     placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("rep"))
@@ -418,20 +420,18 @@ def _set_table(d: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) ->
     return save(found.select("node", _sets("text", words).alias("s")).select("node", "s.*").dropDuplicates(["node"]), "similar-sets")
 
 
-def _checked(d: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes that have the similarity; only texts that are in a pair are cut into shingles."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _set_table(d, nodes, ends, words)
+def _checked(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes that have the similarity."""
     both = lambda p, c: p.join(sets.select(F.col("node").alias("a"), F.col(c).alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col(c).alias("y")), "b")
     screened = save(both(pairs, "minima").select("a", "b", "x", "y").mapInArrow(_agreeing(similarity), "a long, b long"), "similar-screened")
     common = F.size(F.array_intersect("x", "y"))
     return save(both(screened, "shingles").where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar-links")
 
 
-def _compared(d: DataFrame, nodes: DataFrame, blobs: DataFrame, words: int, similarity: float, texts: int = 512, shingles: int = 1_000_000) -> DataFrame:
+def _compared(sets: DataFrame, blobs: DataFrame, similarity: float, texts: int = 512, shingles: int = 1_000_000) -> DataFrame:
     """Links between the components within each blob of texts that candidates connect. A blob over ``texts`` texts or ``shingles``
     shingles is dealt out as pairs of slices, so that pairs are looked at within tasks of bounded size and never written."""
-    sets = _set_table(d, nodes, blobs.select("node"), words).join(blobs, "node")
+    sets = sets.join(blobs, "node")
     size = sets.groupBy("blob").agg(F.greatest(F.ceil(F.count("*") / texts), F.ceil(F.sum(F.size("shingles")) / shingles)).cast("int").alias("slices"))
     dealt = sets.join(size, "blob").withColumn("mine", F.pmod(F.xxhash64("node"), "slices").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     long = lambda c: c.cast("long")
@@ -448,11 +448,13 @@ def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     found = similar_documents(docs, words, similarity, id_col=id_col, text_col=text_col)
     first = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash"))
     rows = save(found.groupBy("doc_id", "text_hash").agg(F.first(first).alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "similar-rows")
+    # A table of its own, as its size tells whether texts must be shuffled to it.
+    firsts = save(rows.where("first").select("doc_id", "text_hash"), "similar-repeated")
     mine = docs.withColumn(spare(docs, "of"), F.col(id_col).cast("long")).withColumn(spare(docs, "hash"), F.xxhash64(F.col(text_col).cast("string")))
     of, hash_ = F.col(spare(docs, "of")), F.col(spare(docs, "hash"))
-    same = of.eqNullSafe(rows["doc_id"]) & (hash_ == rows["text_hash"])
-    single = mine.join(rows, same, "left_anti").select(*docs.columns)
-    repeated = mine.join(rows.where("first"), same, "left_semi")
+    same = lambda these: of.eqNullSafe(these["doc_id"]) & (hash_ == these["text_hash"])
+    single = mine.join(rows, same(rows), "left_anti").select(*docs.columns)
+    repeated = mine.join(firsts, same(firsts), "left_semi")
     every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     one = repeated.groupBy(of, hash_).agg(F.min_by(every, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")).select("row.*")
     return single.union(one)
