@@ -8,7 +8,8 @@ from quillstone.operators import evaluation as ev
 from quillstone.operators import html, retrieval, store, text
 from quillstone.plans.domain import CASES, FILINGS, PANEL, frame
 from quillstone.plans.registry import _NAMED, _TICKERS_OF, query
-from quillstone.sources import filings
+from quillstone.sources import filing_tree, filings
+from quillstone.sources.tables import work_folder
 
 P, FI, CA = (f"({x}) " for x in (PANEL, FILINGS, CASES))
 _ACC = "CAST(accession_number AS BIGINT)"
@@ -188,3 +189,23 @@ def A17_conditional_counters(spark, d):
 @query("SELECT conv_id, turn, CAST(concat('0x', substr(md5(CAST(conv_id AS STRING)), 1, 8)) AS BIGINT) < 3650722201 AS train FROM conversations")
 def N12_hash_split(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", store.hash_split(F.col("conv_id"), 0.85).alias("train"))
+
+
+# The first filing of each company and form, as a tree on disk.
+_TREE = f"""
+SELECT ticker, filing_type, min(date) AS date, CAST(count(*) AS STRING) AS accession_number, CASE WHEN count(*) % 4 = 3 THEN 'scan.pdf' WHEN count(*) % 4 = 2 THEN 'main.htm' ELSE 'exhibit.html' END AS file, CAST(count(*) AS BIGINT) AS length
+FROM {FI} f GROUP BY 1, 2
+"""
+
+
+@query(f"SELECT ticker, filing_type, date, accession_number, file, length FROM ({_TREE}) t WHERE filing_type IN ('10-K', '8-K') AND date >= '1993-01-01'")
+def S1_S3_filing_tree(spark, d):
+    """Written as a tree and read back by the data source; beside each primary file lies a smaller one or one of another type."""
+    first = frame(spark, d, _TREE)
+    names = ["ticker", "filing_type", "date", "accession_number"]
+    spare = F.struct(F.when(F.col("file") == "scan.pdf", "zz.pdf").otherwise("a.pdf").alias("file"), (F.col("length") + 1).alias("n"))
+    files = first.select(*names, F.inline(F.array(F.struct("file", F.col("length").alias("n")), spare))).withColumn("content", F.repeat(F.lit("x"), F.col("n").cast("int")))
+    root = work_folder(spark, "filing-tree")
+    filing_tree.write_tree(files, root)
+    found = filing_tree.read_tree(spark, root).where("filing_type in ('10-K', '8-K') and date >= '1993-01-01'")
+    return found.select(*names, F.element_at(F.split("source_path", "/"), -1).alias("file"), "length")
