@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import evaluation, reingest, retrieval
 from quillstone.operators.lexical_index import LexicalIndex
+from quillstone.operators.vector_index import VectorIndex
 from quillstone.operators.versions import Versioned
 from quillstone.plans.domain import FACTS, PANEL, facts, frame
 from quillstone.plans.extraction import _filing_pages
-from quillstone.plans.registry import _BM25, _DENSE, _FUSED, _chunks, _questions, _vectors, query
+from quillstone.plans.registry import _BM25, _COS, _DENSE, _FUSED, _VEC, _chunks, _questions, _vectors, query
 from quillstone.sources.tables import save_table, work_folder
 
 KEY = ["ticker", "period", "statement", "metric"]
@@ -97,3 +98,14 @@ def U14_errors_by_stage(spark, d):
     kept = stores.facts.read().groupBy(F.concat("ticker", F.lit("-"), "period").alias("accession_number")).agg(F.count("*").alias("stored_facts"))
     shown = F.array_join(F.transform("errors", lambda e: F.concat(e["stage"], F.lit(": "), e["error"])), "; ")
     return stores.provenance.read().join(kept, "accession_number", "left").select("accession_number", shown.alias("errors"), "sql_row_count", "chunk_count", F.coalesce("stored_facts", F.lit(0)).cast("long").alias("stored_facts"))
+
+
+@query(f"WITH e AS ({_VEC}), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round({_COS}, 6) AS score FROM e q, e c WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
+def R3_U11_vector_index(spark, d):
+    """Built from two thirds of the vectors; the others are added."""
+    vectors = _vectors(spark, d)
+    index = VectorIndex(spark, work_folder(spark, "vector-index"))
+    index.build(vectors.where("chunk_id % 3 <> 0"))
+    index.add(vectors.where("chunk_id % 3 = 0"))
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
+    return index.search(asked, 20, decimals=6)
