@@ -7,6 +7,9 @@ column) the pairs with the smallest hashes of their questions are taken: the sam
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +65,66 @@ def generated_pairs(panel: DataFrame, columns: dict[str, str], per_stratum: int,
         all_ = all_.union(more)
     place = F.row_number().over(Window.partitionBy("kind", "column").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "kind", "question")), "question"))
     return all_.withColumn("__n", place).where(F.col("__n") <= per_stratum).drop("__n")
+
+
+@dataclass(frozen=True)
+class Asked:
+    """A kind of question about one row of a panel, whose named columns are all filled; ``question`` has {ticker} and {year}.
+    With ``best`` it has {year} alone and asks for the ``best`` rows of a year with the highest values of the first column."""
+
+    kind: str
+    columns: tuple[str, ...]
+    question: str
+    best: int = 0
+
+    def sql(self) -> str:
+        first = self.columns[0]
+        if self.best:
+            return f"SELECT ticker, {first} FROM panel WHERE year = '{{year}}' AND {first} IS NOT NULL ORDER BY {first} DESC LIMIT {self.best}"
+        return f"SELECT {', '.join(self.columns)} FROM panel WHERE ticker = '{{ticker}}' AND year = '{{year}}'"
+
+
+def _quoted(c: str) -> Column:
+    return F.replace(F.col(c), F.lit("'"), F.lit("''"))
+
+
+def _smallest(pairs: DataFrame, per_stratum: int, seed: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("kind", "column").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "kind", "question")), "question", "sql"))
+    return pairs.distinct().withColumn("__n", place).where(F.col("__n") <= per_stratum).drop("__n")
+
+
+def _pairs(rows: DataFrame, kinds: list[tuple[str, Column, str, str, Column]]) -> DataFrame:
+    """All pairs of (kind, stratum, question, sql, condition) in one pass: each row gives those whose condition holds."""
+    names = [c for c in rows.columns]
+    made = []
+    for kind, column, question, sql, holds in kinds:
+        texts = (_text(t, **{c: f(c) for c in names if f"{{{c}}}" in t}) for t, f in ((question, F.col), (sql, _quoted)))
+        made.append(F.when(holds, F.struct(F.lit(kind).alias("kind"), column.alias("column"), *(x.alias(n) for n, x in zip(("question", "sql"), texts)))))
+    return rows.select(F.inline(F.filter(F.array(*made), lambda p: p.isNotNull())))
+
+
+def asked_pairs(panel: DataFrame, asked: list[Asked], per_stratum: int, seed: str = "pairs") -> DataFrame:
+    """(kind, column, question, sql): pairs of stated kinds, as ratios, earnings a share, research and development, what went to
+    shareholders, two columns at once or the best in class. At most ``per_stratum`` a kind and columns, those with the smallest
+    hashes; quotes in tickers are doubled in SQL. Rows without ticker or year and those that lack a column give none."""
+    rows = panel.where("ticker is not null and year is not null")
+    filled = lambda a: reduce(Column.__and__, (F.col(f"__v.{c}").isNotNull() for c in a.columns))
+    kinds = [(a.kind, F.lit("+".join(a.columns)), a.question, a.sql(), filled(a)) for a in asked]
+    used = sorted({c for a in asked for c in a.columns})
+    return _smallest(_pairs(rows.select("ticker", "year", F.struct(*used).alias("__v")), kinds), per_stratum, seed)
+
+
+def filing_pairs(filings: DataFrame, per_stratum: int, seed: str = "pairs") -> DataFrame:
+    """(kind, column, question, sql) about (ticker, company, filing_type, date): the last filing of a form, how many there are,
+    the filings of a year, those after a year, and a ticker's company. Each has an answer. ``column`` is the form, or 'any'."""
+    rows = filings.where("ticker is not null and filing_type is not null and date is not null").select("ticker", "company", F.col("filing_type").alias("form"), F.substring("date", 1, 4).alias("year"))
+    rows = rows.withColumn("earlier", (F.col("year").try_cast("int") - 1).cast("string")).distinct()
+    where, form, any_ = "FROM filing_metadata WHERE ticker = '{ticker}'", F.col("form"), F.lit("any")
+    of_form = f"{where} AND filing_type = '{{form}}'"
+    return _smallest(_pairs(rows, [
+        ("last filing", form, "When did {ticker} file its most recent {form}?", f"SELECT date {of_form} ORDER BY date DESC LIMIT 1", F.lit(True)),
+        ("filing count", form, "How many {form} filings does {ticker} have?", f"SELECT count(*) {of_form}", F.lit(True)),
+        ("filings of a year", any_, "List {ticker}'s filings from {year}.", f"SELECT filing_type, date {where} AND date LIKE '{{year}}%' ORDER BY date", F.lit(True)),
+        ("filings since", form, "List all {form} filings of {ticker} after {earlier}.", f"SELECT date {of_form} AND date > '{{earlier}}-12-31' ORDER BY date DESC", F.col("earlier").isNotNull()),
+        ("company", any_, "What company does the ticker {ticker} stand for?", f"SELECT company {where} LIMIT 1", F.col("company").isNotNull()),
+    ]), per_stratum, seed)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillstone.operators import templates
-from quillstone.plans.domain import PANEL, frame
+from quillstone.plans.domain import FILINGS, PANEL, frame
 from quillstone.plans.registry import query
 from quillstone.sources.tables import save_table
 from quillstone.sqlsurface import statements
@@ -111,3 +113,43 @@ SELECT kind, col AS "column", question, sql FROM a QUALIFY row_number() OVER (PA
 def N11_generated_pairs(spark, d):
     """Nine kinds of questions over three columns; the limit of 40 a kind and column is the sample."""
     return templates.generated_pairs(frame(spark, d, PANEL), _CALLED, 40)
+
+
+_ASKED = [
+    templates.Asked("ratio", ("roa",), "What is {ticker}'s return on assets for {year}?"),
+    templates.Asked("ratio", ("current_ratio",), "What is {ticker}'s current ratio for {year}?"),
+    templates.Asked("two columns", ("net_income", "total_liabilities"), "What are {ticker}'s net income and total liabilities in {year}?"),
+    templates.Asked("best in class", ("net_margin",), "Which 3 companies had the best net margin in {year}?", best=3),
+]
+
+
+def _in_duckdb(text: str) -> str:
+    """An expression for a template whose parts are columns."""
+    parts = [f"'{p.replace("'", "''")}'" if k % 2 == 0 else p for k, p in enumerate(re.split(r"\{(\w+)\}", text))]
+    return " || ".join(p for p in parts if p != "''")
+
+
+_SMALLEST = "SELECT kind, col AS \"column\", question, sql FROM (SELECT DISTINCT * FROM a) QUALIFY row_number() OVER (PARTITION BY kind, col ORDER BY md5(concat_ws('|', 'pairs', kind, question)), question, sql) <= 40"
+
+
+@query(f"""WITH p AS ({PANEL}), a AS ({' UNION ALL '.join(f"SELECT '{a.kind}' AS kind, '{'+'.join(a.columns)}' AS col, {_in_duckdb(a.question)} AS question, {_in_duckdb(a.sql())} AS sql FROM p WHERE {' AND '.join(f'{c} IS NOT NULL' for c in a.columns)}" for a in _ASKED)}) {_SMALLEST}""")
+def N11_asked_pairs(spark, d):
+    """Ratios, two columns at once and the best in class; the limit of 40 a kind and columns is the sample."""
+    return templates.asked_pairs(frame(spark, d, PANEL), _ASKED, 40)
+
+
+_OF = "FROM filing_metadata WHERE ticker = '{ticker}'"
+_FILED = {
+    ("last filing", "filing_type"): ("When did {ticker} file its most recent {filing_type}?", f"SELECT date {_OF} AND filing_type = '{{filing_type}}' ORDER BY date DESC LIMIT 1"),
+    ("filing count", "filing_type"): ("How many {filing_type} filings does {ticker} have?", f"SELECT count(*) {_OF} AND filing_type = '{{filing_type}}'"),
+    ("filings of a year", "'any'"): ("List {ticker}'s filings from {year}.", f"SELECT filing_type, date {_OF} AND date LIKE '{{year}}%' ORDER BY date"),
+    ("filings since", "filing_type"): ("List all {filing_type} filings of {ticker} after {earlier}.", f"SELECT date {_OF} AND filing_type = '{{filing_type}}' AND date > '{{earlier}}-12-31' ORDER BY date DESC"),
+    ("company", "'any'"): ("What company does the ticker {ticker} stand for?", f"SELECT company {_OF} LIMIT 1"),
+}
+
+
+@query(f"""WITH f AS (SELECT *, date[1:4] AS year, (date[1:4]::INTEGER - 1)::VARCHAR AS earlier FROM ({FILINGS})), a AS ({' UNION ALL '.join(f"SELECT '{k}' AS kind, {c} AS col, {_in_duckdb(q)} AS question, {_in_duckdb(x)} AS sql FROM f" for (k, c), (q, x) in _FILED.items())}) {_SMALLEST}""")
+def N11_filing_pairs(spark, d):
+    """Five kinds of questions about filings; the limit of 40 a kind and form is the sample."""
+    filed = frame(spark, d, FILINGS).withColumn("company", F.concat("ticker", F.lit(" Inc")))
+    return templates.filing_pairs(filed, 40)
