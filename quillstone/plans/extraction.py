@@ -54,7 +54,10 @@ def S9_padded_cik(spark, d):
 
 
 # HTML, sections, facts.
-@query(None)
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(html, '(?is)<(head|script|style)\b.*?</(head|script|style)>|<!--.*?-->|<!doctype[^>]*>', '<>', 'g') AS h FROM pages),
+n AS (SELECT page_id, array_to_string(list_filter(string_split_regex(h, '<[^>]*>'), lambda x: x <> ''), chr(10)) AS t FROM s),
+e AS (SELECT page_id, regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM n)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM e""")
 def T1_visible_text(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", html.visible_text(F.col("html")).alias("text"))
 
