@@ -26,7 +26,7 @@ def query(sql: str | None):
 
 
 def _load_others() -> None:
-    from quillstone.plans import extraction, scoring, sql_tables, stores, versioned  # noqa: F401  register their queries
+    from quillstone.plans import extraction, prompts, scoring, sql_tables, stores, versioned  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
