@@ -115,7 +115,7 @@ def N11_generated_pairs(spark, d):
     return templates.generated_pairs(frame(spark, d, PANEL), _CALLED, 40)
 
 
-_ASKED = [
+_KINDS = [
     templates.Asked("ratio", ("roa",), "What is {ticker}'s return on assets for {year}?"),
     templates.Asked("ratio", ("current_ratio",), "What is {ticker}'s current ratio for {year}?"),
     templates.Asked("two columns", ("net_income", "total_liabilities"), "What are {ticker}'s net income and total liabilities in {year}?"),
@@ -132,10 +132,10 @@ def _in_duckdb(text: str) -> str:
 _SMALLEST = "SELECT kind, col AS \"column\", question, sql FROM (SELECT DISTINCT * FROM a) QUALIFY row_number() OVER (PARTITION BY kind, col ORDER BY md5(concat_ws('|', 'pairs', kind, question)), question, sql) <= 40"
 
 
-@query(f"""WITH p AS ({PANEL}), a AS ({' UNION ALL '.join(f"SELECT '{a.kind}' AS kind, '{'+'.join(a.columns)}' AS col, {_in_duckdb(a.question)} AS question, {_in_duckdb(a.sql())} AS sql FROM p WHERE {' AND '.join(f'{c} IS NOT NULL' for c in a.columns)}" for a in _ASKED)}) {_SMALLEST}""")
+@query(f"""WITH p AS ({PANEL}), a AS ({' UNION ALL '.join(f"SELECT '{a.kind}' AS kind, '{'+'.join(a.columns)}' AS col, {_in_duckdb(a.question)} AS question, {_in_duckdb(a.sql())} AS sql FROM p WHERE {' AND '.join(f'{c} IS NOT NULL' for c in a.columns)}" for a in _KINDS)}) {_SMALLEST}""")
 def N11_asked_pairs(spark, d):
     """Ratios, two columns at once and the best in class; the limit of 40 a kind and columns is the sample."""
-    return templates.asked_pairs(frame(spark, d, PANEL), _ASKED, 40)
+    return templates.asked_pairs(frame(spark, d, PANEL), _KINDS, 40)
 
 
 _OF = "FROM filing_metadata WHERE ticker = '{ticker}'"
