@@ -134,3 +134,9 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"i": 1, "t": "x"}, {"i": 2}]')
     assert sorted(map(tuple, tables.read_json_arrays(spark, f"{tmp_path}/a.json", "i int, t string").collect())) == [(1, "x"), (2, None)]
     assert [tuple(r) for r in tables.describe(df).orderBy("position").collect()] == [(0, "i", "int", 4), (1, "t", "string", 3)]
+
+
+def test_json_arrays_of_many_parts_lose_no_row(spark, tmp_path):
+    tables.write_json_arrays(spark.range(1000).withColumn("t", F.concat(F.lit("é\n"), "id")), f"{tmp_path}/many", rows=25)
+    back = tables.read_json_arrays(spark, f"{tmp_path}/many", "id long, t string")
+    assert sorted(map(tuple, back.collect())) == [(k, f"é\n{k}") for k in range(1000)]
