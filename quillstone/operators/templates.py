@@ -41,7 +41,10 @@ def generated_pairs(panel: DataFrame, columns: dict[str, str], per_stratum: int,
     order = F.md5(F.concat_ws("|", F.lit(seed), "column", "year", "ticker"))
     mixed = Window.partitionBy("year", "column").orderBy(order, "ticker")
     rows = v.withColumn("before", F.lag("year").over(own)).withColumn("first", F.lag("year", 2).over(own)).withColumn("other", F.lead("ticker").over(mixed))
-    years = v.groupBy("year", "column", "words").agg(F.floor(F.percentile_approx("value", share, 10_000)).cast("long").cast("string").alias("limit"))
+    # The exact quantile: the value at its place in its year and column, whose rows are sorted on disk where they don't fit.
+    sized = Window.partitionBy("year", "column", "words")
+    placed = v.withColumn("__n", F.row_number().over(sized.orderBy("value"))).join(v.groupBy("year", "column").agg(F.greatest(F.lit(1), F.ceil(share * F.count("*"))).alias("__at")), ["year", "column"])
+    years = placed.where("__n = __at").select("year", "column", "words", F.floor("value").cast("long").cast("string").alias("limit"))
     lines = v.select("ticker", "column", "words").distinct()
 
     def made(df: DataFrame, kind: str, question: str, sql: str) -> DataFrame:

@@ -51,3 +51,9 @@ def test_filing_pairs_have_answers(spark):
     assert counts == {("last filing", "10-K"): 1, ("last filing", "8-K"): 1, ("filing count", "10-K"): 1, ("filing count", "8-K"): 1, ("filings of a year", "any"): 4, ("filings since", "10-K"): 2, ("filings since", "8-K"): 1, ("company", "any"): 1}
     assert all(r.n_rows > 0 for r in statements.statement_results(pairs, {"filing_metadata": f}).collect())
     assert templates.filing_pairs(f.limit(0), 3).count() == 0
+
+
+def test_threshold_is_the_exact_quantile_of_many_values(spark):
+    many = spark.range(60_001).select(F.concat(F.lit("T"), "id").alias("ticker"), F.lit("FY2020").alias("year"), (F.col("id") * 7 % 60_001).cast("double").alias("total_revenue"))
+    got = templates.generated_pairs(many, {"total_revenue": "revenue"}, 3).where("kind = 'filter'").collect()
+    assert [r.question for r in got] == ["Which companies had revenue of at least 45000 in FY2020?"]
