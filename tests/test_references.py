@@ -37,3 +37,12 @@ def test_batches_and_spot_checks(spark):
     panel = spark.createDataFrame([("A", "FY1", 1234567.6, None, 1), ("A", "FY2", 1.0, 2.0, 1), ("B", "FY1", 0.5, -2e6, 1)], "ticker string, year string, x double, y double, z int")
     wanted = spark.createDataFrame([("A", "FY1"), ("A", "FY1"), ("B", "FY1"), ("C", "FY1")], "ticker string, year string")
     assert sorted(map(tuple, references.spot_checks(panel, wanted).collect())) == [("A", "FY1", "x", "1,234,568"), ("A", "FY1", "y", "NULL"), ("B", "FY1", "x", "0.5000"), ("B", "FY1", "y", "-2,000,000")]
+
+
+def test_amounts_round_the_double_itself(spark):
+    # 18.755 and 2.675 lie below the half as doubles; 12.5/100 and 0.00005 are taken as they are stored.
+    wanted = {0.18755: f"{0.18755 * 100:.2f}%", 2.675: "$2.67", 1.0625e9: "$1.062B", 1.25e6: "$1.2M"}
+    rows = spark.createDataFrame([(k, v) for k, v in wanted.items()], "v double, w string").select("v", "w", references.shown_amount(F.col("v")).alias("s")).collect()
+    assert [(r.v, r.s) for r in rows if r.s != r.w] == []
+    panel = spark.createDataFrame([("A", "FY1", 0.03125, 1.00005)], "ticker string, year string, x double, y double")
+    assert sorted(r.shown for r in references.spot_checks(panel, panel).collect()) == ["0.0312", f"{1.00005:.4f}"]
