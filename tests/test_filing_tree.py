@@ -73,3 +73,17 @@ def test_edges(spark, tmp_path):
     bad = spark.createDataFrame([("..", "10-K", "2020-01-02", "1", "m.htm", b"x")], "ticker string, filing_type string, date string, accession_number string, file string, content binary")
     with pytest.raises(Exception, match="no name of a folder"):
         filing_tree.write_tree(bad, str(tmp_path))
+
+
+def test_a_few_filings_lie_on_disk_at_a_time(spark, tmp_path, monkeypatch):
+    kept, real = [], filing_tree.read_tree
+
+    def read(spark, root, **options):
+        kept.append(len([p for p in tmp_path.glob("t/tree-*/*/*/*") if p.is_dir()]))
+        return real(spark, root, **options)
+
+    monkeypatch.setattr(filing_tree, "read_tree", read)
+    rows = spark.range(200).selectExpr("concat('T', id % 40) as ticker", "if(id % 2 = 0, '10-K', '8-K') as filing_type", "concat('20', 10 + id % 7, '-01-01') as date", "string(id) as accession_number", "'a.htm' as file", "encode('x', 'UTF-8') as content")
+    found = filing_tree.through_trees(rows, f"{tmp_path}/t", "filing_type = '10-K'", filings=50)
+    assert sorted(int(r.accession_number) for r in found.collect()) == list(range(0, 200, 2))
+    assert len(kept) == 4 and sum(kept) == 200 and max(kept) < 120 and not list(tmp_path.glob("t/tree-*"))
