@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.retrieval import QUERY_TERMS, tokens
+from quillstone.operators.retrieval import QUERY_TERMS, dealt_by_parts, term_counts, tokens
 from quillstone.operators.sizes import broadcast_if_small
 from quillstone.operators.versions import Versioned
 from quillstone.sources.tables import save_table
@@ -38,7 +38,7 @@ class LexicalIndex:
         more = [c for c in chunks.columns if c not in ("chunk_id", "text")]
         one = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.min_by(F.struct("text", *more), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(F.lit(0), *more))).alias("c")).select("chunk_id", "c.*")
         cut = save_table(one.withColumn("terms", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).drop("text"), "index-terms")
-        rows = cut.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"))
+        rows = cut.where(F.size("terms") > 0).select("chunk_id", F.inline(term_counts(F.col("terms"))))
         placed = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.n_buckets)).cast("int"))
         # A frequent term's postings go to several files of its bucket.
         dealt = placed.repartition(self.n_buckets, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "chunk_id")
@@ -91,8 +91,9 @@ class LexicalIndex:
         live = save_table(hits.join(chunks, ["chunk_id", "segment"]).drop("segment", "bucket"), "index-hits")
         whole = chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-        weighed = terms.join(live.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(whole)).select("query_id", *more, "term", "avgdl", idf)
-        pairs = live.repartition("chunk_id").join(broadcast_if_small(weighed, QUERY_TERMS), "term")
+        weighed = terms.join(live.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(whole)).select("query_id", *more, "term", "df", "avgdl", idf)
+        weighed = save_table(weighed, "index-weighed")
+        pairs = dealt_by_parts(live, weighed).join(broadcast_if_small(weighed.drop("df"), QUERY_TERMS), "term")
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         pairs = (pairs if fits is None else pairs.where(fits)).withColumn("part", F.floor(part * 1e9 + 0.5))
         scores = pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part") / 1e9, 6).alias("score")).where("score > 0")
