@@ -243,10 +243,13 @@ def _agreeing(similarity: float):
     return run
 
 
-_DEALT = "key long, fp long, fp2 long, node long, component long"
+def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """Rows of longs with ``fp``, each once a table, and a key in front, sorted by key and ``fp2`` within tasks."""
+    schema = ", ".join(f"{c} long" for c in ["key", *rows.columns])
+    return rows.mapInArrow(_by_tables(masks), schema).repartition("key").sortWithinPartitions("key", "fp2")
 
 
-def _dealt(masks: list[int]):
+def _by_tables(masks: list[int]):
     """Each row once a table. The key is the table in its highest byte and below it a hash of the bits that the table's mask
     keeps; that two buckets may share a key costs comparisons only."""
 
@@ -256,7 +259,7 @@ def _dealt(masks: list[int]):
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 key = t | _mixed(part.column("fp").to_numpy().view(np.uint64)[None, :] & m) >> np.uint64(8)
-                yield pa.record_batch({"key": key.ravel().view(np.int64)} | {c: np.tile(part.column(c).to_numpy(), len(masks)) for c in ("fp", "fp2", "node", "component")})
+                yield pa.record_batch({"key": key.ravel().view(np.int64)} | {c: np.tile(part.column(c).to_numpy(), len(masks)) for c in part.schema.names})
 
     return released(run)
 
@@ -271,8 +274,8 @@ def _buckets(batches: Iterator[pa.RecordBatch], few: int = 400_000) -> Iterator[
         return [*rows, np.repeat(first + length, length)]
 
     for b in batches:
-        rows = [b.column(c).to_numpy() for c in ("key", "fp", "fp2", "node", "component")]
-        held.append([c.view(np.uint64) if k in (1, 2) else c for k, c in enumerate(rows)])
+        rows = [b.column(c).to_numpy() for c in b.schema.names]
+        held.append([c.view(np.uint64) if n in ("fp", "fp2") else c for n, c in zip(b.schema.names, rows)])
         size += len(rows[0])
         if size >= few:
             rows = [np.concatenate(c) for c in zip(*held)]
@@ -313,11 +316,17 @@ def _sampled(radius: int, radius2: int, most: int = 256):
 
 
 def _spanning(radius: int, radius2: int):
-    """Edges (a, b) that connect any two rows of different components of a bucket that are within both radii: one a row at most."""
+    """Edges (a, b) between the blobs of a bucket, rows of one blob being connected already: they connect any two rows of different
+    components that are within both radii, and a bucket has fewer than it has blobs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, fp, fp2, node, component, stop in _buckets(batches):
-            i, label, d = np.arange(len(fp)), np.arange(len(fp)), 1
+        for _, fp, fp2, node, component, *blobs, stop in _buckets(batches):
+            blob = blobs[0] if blobs else node  # without that column each row is one of its own
+            order = np.lexsort((blob, stop))  # stable: the first row of each blob and bucket leads
+            leads = np.concatenate([[True], (np.diff(blob[order]) != 0) | (np.diff(stop[order]) != 0)])
+            first = np.empty(len(fp), np.int64)
+            first[order] = order[leads][np.cumsum(leads) - 1]
+            i, label, d = np.arange(len(fp)), first.copy(), 1
             while len(i := i[i + d < stop[i]]):
                 j = i + d
                 near = (label[i] != label[j]) & (component[i] != component[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(fp2[i] ^ fp2[j]) <= radius2)
@@ -330,8 +339,8 @@ def _spanning(radius: int, radius2: int):
                     apart = label[x] != label[y]
                     x, y = x[apart], y[apart]
                 d += 1
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.record_batch({"a": node[moved], "b": node[label[moved]]})
+            moved = np.flatnonzero((first == np.arange(len(first))) & (label != first))
+            yield pa.record_batch({"a": blob[moved], "b": blob[label[moved]]})
 
     return released(run)
 
@@ -389,9 +398,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     masks = part_masks(radius)
     ordered = lambda pairs: pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, links, sets = nodes.select("fp", "fp2", "node", F.col("node").alias("component")), None, None
-    dealt = lambda by: left.mapInArrow(_dealt(masks), _DEALT).repartition("key").sortWithinPartitions("key", by)
     for _ in range(2):
-        met = dealt("fp2").mapInArrow(_sampled(radius, radius2, most), "a long, b long, bits long, c long")
+        met = _dealt(left, masks).mapInArrow(_sampled(radius, radius2, most), "a long, b long, bits long, c long")
         some = F.slice(F.array_sort(F.transform(F.collect_set("c"), lambda c: F.struct(F.xxhash64("a", c).alias("h"), c.alias("c")))), 1, partners)
         chosen = save(met.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"), some.alias("some")), "similar-chosen")
         pairs = ordered(chosen.select("a", F.explode(F.concat(F.array("b"), F.transform("some", lambda x: x["c"]))).alias("b")))
@@ -403,9 +411,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         # A text that meets no candidate of another component has no more links to find.
         left = left.select("fp", "fp2", "node").join(chosen.select(F.col("a").alias("node")), "node", "left_semi").join(joined, "node", "left")
         left = save(left.select("fp", "fp2", "node", F.coalesce("component", "node").alias("component")), "similar-left")
-    edges = save(dealt("fp2").mapInArrow(_spanning(radius, radius2), "a long, b long").distinct(), "similar-edges")
-    blobs = save(connected_components(edges).withColumnRenamed("component", "blob"), "similar-blobs")
-    true = _compared(sets, left.join(blobs, "node").select("node", "component", "blob"), similarity)
+    true = _compared(sets, _connected(left, masks, radius, radius2), similarity)
     joined = save(connected_components(links.union(true)), "similar-components")
     placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("rep"))
@@ -413,6 +419,22 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return marked.select("doc_id", "text_hash", "node").join(named, "node")
 
 
+def _connected(left: DataFrame, masks: list[int], radius: int, radius2: int, each: int = 16) -> DataFrame:
+    """(node, component, blob) of the texts that candidates connect with one of another component; a blob is named by a node.
+
+    A large group meets in every table, and each would give it a spanning tree of its own. So every ``each``-th table comes first,
+    and the others give edges only between what is not connected by then.
+    """
+    few = masks[::each]
+    blobs = left.withColumn("blob", F.col("node"))
+    for some in (few, [m for m in masks if m not in few]):
+        edges = save(_dealt(blobs, some).mapInArrow(_spanning(radius, radius2), "a long, b long").distinct(), "similar-edges")
+        wider = connected_components(edges).select(F.col("node").alias("blob"), F.col("component").alias("wider"))
+        blobs = save(blobs.join(wider, "blob", "left").select(*left.columns, F.coalesce("wider", "blob").alias("blob")), "similar-blobs")
+    shared = blobs.groupBy("blob").agg(F.count("*").alias("n")).where("n > 1")
+    return blobs.join(shared, "blob", "left_semi").select("node", "component", "blob")
+
+
 def _set_table(d: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, shingles, minima) of the wanted nodes, from the text of one row each."""
     asked = save(nodes.join(wanted, "node").select(F.col("rep.doc_id").alias("of"), F.col("rep.text_hash").alias("hash"), "node"), "similar-asked")

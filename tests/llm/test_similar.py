@@ -95,3 +95,21 @@ def test_result_is_the_same_however_few_neighbours_are_looked_at(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     few, all_ = ({(r.doc_id, r.rep.doc_id) for r in simhash.similar_documents(docs, most=m).collect()} for m in (2, 1 << 30))
     assert few == all_ and len({c for _, c in all_}) == 40
+
+
+def test_a_large_group_is_not_connected_anew_in_each_table(spark, monkeypatch):
+    """400 near texts that are no copies meet in most of the 126 tables, and stay apart."""
+    rng = np.random.default_rng(8)
+    base, rows, given = [f"w{x}" for x in rng.integers(0, 900, 200)], [], []
+    for k in range(400):
+        words = list(base)
+        for p in rng.choice(200, 4, replace=False):
+            words[p] = f"v{k}x{p}"
+        rows.append((k, " ".join(words)))
+    find = simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: given.append(edges.count()) or find(edges))
+    kept = simhash.without_similar(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    sets = [plain_set(t, 5) for _, t in rows]
+    linked = [(a, b) for a in range(400) for b in range(a + 1, 400) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(set(plain_components(list(range(400)), linked).values())) == kept > 200
+    assert 400 < max(given) < 8 * 400
