@@ -57,10 +57,11 @@ def walk_filings(files: DataFrame, companies: DataFrame | None = None, tickers:
 def company_facts(documents: DataFrame) -> DataFrame:
     """Facts of (ticker, json) documents: one row a value with its concept, unit and place in its array.
 
-    What isn't JSON of that form gives no rows.
+    What isn't JSON of that form gives no rows. A document is parsed once: an inner explode would first be turned into a
+    condition on its input, which parses it again.
     """
     parsed = documents.select("ticker", F.from_json("json", FACTS_SCHEMA)["facts"]["us-gaap"].alias("concepts"))
-    units = parsed.select("ticker", F.explode("concepts").alias("concept", "c")).select("ticker", "concept", F.explode("c.units").alias("unit", "values"))
+    units = parsed.select("ticker", F.explode_outer("concepts").alias("concept", "c")).where("concept is not null").select("ticker", "concept", F.explode("c.units").alias("unit", "values"))
     return units.select("ticker", "concept", "unit", F.posexplode("values").alias("pos", "v")).select("ticker", "concept", "unit", "pos", "v.*")
 
 

@@ -107,3 +107,12 @@ def test_split_is_stable_and_densify_keeps_all_periods(spark):
     assert one(spark, store.hash_split(F.lit(None), 0.85)) is False
     wide = spark.range(1200).select(F.lit("T").alias("ticker"), F.col("id").cast("string").alias("period"), F.lit(1.0).alias("v"))
     assert panel.densify(wide).count() == 1200
+
+
+def test_company_facts_parse_a_document_once(spark):
+    """An explode of parsed JSON is not turned into a condition that parses it again; documents without facts give no rows."""
+    doc = '{"facts": {"us-gaap": {"A": {"units": {"USD": [{"fy": 2020, "val": 1.0}, {"fy": 2021, "val": 2.0}], "EUR": []}}, "B": {"units": {}}, "C": null}}}'
+    rows = [("x", doc), ("none", '{"facts": {"us-gaap": {}}}'), ("null", None), ("bad", "no json"), ("other", '{"facts": {}}')]
+    found = filings.company_facts(spark.createDataFrame(rows, "ticker string, json string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [(r.ticker, r.concept, r.unit, r.pos, r.fy, r.val) for r in found.orderBy("pos").collect()] == [("x", "A", "USD", 0, 2020, 1.0), ("x", "A", "USD", 1, 2021, 2.0)]
