@@ -33,33 +33,46 @@ HEADINGS = (
 NULL_TOKENS = ["", "-", "--", "—", "N/A", "n/a", "nm", "NM", "*"]
 
 
+#: What (?U)\\s takes in a regular expression.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at both ends, which is all that is looked at."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def sentences(text: Column) -> Column:
     """Cut at white space after . ! ? and at blank lines; trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n{2,}"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n{2,}"), strip), lambda s: s != "")
 
 
 def chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """Greedy chunks of whole sentences as a fold; a new chunk begins with the trailing sentences that fit the overlap. The
-    state carries the current chunk's length, so a sentence costs the same however long the text is."""
-    none = F.array().cast("array<string>")
+    state holds the places and the length of the current chunk's sentences and no text, since a lambda's result is copied."""
 
     def tail(current: Column) -> Column:
-        def keep(state, s):
-            fits = state.open & (state.n + F.length(s) <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(s), state.kept)).otherwise(state.kept).alias("kept"), F.when(fits, state.n + F.length(s)).otherwise(state.n).alias("n"), fits.alias("open"))
+        def keep(state, n):
+            fits = state.open & (state.n + n <= overlap)
+            return F.when(fits, F.struct((state.kept + 1).alias("kept"), (state.n + n).alias("n"), fits.alias("open"))).otherwise(F.struct(state.kept.alias("kept"), state.n.alias("n"), F.lit(False).alias("open")))
 
-        end = F.aggregate(F.reverse(current), F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open")), keep)
-        return F.transform(F.array(end), lambda e: F.struct(e.kept.alias("kept"), e.n.alias("n")))[0]
+        return F.aggregate(F.reverse(current), F.struct(F.lit(0).alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open")), keep)
 
-    def add(state, s):
-        full = (state.n + F.length(s) > size) & (F.size(state.current) > 0)
-        begun = F.when(full, tail(state.current)).otherwise(F.struct(state.current.alias("kept"), state.n.alias("n")))
-        grown = lambda b: F.struct(F.concat(b.kept, F.array(s)).alias("current"), (b.n + F.length(s)).alias("n"))
-        done = F.when(full, F.concat(state.done, F.array(F.array_join(state.current, " ")))).otherwise(state.done)
-        return F.transform(F.array(F.transform(F.array(begun), grown)[0]), lambda g: F.struct(done.alias("done"), g.current.alias("current"), g.n.alias("n")))[0]
+    def spans(lengths: Column) -> Column:
+        """array<struct<a, b>>: the sentences from place a up to, but without, place b make a chunk."""
 
-    end = F.aggregate(sentences(text), F.struct(none.alias("done"), none.alias("current"), F.lit(0).alias("n")), add)
-    return F.transform(F.array(end), lambda e: F.when(F.size(e.current) > 0, F.concat(e.done, F.array(F.array_join(e.current, " ")))).otherwise(e.done))[0]
+        def add(state, n):
+            kept = tail(F.slice(lengths, state.a + 1, state.b - state.a))
+            made = lambda done, a, begun: F.struct(done.alias("done"), a.alias("a"), (state.b + 1).alias("b"), (begun + n).alias("n"))
+            full = (state.n + n > size) & (state.b > state.a)
+            return F.when(full, made(F.concat(state.done, F.array(F.struct(state.a.alias("a"), state.b.alias("b")))), state.b - kept["kept"], kept["n"])).otherwise(made(state.done, state.a, state.n))
+
+        begun = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+        end = F.aggregate(lengths, begun, add)
+        return F.transform(F.array(end), lambda e: F.when(e.b > e.a, F.concat(e.done, F.array(F.struct(e.a.alias("a"), e.b.alias("b"))))).otherwise(e.done))[0]
+
+    of = lambda s: F.transform(F.transform(F.array(F.transform(s, F.length)), spans)[0], lambda p: F.array_join(F.slice(s, p.a + 1, p.b - p.a), " "))
+    return F.transform(F.array(sentences(text)), of)[0]
 
 
 def clean_label(label: Column) -> Column:
@@ -70,7 +83,7 @@ def clean_label(label: Column) -> Column:
 
 def parse_number(cell: Column) -> Column:
     """US notation; parentheses around the whole cell make it negative; what isn't a finite number is null."""
-    raw = F.regexp_replace(cell, r"(?U)^\s+|\s+$", "")
+    raw = strip(cell)
     negative = raw.startswith("(") & raw.endswith(")")
     bare = F.regexp_replace(F.regexp_replace(raw, r"^[()]+|[()]+$", ""), r"(?U)[$,%\s]", "")
     value = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
@@ -105,10 +118,6 @@ def chunk_id(doc_id: Column, path: Column, index: Column) -> Column:
     return F.concat_ws("__", doc_id, F.substring(F.md5(path), 1, 8), F.format_string("%05d", index))
 
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def sections(text: Column, headings: tuple[str, ...] = HEADINGS, longest: int = 120) -> Column:
     """array<struct<section, text>>: the lines below each heading, and what comes before the first as ``preamble``.
 
@@ -119,7 +128,7 @@ def sections(text: Column, headings: tuple[str, ...] = HEADINGS, longest: int =
 
     def split(lines: Column) -> Column:
         line = lambda i: strip(F.element_at(lines, i))
-        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.upper(line(i)).rlike(begins) & (F.length(line(i)) < longest))
+        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (F.length(line(i)) < longest) & F.upper(line(i)).rlike(begins))
         return F.transform(F.array(F.concat(F.array(F.lit(0)), heads)), lambda starts: cut(lines, starts))[0]
 
     def cut(lines: Column, starts: Column) -> Column:

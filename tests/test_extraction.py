@@ -116,3 +116,32 @@ def test_company_facts_parse_a_document_once(spark):
     found = filings.company_facts(spark.createDataFrame(rows, "ticker string, json string"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
     assert [(r.ticker, r.concept, r.unit, r.pos, r.fy, r.val) for r in found.orderBy("pos").collect()] == [("x", "A", "USD", 0, 2020, 1.0), ("x", "A", "USD", 1, 2021, 2.0)]
+
+
+def test_strip_and_chunks_of_texts_with_other_blanks(spark):
+    """All that (?U)\\s takes goes at both ends and nothing else does; chunks are those of a plain loop, whatever the blanks."""
+    import random
+
+    blanks = "\t\n\x0b\f\r \x85\xa0       　"
+    rng, words = random.Random(3), ["aé", "b.", "long" * 9, "c!", "​d?", *blanks, "\n\n", "\x1c"]
+    texts = [None, "", blanks, *("".join(rng.choice(words) for _ in range(rng.randrange(200))) for _ in range(60))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k")
+    rows = df.select(text.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("r"), text.sentences(F.col("t")).alias("cut"), text.chunks(F.col("t"), 60, 20).alias("chunks")).collect()
+    for r in rows:
+        assert r.s == r.r and (r.cut is None) == (r.chunks is None)
+        made, current = [], []
+        for s in r.cut or []:
+            if current and sum(map(len, current)) + len(s) > 60:
+                made.append(" ".join(current))
+                kept = []
+                while len(kept) < len(current) and sum(map(len, kept)) + len(current[-1 - len(kept)]) <= 20:
+                    kept.insert(0, current[-1 - len(kept)])
+                current = kept
+            current.append(s)
+        assert (r.chunks or []) == made + ([" ".join(current)] if current else [])
+
+
+def test_the_fold_of_chunks_holds_no_text(spark):
+    """A lambda's result is copied: with texts in the state, a text of many chunks costs their square."""
+    plan = spark.range(1).select(text.chunks(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "array<struct<a:int,b:int>>" in plan and "as array<string>" not in plan
