@@ -145,3 +145,13 @@ def test_the_fold_of_chunks_holds_no_text(spark):
     """A lambda's result is copied: with texts in the state, a text of many chunks costs their square."""
     plan = spark.range(1).select(text.chunks(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
     assert "array<struct<a:int,b:int>>" in plan and "as array<string>" not in plan
+
+
+def test_pages_are_parsed_in_slices(spark):
+    """A batch of many pages is held a slice at a time, in its order; an empty batch gives an empty result."""
+    import pandas as pd
+
+    sizes = [len(x) for x in html._in_slices(iter([pd.Series(["<p>a</p>"] * 600), pd.Series([], dtype=str)]), lambda p: pd.DataFrame({"n": p.map(len)}))]
+    assert sizes == [256, 256, 88, 0]
+    rows = spark.range(700).coalesce(1).select("id", html.parsed(F.concat(F.lit("<p>"), F.col("id").cast("string"), F.lit("</p>")))["text"].alias("t"))
+    assert {(r.id, r.t) for r in rows.collect()} == {(k, str(k)) for k in range(700)}
