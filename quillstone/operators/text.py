@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ NULL_TOKENS = ["", "-", "--", "—", "N/A", "n/a", "nm", "NM", "*"]
 BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` names it: within lambdas nothing else sees to that."""
+    return F.transform(F.array(value), of)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, which is all that is looked at."""
     return F.btrim(c, F.lit(BLANKS))
@@ -83,27 +90,32 @@ def clean_label(label: Column) -> Column:
 
 def parse_number(cell: Column) -> Column:
     """US notation; parentheses around the whole cell make it negative; what isn't a finite number is null."""
-    raw = strip(cell)
+    return once(strip(cell), _number)
+
+
+def _number(raw: Column) -> Column:
     negative = raw.startswith("(") & raw.endswith(")")
     bare = F.regexp_replace(F.regexp_replace(raw, r"^[()]+|[()]+$", ""), r"(?U)[$,%\s]", "")
-    value = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
+    value = once(bare, lambda b: F.when(b.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), b.try_cast("double")))
     return F.when(~raw.isin(NULL_TOKENS), F.when(negative, -value).otherwise(value))
 
 
 def detect_scale(text: Column) -> Column:
-    up = F.upper(text)
-    return F.when(up.contains("BILLION"), 1e9).when(up.contains("MILLION"), 1e6).when(up.contains("THOUSAND"), 1e3).otherwise(1.0)
+    return once(F.upper(text), lambda up: F.when(up.contains("BILLION"), 1e9).when(up.contains("MILLION"), 1e6).when(up.contains("THOUSAND"), 1e3).otherwise(1.0))
 
 
 def infer_statement(text: Column) -> Column:
     """The statement with the most anchors, of at least two; ties in the order of the list above."""
-    up = F.upper(text)
-    n = {k: sum((up.contains(a).cast("int") for a in v), F.lit(0)) for k, v in STATEMENT_ANCHORS.items()}
-    most = F.greatest(*n.values())
-    out = F.when(most < 2, "unknown")
-    for k, c in n.items():
-        out = out.when(c == most, k)
-    return out
+    counts = lambda up: F.struct(*(sum((up.contains(a).cast("int") for a in v), F.lit(0)).alias(k) for k, v in STATEMENT_ANCHORS.items()))
+
+    def named(n: Column) -> Column:
+        most = F.greatest(*(n[k] for k in STATEMENT_ANCHORS))
+        out = F.when(most < 2, "unknown")
+        for k in STATEMENT_ANCHORS:
+            out = out.when(n[k] == most, k)
+        return out
+
+    return once(once(F.upper(text), counts), named)
 
 
 def fiscal_period(form: Column, date: Column) -> Column:
@@ -128,7 +140,7 @@ def sections(text: Column, headings: tuple[str, ...] = HEADINGS, longest: int =
 
     def split(lines: Column) -> Column:
         line = lambda i: strip(F.element_at(lines, i))
-        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (F.length(line(i)) < longest) & F.upper(line(i)).rlike(begins))
+        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: once(line(i), lambda x: (F.length(x) < longest) & F.upper(x).rlike(begins)))
         return F.transform(F.array(F.concat(F.array(F.lit(0)), heads)), lambda starts: cut(lines, starts))[0]
 
     def cut(lines: Column, starts: Column) -> Column:
@@ -166,8 +178,8 @@ def table_facts(table: Column, scale: Column) -> Column:
 
     def fact(row: Column) -> Column:
         cells = F.transform(F.slice(row, 2, F.size(row)), lambda c: F.struct(parse_number(c).alias("value"), strip(c).alias("raw")))
-        first = F.get(F.filter(cells, lambda c: c.value.isNotNull()), F.lit(0))
-        return F.struct(clean_label(F.get(row, F.lit(0))).alias("metric"), (first.value * scale).alias("value"), F.coalesce(first.raw, F.lit("")).alias("raw_value"))
+        metric = clean_label(F.get(row, F.lit(0)))
+        return once(F.get(F.filter(cells, lambda c: c.value.isNotNull()), F.lit(0)), lambda first: F.struct(metric.alias("metric"), (first.value * scale).alias("value"), F.coalesce(first.raw, F.lit("")).alias("raw_value")))
 
     named = F.filter(F.transform(F.filter(table, lambda r: F.size(r) > 0), fact), lambda f: F.length(f.metric) >= 3)
     return F.transform(F.array(statement), lambda s: F.transform(named, lambda f: F.struct(s.alias("statement"), f.metric.alias("metric"), f.value.alias("value"), f.raw_value.alias("raw_value"))))[0]
@@ -180,8 +192,7 @@ def text_facts(text: Column) -> Column:
     scale = detect_scale(text)
 
     def fact(p: Column, s: Column) -> Column:
-        metric = clean_label(p["label"])
-        return F.struct(infer_statement(metric).alias("statement"), metric.alias("metric"), (parse_number(p["raw"]) * s).alias("value"), p["raw"].alias("raw_value"))
+        return once(clean_label(p["label"]), lambda metric: F.struct(infer_statement(metric).alias("statement"), metric.alias("metric"), (parse_number(p["raw"]) * s).alias("value"), p["raw"].alias("raw_value")))
 
     facts = F.transform(F.array(scale), lambda s: F.transform(pairs, lambda p: fact(p, s)))[0]
     return F.filter(facts, lambda f: f.value.isNotNull() & (F.length(f.metric) >= 5))
@@ -189,9 +200,8 @@ def text_facts(text: Column) -> Column:
 
 def facts_of(filings: DataFrame, keys: list[str]) -> DataFrame:
     """Facts out of (plain, tables): those of the tables with one scale for the whole text; of the text where no table gives a row."""
-    found = filings.withColumn("__scale", detect_scale(F.col("plain"))).withColumn("__facts", F.flatten(F.transform("tables", lambda t: table_facts(t, F.col("__scale")))))
-    chosen = F.when(F.size("__facts") > 0, F.col("__facts")).otherwise(text_facts(F.col("plain")))
-    return found.select(*keys, F.inline(chosen))
+    found = once(detect_scale(F.col("plain")), lambda scale: F.flatten(F.transform("tables", lambda t: table_facts(t, scale))))
+    return filings.select(*keys, F.inline(once(found, lambda facts: F.when(F.size(facts) > 0, facts).otherwise(text_facts(F.col("plain"))))))
 
 
 def filing_facts(filings: DataFrame, html_col: str = "html") -> DataFrame:
