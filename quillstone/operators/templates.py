@@ -7,20 +7,23 @@ column) the pairs with the smallest hashes of their questions are taken: the sam
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.sizes import broadcast_if_small
+from quillstone.sources.tables import save_table
+
 KINDS = ("lookup", "trend", "span", "change", "comparison", "ranking", "lowest", "filter", "average")
 
 
 def _text(pattern: str, **parts: Column) -> Column:
-    out = F.lit(pattern)
-    for name, value in parts.items():
-        out = F.replace(out, F.lit(f"{{{name}}}"), value)
-    return out
+    """The pattern with the values in place of the names in braces; other braces stay."""
+    pieces = re.split("(" + "|".join(re.escape(f"{{{n}}}") for n in parts) + ")", pattern) if parts else [pattern]
+    return F.concat(*(parts[x[1:-1]] if k % 2 else F.lit(x) for k, x in enumerate(pieces)))
 
 
 def panel_values(panel: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -91,19 +94,38 @@ def _quoted(c: str) -> Column:
     return F.replace(F.col(c), F.lit("'"), F.lit("''"))
 
 
+#: Hexadecimal digits of a hash by which pairs are left out before they are sorted: 65,536 values a stratum are counted.
+DIGITS = 4
+
+
 def _smallest(pairs: DataFrame, per_stratum: int, seed: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("kind", "column").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "kind", "question")), "question", "sql"))
-    return pairs.distinct().withColumn("__n", place).where(F.col("__n") <= per_stratum).drop("__n")
+    """Of each stratum the distinct pairs with the smallest hashes, from two passes over ``pairs``.
+
+    The first finds which beginnings of hashes occur. As different beginnings are of different questions, the pairs wanted
+    are among those up to the ``per_stratum``-th beginning; of a large table these are few, and only they are shuffled and sorted.
+    """
+    stratum, order = Window.partitionBy("kind", "column"), F.md5(F.concat_ws("|", F.lit(seed), "kind", "question"))
+    begins = F.substring(order, 1, DIGITS)
+    seen = pairs.select("kind", "column", begins.alias("__begins")).distinct()
+    last = seen.withColumn("__n", F.row_number().over(stratum.orderBy("__begins"))).where(F.col("__n") <= per_stratum).groupBy("kind", "column").agg(F.max("__begins").alias("__last"))
+    few = pairs.join(broadcast_if_small(save_table(last, "last-hashes")), ["kind", "column"]).where(begins <= F.col("__last")).select(*pairs.columns).distinct()
+    return few.withColumn("__n", F.row_number().over(stratum.orderBy(order, "question", "sql"))).where(F.col("__n") <= per_stratum).drop("__n")
 
 
 def _pairs(rows: DataFrame, kinds: list[tuple[str, Column, str, str, Column]]) -> DataFrame:
-    """All pairs of (kind, stratum, question, sql, condition) in one pass: each row gives those whose condition holds."""
-    names = [c for c in rows.columns]
-    made = []
-    for kind, column, question, sql, holds in kinds:
-        texts = (_text(t, **{c: f(c) for c in names if f"{{{c}}}" in t}) for t, f in ((question, F.col), (sql, _quoted)))
-        made.append(F.when(holds, F.struct(F.lit(kind).alias("kind"), column.alias("column"), *(x.alias(n) for n, x in zip(("question", "sql"), texts)))))
-    return rows.select(F.inline(F.filter(F.array(*made), lambda p: p.isNotNull())))
+    """All pairs of (kind, stratum, question, sql, condition) in one pass: each row gives those whose condition holds. A row is
+    repeated by the number of a kind and no texts are made before they are asked for."""
+    made = lambda t, f: _text(t, **{c: f(c) for c in rows.columns if f"{{{c}}}" in t})
+
+    def pick(values: list[Column]) -> Column:
+        out = F
+        for k, v in enumerate(values):
+            out = out.when(F.col("__kind") == k, v)
+        return out
+
+    names, columns, questions, sqls, hold = zip(*kinds)
+    each = rows.withColumn("__kind", F.explode(F.array(*map(F.lit, range(len(kinds)))))).where(pick(hold))
+    return each.select(pick([F.lit(n) for n in names]).alias("kind"), pick(columns).alias("column"), pick([made(q, F.col) for q in questions]).alias("question"), pick([made(q, _quoted) for q in sqls]).alias("sql"))
 
 
 def asked_pairs(panel: DataFrame, asked: list[Asked], per_stratum: int, seed: str = "pairs") -> DataFrame:
@@ -114,14 +136,14 @@ def asked_pairs(panel: DataFrame, asked: list[Asked], per_stratum: int, seed: st
     filled = lambda a: reduce(Column.__and__, (F.col(f"__v.{c}").isNotNull() for c in a.columns))
     kinds = [(a.kind, F.lit("+".join(a.columns)), a.question, a.sql(), filled(a)) for a in asked]
     used = sorted({c for a in asked for c in a.columns})
-    return _smallest(_pairs(rows.select("ticker", "year", F.struct(*used).alias("__v")), kinds), per_stratum, seed)
+    return _smallest(_pairs(save_table(rows.select("ticker", "year", F.struct(*used).alias("__v")), "asked-rows"), kinds), per_stratum, seed)
 
 
 def filing_pairs(filings: DataFrame, per_stratum: int, seed: str = "pairs") -> DataFrame:
     """(kind, column, question, sql) about (ticker, company, filing_type, date): the last filing of a form, how many there are,
     the filings of a year, those after a year, and a ticker's company. Each has an answer. ``column`` is the form, or 'any'."""
     rows = filings.where("ticker is not null and filing_type is not null and date is not null").select("ticker", "company", F.col("filing_type").alias("form"), F.substring("date", 1, 4).alias("year"))
-    rows = rows.withColumn("earlier", (F.col("year").try_cast("int") - 1).cast("string")).distinct()
+    rows = save_table(rows, "filing-rows").withColumn("earlier", (F.col("year").try_cast("int") - 1).cast("string"))
     where, form, any_ = "FROM filing_metadata WHERE ticker = '{ticker}'", F.col("form"), F.lit("any")
     of_form = f"{where} AND filing_type = '{{form}}'"
     return _smallest(_pairs(rows, [
