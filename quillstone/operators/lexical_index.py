@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.retrieval import QUERY_TERMS, dealt_by_parts, term_counts, tokens
+from quillstone.operators.retrieval import FILE_ROWS, QUERY_TERMS, dealt_by_parts, term_counts, tokens
 from quillstone.operators.sizes import broadcast_if_small
 from quillstone.operators.versions import Versioned
 from quillstone.sources.tables import save_table
@@ -88,7 +88,7 @@ class LexicalIndex:
             return empty
         chunks = self.chunks.read()
         hits = self._live(buckets).join(broadcast_if_small(asked.select("term"), QUERY_TERMS), "term", "left_semi")
-        live = save_table(hits.join(chunks, ["chunk_id", "segment"]).drop("segment", "bucket"), "index-hits")
+        live = save_table(hits.join(chunks, ["chunk_id", "segment"]).drop("segment", "bucket"), "index-hits", FILE_ROWS)
         whole = chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
         weighed = terms.join(live.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(whole)).select("query_id", *more, "term", "df", "avgdl", idf)
