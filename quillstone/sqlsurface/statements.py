@@ -1,7 +1,7 @@
 """Tables of SQL statements: repair, gate, rewriting and execution of many statements at once.
 
 Repair and rewriting are column expressions over tokens. For the gate and for execution, string literals and compared
-numbers are lifted out of a statement; what is left is its template. A template is parsed once on the driver and run once
+numbers are lifted out of a statement and comments left out; what is left is its template. A template is parsed once on the driver and run once
 as a lateral join of its statements' literals with the template's query, so that there are as many jobs as templates,
 however many statements there are.
 """
@@ -23,6 +23,8 @@ from quillstone.sqlsurface import SYNONYMS, TICKERS, Refused, bound_text, check,
 #: A quoted literal or name, an identifier, a run of anything else, or a quote that nothing closes.
 TOKEN = r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|[A-Za-z_]\w*|[^A-Za-z_'"]+|['"]"""
 STRING, NUMBER = r"'(?:[^']|'')*'", r"([<>=]\s*)(-?\d+(?:\.\d+)?)(?![\w.])"
+#: A quoted literal or name, a comment (a hint is none), a run of anything else, or a mark that begins none of these.
+PART = r"""'[^']*(?:''[^']*)*'|"[^"]*(?:""[^"]*)*"|`[^`]*`|--[^\r\n]*|/\*(?!\+)(?s:.*?)\*/|[^'"`/-]+|['"`/-]"""
 
 
 def _lookup(table: dict[str, str]) -> Column:
@@ -43,12 +45,29 @@ def repaired(sql: Column) -> Column:
     return F.when(sql.isNotNull(), F.struct(text.alias("sql"), F.transform(changed, lambda p: F.concat(p["old"], F.lit(" -> "), p["new"])).alias("repairs")))
 
 
+def without_comments(sql: Column) -> Column:
+    """A statement with a space for each comment. One with a backslash, or with a comment inside a comment, stays as it is: where its
+    quotes and comments end is then for Spark's parser to say."""
+    comment = lambda p: p.startswith("--") | (p.startswith("/*") & (F.length(p) > 2))
+
+    def text(parts: Column) -> Column:
+        nested = F.exists(parts, lambda p: comment(p) & (F.locate("/*", p, 3) > 0) & p.startswith("/*"))
+        return F.when(nested, sql).otherwise(F.array_join(F.transform(parts, lambda p: F.when(comment(p), " ").otherwise(p)), ""))
+
+    return F.when(sql.contains("\\") | ~sql.rlike(r"--|/\*"), sql).otherwise(_bound(F.regexp_extract_all(sql, F.lit(PART), F.lit(0)), text))
+
+
 def lifted(sql: Column) -> Column:
-    """struct<template, strings, numbers>: string literals become '' and compared numbers 0; both lists are in order."""
-    one = F.regexp_replace(F.regexp_replace(F.trim(sql), r"[;\s]+$", ""), STRING, "''")
-    strings = F.transform(F.regexp_extract_all(sql, F.lit(STRING), F.lit(0)), lambda s: F.replace(F.substr(s, F.lit(2), F.length(s) - 2), F.lit("''"), F.lit("'")))
-    numbers = F.transform(F.regexp_extract_all(one, F.lit(NUMBER), F.lit(2)), lambda n: n.cast("double"))
-    return F.struct(F.regexp_replace(one, NUMBER, "$1 0").alias("template"), strings.alias("strings"), numbers.alias("numbers"))
+    """struct<template, strings, numbers>: string literals become '' and compared numbers 0; both lists are in order. Comments are
+    left out, so that statements which differ in these alone share a template."""
+
+    def parts(sql: Column) -> Column:
+        one = F.regexp_replace(F.regexp_replace(F.trim(sql), r"[;\s]+$", ""), STRING, "''")
+        strings = F.transform(F.regexp_extract_all(sql, F.lit(STRING), F.lit(0)), lambda s: F.replace(F.substr(s, F.lit(2), F.length(s) - 2), F.lit("''"), F.lit("'")))
+        numbers = F.transform(F.regexp_extract_all(one, F.lit(NUMBER), F.lit(2)), lambda n: n.cast("double"))
+        return F.struct(F.regexp_replace(one, NUMBER, "$1 0").alias("template"), strings.alias("strings"), numbers.alias("numbers"))
+
+    return _bound(without_comments(sql), parts)
 
 
 #: What a statement's analysis or run may raise.

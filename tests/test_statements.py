@@ -49,6 +49,24 @@ def test_records_of_a_table_of_statements(spark):
         st.statement_records(df, {"panel"}, max_templates=2)
 
 
+def test_statements_that_differ_in_comments_share_a_template(spark):
+    texts = [f"DROP TABLE panel -- S{i}" for i in range(50)] + [f"SELECT ticker /* S{i}'s */ FROM panel -- it's {i}\nWHERE ticker = 'S{i}'" for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, sql string")
+    got = {r.i: r for r in st.statement_records(df, {"panel"}, max_templates=2).collect()}
+    assert len(got) == 100 and all(got[i].sql_repaired == texts[i] and got[i].is_valid == (i >= 50) for i in got)
+    assert {got[i].error for i in range(50)} == {"Only SELECT statements allowed: DropTable, UnresolvedIdentifier"}
+    assert [list(g.strings) for g in column(spark, texts[50:], st.lifted)] == [[f"S{i}"] for i in range(50)]
+
+
+def test_only_comments_are_left_out(spark):
+    same = ["SELECT '-- a', \"/* b */\", `--c` FROM panel", "SELECT /*+ BROADCAST(panel) */ a FROM panel", "SELECT a - -1, b / c FROM panel", "SELECT 1 /* open", "SELECT '\\' -- ' FROM secret", "SELECT /* a /* ' */ ' */ 1 FROM panel", None]
+    assert column(spark, same, st.without_comments) == same
+    assert column(spark, ["-- x", "SELECT/**/a--'\r\nFROM p /* ' */, 'q--' -- -- /*", "SELECT a /* -- */ FROM p--"], st.without_comments) == [" ", "SELECT a \r\nFROM p  , 'q--'  ", "SELECT a   FROM p "]
+    hidden = ["SELECT ticker FROM panel /* ' */ UNION SELECT x FROM secret -- '", "SELECT ticker FROM panel -- '\nUNION SELECT x FROM secret WHERE y = ''"]
+    df = spark.createDataFrame(list(enumerate(hidden)), "i int, sql string")
+    assert {r.error for r in st.statement_records(df, {"panel"}).collect()} == {"unknown tables: secret"}
+
+
 def plain_result(spark, sql, tables):
     rows = sqlsurface.execute(spark, sql, tables).collect()
     return sorted(tuple("NULL" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
