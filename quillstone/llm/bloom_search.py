@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import n_buckets, released, save, small_batches
+from quillstone.llm.store import WIDE_ROWS, n_buckets, released, save, small_batches
 from quillstone.llm.terms import row_words
 
 #: Bits a term sets, bits a signature has for each entry (rounded up to a power of two), and frequencies with entries of their own.
@@ -98,7 +98,7 @@ def build_index(docs: DataFrame, rows: int = 1024, id_col: str = "doc_id", text_
     """The saved index, one row a block of texts that have terms. Null ids and repeated rows are texts like others."""
     small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return save(named.mapInArrow(_indexed(rows), _INDEX_SQL), "bloom-index")
+    return save(named.mapInArrow(_indexed(rows), _INDEX_SQL), "bloom-index", **WIDE_ROWS)
 
 
 def _counted(terms: np.ndarray):

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quillstone.llm import bisectors, bloom_search, fm_index, terms
@@ -215,3 +216,13 @@ def test_components_whose_distances_fit_no_long_are_refused(spark):
     with pytest.raises(ValueError, match="beyond"):
         bisectors.centroid_clusters(bisectors.grid_vectors(table))
     assert bisectors.centroid_clusters(bisectors.grid_vectors(spark.createDataFrame([(1, [-2e6] * 64)], "vec_id long, embedding array<double>")))[0].count() == 1
+
+
+def test_readers_of_the_index_hold_a_few_of_its_rows(spark):
+    """Rows of megabytes: a row group, which a task holds at a time, has some 16 MB of them."""
+    docs = spark.range(60).selectExpr("id as doc_id", "array_join(transform(sequence(1, 60000), x -> concat(id, 'w', x)), ' ') as text").coalesce(1)
+    index = bloom_search.build_index(docs, rows=1)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 60 and sum(g.total_byte_size for g in groups) > 40e6
+    assert max(g.total_byte_size for g in groups) < 32e6
