@@ -87,3 +87,21 @@ def test_a_few_filings_lie_on_disk_at_a_time(spark, tmp_path, monkeypatch):
     found = filing_tree.through_trees(rows, f"{tmp_path}/t", "filing_type = '10-K'", filings=50)
     assert sorted(int(r.accession_number) for r in found.collect()) == list(range(0, 200, 2))
     assert len(kept) == 4 and sum(kept) == 200 and max(kept) < 120 and not list(tmp_path.glob("t/tree-*"))
+
+
+def test_rounds_beside_each_other_are_as_many_times_smaller(spark, tmp_path, monkeypatch):
+    trees, filings_, real = [], [], filing_tree.read_tree
+
+    def read(spark, root, **options):
+        trees.append(len(list(tmp_path.glob("t/tree-*"))))
+        filings_.append(len(list((tmp_path / "t" / root.rsplit("/", 1)[1]).glob("*/*/*"))))
+        return real(spark, root, **options)
+
+    monkeypatch.setattr(filing_tree, "read_tree", read)
+    rows = spark.range(400).selectExpr("concat('T', id % 80) as ticker", "if(id % 2 = 0, '10-K', '8-K') as filing_type", "concat('20', 10 + id % 7, '-01-01') as date", "string(id div 2) as accession_number", "'a.htm' as file", "encode('x', 'UTF-8') as content")
+    rows = rows.union(rows.withColumn("file", F.lit("a.pdf")))
+    found = filing_tree.through_trees(rows, f"{tmp_path}/t", "filing_type = '10-K'", filings=200, at_once=2)
+    assert sorted((int(r.accession_number), r.source_path.rsplit("/", 1)[1]) for r in found.collect()) == [(k, "a.htm") for k in range(200)]
+    assert len(trees) == 4 and max(trees) <= 2 and sum(filings_) == 400 and not list(tmp_path.glob("t/tree-*"))
+    with pytest.raises(Exception, match="no name of a folder"):
+        filing_tree.through_trees(rows.withColumn("file", F.lit("a/b")), f"{tmp_path}/u", "true", filings=200, at_once=2)
